@@ -34,3 +34,22 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return shard_by_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmill.llm.contamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmill.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmill.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
