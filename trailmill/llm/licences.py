@@ -30,7 +30,7 @@ TEMPLATES = {
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc0-1.0": ["Released into the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "all-rights-reserved": ["Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without written permission."],
+    "all-rights-reserved": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced without written permission."],
 }
 UNKNOWN = "unknown"
 #: Paragraphs of the corpus that train the unknown class, at most.

@@ -53,3 +53,9 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmill.llm.licences import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmill.llm.extraction import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
