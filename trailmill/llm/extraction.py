@@ -138,14 +138,14 @@ def features(pages: list[list[tuple[tuple[str, ...], str, int]]]) -> list[np.nda
         slot = (h % np.uint64(WORD_DIM)).astype(np.int64)
         sign = np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
         words = np.bincount(owner * WORD_DIM + slot, sign, len(flat) * WORD_DIM).reshape(-1, WORD_DIM)
-        x[:, PATH_DIM : PATH_DIM + WORD_DIM] = words / np.sqrt(np.maximum(counts, 1))[:, None]
+        x[:, PATH_DIM : PATH_DIM + WORD_DIM] = words / np.maximum(np.sqrt((words**2).sum(axis=1)), 1)[:, None] * 2
         size = np.diff(offsets)
         extra = x[:, PATH_DIM + WORD_DIM :]
         extra[:, 0] = np.log1p(counts) / 4
         extra[:, 1] = np.array([b[2] for b in flat]) / np.maximum(size, 1)
-        extra[:, 2] = size / np.maximum(counts, 1) / 10
+        extra[:, 2] = np.minimum(size / np.maximum(counts, 1) / 10, 2)
         stops = np.concatenate(([0], np.cumsum((data == 46) | (data == 44))))
-        extra[:, 3] = (stops[offsets[1:]] - stops[offsets[:-1]]) / np.maximum(counts, 1)
+        extra[:, 3] = np.minimum((stops[offsets[1:]] - stops[offsets[:-1]]) / np.maximum(counts, 1), 2)
         extra[:, 4] = 1
     out, at = [], 0
     for page in pages:

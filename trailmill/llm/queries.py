@@ -59,3 +59,15 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmill.llm.extraction import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmill.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmill.llm.repeats import dedup_report
+
+    return dedup_report(table(spark, sf_dir, "documents")).drop("spans")

@@ -19,18 +19,24 @@ _RNG = np.random.default_rng(20240229)
 BYTE_KEY = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, dtype=np.uint64)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    """BASE**0 .. BASE**(n-1) modulo 2**64; kept between calls."""
-    global _powers
-    if len(_powers) < n:
+def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64; kept between calls."""
+    if len(_powers.get(int(base), ())) < n:
         with np.errstate(over="ignore"):
-            grown = np.full(max(n, 1024), BASE, dtype=np.uint64)
+            grown = np.full(max(n, 1024), base, dtype=np.uint64)
             grown[0] = 1
-            _powers = np.multiply.accumulate(grown)
-    return _powers[:n]
+            _powers[int(base)] = np.multiply.accumulate(grown)
+    return _powers[int(base)][:n]
+
+
+def running(data: np.ndarray, key: np.ndarray = BYTE_KEY) -> np.ndarray:
+    """Sums that give any stretch's hash: (out[j] - out[i]) * INVERSE**i depends on bytes i to j alone."""
+    with np.errstate(over="ignore"):
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(key[data] * powers(len(data)), dtype=np.uint64)))
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
