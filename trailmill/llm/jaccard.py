@@ -324,3 +324,15 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     known = written(grouped.join(least, "part").select("key", "component_id"), "jaccard-known")
     # sets of one row alone stay out of this join; AQE splits a hot key
     return meta.join(_few(known), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, share: int = SHARE) -> DataFrame:
+    """`docs`, all columns, with one document of each group of near duplicates: that with the least doc_id.
+
+    Rows that repeat a doc_id are one document, of which one row stays; rows without doc_id all stay.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), share).filter("doc_id = component_id")
+    kept = written(found.groupBy("doc_id").agg(F.count("*").alias("rows_of_id")), "jaccard-kept")
+    once, more = kept.filter("rows_of_id = 1").select("doc_id"), kept.filter("rows_of_id > 1").select("doc_id")
+    out = docs.join(_few(once), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    return out.unionByName(docs.join(_few(more), "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)

@@ -179,3 +179,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
         yield from scorer(shared.value)(batches)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that the rules keep."""
+    shared, schema = docs.sparkSession.sparkContext.broadcast(train(docs, labels)), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in tk.blocks(batch, "text"):
+                yield part.filter(pa.array(measure(data, offsets, shared.value)["kept"]))
+
+    return docs.mapInArrow(run, schema)

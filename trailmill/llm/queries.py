@@ -71,3 +71,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmill.llm.repeats import dedup_report
 
     return dedup_report(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_histogram_sort, op2_licence_scan, op3_ngram_jaccard, op4_packing, op5_html_extraction, op6_toxicity,
+    op7_quality_rules, op8_benchmark_decontamination, op9_warc, op10_suffix_dedup)}
+
+
+def oracles() -> dict[str, str]:
+    from trailmill.llm.contamination import ORACLE_SQL
+
+    return {"op8_benchmark_decontamination": ORACLE_SQL}
