@@ -9,6 +9,8 @@ a row's place in its shard is its place in its cell plus the rows counted before
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,25 +49,27 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, group_share: float = GROUP
         "key", F.concat("k", F.when(F.col("big"), F.col("d")).otherwise(F.repeat(F.lit("0"), F.lit(32))))).drop("k", "d", "big")
     # splitter i lies where the bytes before a unit, plus half of its own, reach i * total / shards
     shard_at = lambda twice: min(twice * shards // (2 * max(total, 1)), shards - 1)  # noqa: E731  of twice the bytes before
-    cells: list[tuple[str, int, int]] = [("", 0, total)]  # prefix of the key, bytes before, bytes of the cell
+    cells: dict[str, int] = {"": 0}  # prefix of the keys in a cell: bytes before it
     leaves: dict[str, tuple[int, int, int]] = {}  # prefix: bytes before, bytes, rows
-    width = 0
-    while cells and width < 64:
-        width += DIGITS
-        probe = keyed.withColumn("cell", F.substring("key", 1, width))
-        if width > DIGITS:
-            probe = probe.filter(F.substring("key", 1, width - DIGITS).isin([c[0] for c in cells]))
-        counted = probe.groupBy("cell").agg(F.sum("size"), F.count("*"), F.min("key") == F.max("key")).collect()  # at most 256 for each refined cell
-        before = {prefix: start for prefix, start, _ in cells}
-        cells = []
-        for cell, size, n, unit in sorted(counted, key=lambda r: r[0]):
-            start = before[cell[:-DIGITS]]
-            before[cell[:-DIGITS]] += size
-            # a cell with a splitter is probed on; so is one with far more rows than its share, for the exchange
-            if not unit and (shard_at(2 * start) != shard_at(2 * (start + size)) or size > total / (shards * CELLS)):
-                cells.append((cell, start, size))
+    while cells:
+        name = None  # a cell's rows are told apart by the next digits after what all its keys have in common
+        for width in sorted({len(c) for c in cells}):
+            inside = F.substring("key", 1, width).isin([c for c in cells if len(c) == width])
+            part = F.substring("key", 1, width + DIGITS)
+            name = F.when(inside, part) if name is None else name.when(inside, part)
+        counted = keyed.withColumn("cell", name).filter("cell is not null").groupBy("cell").agg(
+            F.sum("size"), F.count("*"), F.min("key"), F.max("key")).collect()  # at most 256 for each refined cell
+        refined: dict[str, int] = {}
+        for cell, size, n, low, high in sorted(counted, key=lambda r: r[0]):
+            parent = cell[:-DIGITS]
+            start, cells[parent] = cells[parent], cells[parent] + size
+            # a cell with a splitter is probed on; so is one with far more bytes than its share, for the exchange
+            if low != high and (shard_at(2 * start) != shard_at(2 * (start + size)) or size > total / (shards * CELLS)):
+                common = os.path.commonprefix([low, high])
+                refined[common[: len(common) // DIGITS * DIGITS]] = start
             else:
                 leaves[cell] = (start, size, n)
+        cells = refined
     return _exchange(keyed, leaves, total, shards)
 
 
