@@ -32,8 +32,12 @@ from trailmill.operators.components import connected_components
 WIDTH, SHARE = 5, 80
 #: An entry that more components share is set aside until the universe is cut anew.
 HOT = 24
-CUTS = 4
-SCHEME_BITS = 10
+CUTS = 3
+#: Sizes of a band, in percent of its first.
+STEP = 150
+#: Low bits of an entry: its scheme, and whether its segment has allowance 1.
+SCHEME_BITS, TAG_BITS = 10, 11
+SLACK = 1 << 40
 BROADCAST_ROWS = 2_000_000
 #: Keys that a task remembers in order not to index a set twice; only saves work.
 SEEN = 1_000_000
@@ -41,10 +45,11 @@ SEEN = 1_000_000
 
 @functools.cache
 def bands(share: int, largest: int) -> tuple[int, ...]:
-    """First sizes of the size bands: within a band any two sizes may be similar."""
+    """First sizes of the size bands. A band spans at least the sizes that may be similar, so similar sets are
+    in the same band or in neighbouring ones; wider bands have looser bounds, narrower ones more schemes."""
     out = [1]
     while out[-1] <= largest:
-        out.append(100 * out[-1] // share + 1)
+        out.append(max(100 * out[-1] // share + 1, out[-1] * STEP // 100))
     return tuple(out)
 
 
@@ -57,7 +62,7 @@ def allocation(largest: int, share: int, least: int) -> tuple[int, int, int]:
     """
     best = (math.inf, 1, 1, 0)
     need = largest + 1
-    for spare in range(0, 12 + need // 2):
+    for spare in range(need // 16 + (need > 4), 12 + need // 2):
         for ones in {0, *range(max(1, need // 2 - 2), (need + spare) // 2 + 1)} if need > 40 else range((need + spare) // 2 + 1):
             segments = need + spare - ones
             if segments < max(ones, 1):
@@ -92,13 +97,13 @@ def schemes_of(size: np.ndarray, share: int) -> list[tuple[int, np.ndarray, int,
     return [x for x in out if len(x[1])]
 
 
-def entries(values: np.ndarray, bounds: np.ndarray, cut: int, share: int, last: bool, chosen: set[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """(entry, row) of ascending sets, and the (row, scheme) that empty subsets cost more than the spare credits.
+def entries(values: np.ndarray, bounds: np.ndarray, cut: int, share: int, last: bool, chosen: set[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(entry, row) of ascending sets, and (row, scheme, spare credits that empty subsets leave it).
 
-    An entry's low bits are its scheme. With `chosen`, only these (row, scheme) are indexed.
+    An entry's low bits are its scheme and allowance. With `chosen`, only these (row, scheme) are indexed.
     """
     size = np.diff(bounds)
-    out_sig, out_row, again = [], [], []
+    out_sig, out_row, slack = [], [], []
     for scheme, rows, segments, ones, spare in schemes_of(size, share):
         if chosen is not None:
             rows = rows[np.array([(int(r), scheme) in chosen for r in rows], dtype=bool)]
@@ -122,31 +127,31 @@ def entries(values: np.ndarray, bounds: np.ndarray, cut: int, share: int, last:
             length = np.diff(np.append(first, len(cell)))
             where, seg = owner[first], part[first]
             tag = np.uint64(scheme + 1) * tk.MIX[10] + seg.astype(np.uint64) * tk.MIX[11] + np.uint64(cut + 1) * tk.MIX[9]
-            sig, sig_row = [tk.mix64(total ^ tag)], [where]
             wide = seg < ones
+            flag = lambda x, w: x >> np.uint64(TAG_BITS) << np.uint64(TAG_BITS) | np.uint64(scheme % (1 << SCHEME_BITS)) | np.asarray(w).astype(np.uint64) << np.uint64(SCHEME_BITS)  # noqa: B023, E731
+            sig, sig_row = [flag(tk.mix64(total ^ tag), wide)], [where]
             deletable = wide & (length > 1)
-            spread = np.repeat(np.flatnonzero(deletable), length[deletable])
-            at = np.repeat(first[deletable] - np.concatenate(([0], np.cumsum(length[deletable])[:-1])), length[deletable]) + np.arange(len(spread)) if len(spread) else np.zeros(0, np.int64)
-            sig.append(tk.mix64((total[spread] - values_mixed[at]) ^ tag[spread]))
-            sig_row.append(where[spread])
+            if deletable.any():
+                runs = length[deletable]
+                spread = np.repeat(np.flatnonzero(deletable), runs)
+                at = np.repeat(first[deletable] - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(len(spread))
+                sig.append(flag(tk.mix64((total[spread] - values_mixed[at]) ^ tag[spread]), True))
+                sig_row.append(where[spread])
             # credits that only empty subsets could redeem
             full = np.bincount(where, 1 + wide, len(rows))
-            weak = segments + ones - full + np.bincount(where, wide & (length == 1), len(rows))
-            over = weak > spare
-            if last and over.any():  # index the empty subsets themselves
-                for k in np.flatnonzero(over):
+            left = (spare - (segments + ones - full) - np.bincount(where, wide & (length == 1), len(rows))).astype(np.int64)
+            if last:
+                for k in np.flatnonzero(left < 0):  # index the empty subsets themselves
                     have = set(seg[where == k].tolist())
-                    mine = [s for s in range(segments) if s not in have] + seg[(where == k) & wide & (length == 1)].tolist()
-                    e = np.uint64(scheme + 1) * tk.MIX[10] + np.array(mine, dtype=np.uint64) * tk.MIX[11] + np.uint64(cut + 1) * tk.MIX[9]
-                    sig.append(tk.mix64(e))
+                    mine = np.array([x for x in range(segments) if x not in have] + seg[(where == k) & wide & (length == 1)].tolist(), dtype=np.uint64)
+                    sig.append(flag(tk.mix64(np.uint64(scheme + 1) * tk.MIX[10] + mine * tk.MIX[11] + np.uint64(cut + 1) * tk.MIX[9]), mine < ones))
                     sig_row.append(np.full(len(mine), k))
-            sigs = np.concatenate(sig) >> np.uint64(SCHEME_BITS) << np.uint64(SCHEME_BITS) | np.uint64(scheme % (1 << SCHEME_BITS))
-        out_sig.append(sigs)
+        out_sig.append(np.concatenate(sig))
         out_row.append(rows[np.concatenate(sig_row)])
-        again += [(int(r), scheme) for r in rows[over]]
+        slack += [(r, scheme, x) for r, x in zip(rows.tolist(), left.tolist(), strict=True)]
     if not out_sig:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), again
-    return np.concatenate(out_sig), np.concatenate(out_row), again
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), slack
+    return np.concatenate(out_sig), np.concatenate(out_row), slack
 
 
 def set_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -187,45 +192,45 @@ def _index(cut: int, share: int, last: bool, given: bool):
                     n = np.diff(bounds)
                     chosen = np.repeat(fresh, n)
                     values, bounds, keys = values[chosen], np.concatenate(([0], np.cumsum(n[fresh]))), keys[fresh]
-                sig, row, again = entries(values, bounds, cut, share, last, wanted)
-                extra = np.array([s for _, s in again], dtype=np.int64)
+                sig, row, slack = entries(values, bounds, cut, share, last, wanted)
+                extra = np.array([(x + SLACK) << SCHEME_BITS | scheme for _, scheme, x in slack], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate((sig.view(np.int64), extra))), pa.array(np.concatenate((keys[row], keys[[r for r, _ in again]] if again else keys[:0]))),
-                    pa.array(np.concatenate((np.zeros(len(sig), bool), np.ones(len(extra), bool))))], ["sig", "key", "again"])
+                    pa.array(np.concatenate((sig.view(np.int64), extra))), pa.array(np.concatenate((keys[row], keys[[r for r, _, _ in slack]] if slack else keys[:0]))),
+                    pa.array(np.concatenate((np.zeros(len(sig), bool), np.ones(len(extra), bool))))], ["sig", "key", "note"])
 
     return run
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, key): those whose sig has two keys or more, with the key before; and rows to cut again.
+    """Of rows sorted by (sig, key): those whose sig has two keys or more, with the key before; and notes.
 
-    `again` rows have the scheme as sig and only pass through.
+    Notes, the spare credits of a key in a scheme, only pass through.
     """
     held = None  # the last row so far: whether it belongs to a group is known with the next one
 
-    def emit(sig, key, prev, keep, again):
-        return pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(key[keep]), pa.array(prev[0][keep], mask=~prev[1][keep]), pa.array(again[keep])], ["sig", "key", "prev", "again"])
+    def emit(sig, key, prev, keep, note):
+        return pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(key[keep]), pa.array(prev[0][keep], mask=~prev[1][keep]), pa.array(note[keep])], ["sig", "key", "prev", "note"])
 
     for batch in batches:
-        sig, key, again = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "key", "again"))
+        sig, key, note = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "key", "note"))
         prev, has = np.zeros(len(sig), np.int64), np.zeros(len(sig), bool)
         if held is not None:
-            sig, key, again, prev, has = (np.concatenate(x) for x in zip(held, (sig, key, again, prev, has), strict=True))
+            sig, key, note, prev, has = (np.concatenate(x) for x in zip(held, (sig, key, note, prev, has), strict=True))
         new = np.ones(len(sig), dtype=bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]) | (again[1:] != again[:-1])
-        sig, key, again, prev, has = sig[new], key[new], again[new], prev[new], has[new]
-        same = (sig[1:] == sig[:-1]) & ~again[1:] & ~again[:-1]
+        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]) | (note[1:] != note[:-1])
+        sig, key, note, prev, has = sig[new], key[new], note[new], prev[new], has[new]
+        same = (sig[1:] == sig[:-1]) & ~note[1:] & ~note[:-1]
         prev[1:] = np.where(same, key[:-1], prev[1:])
         has[1:] |= same
         member = has.copy()
         member[:-1] |= same
-        keep = member | again
-        held = tuple(x[-1:] for x in (sig, key, again, prev, has))
+        keep = member | note
+        held = tuple(x[-1:] for x in (sig, key, note, prev, has))
         if len(sig) > 1:
-            yield emit(sig[:-1], key[:-1], (prev[:-1], has[:-1]), keep[:-1], again[:-1])
+            yield emit(sig[:-1], key[:-1], (prev[:-1], has[:-1]), keep[:-1], note[:-1])
     if held is not None:
-        sig, key, again, prev, has = held
-        yield emit(sig, key, (prev, has), has | again, again)
+        sig, key, note, prev, has = held
+        yield emit(sig, key, (prev, has), has | note, note)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,10 +298,11 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     while True:
         last = cut == CUTS - 1
         rows = source.select("text") if active is None else texts_of(active.select("key")).join(active, "key").select("text", "schemes")
-        indexed = rows.mapInArrow(_index(cut, share, last, active is not None), "sig long, key long, again boolean")
-        shared = indexed.repartition("sig", F.when(F.col("again"), F.col("key"))).sortWithinPartitions("sig", "again", "key").mapInArrow(_grouped, "sig long, key long, prev long, again boolean")
+        indexed = rows.mapInArrow(_index(cut, share, last, active is not None), "sig long, key long, note boolean")
+        shared = indexed.repartition("sig", F.when(F.col("note"), F.col("key"))).sortWithinPartitions("sig", "note", "key").mapInArrow(_grouped, "sig long, key long, prev long, note boolean")
         shared = written(shared, "jaccard-shared")
-        entry = shared.filter("not again").select("sig", "key", "prev")
+        scheme = F.col("sig").bitwiseAND((1 << SCHEME_BITS) - 1).cast("int").alias("scheme")
+        entry = shared.filter("not note").select("sig", "key", "prev")
         pairs = written(entry.filter("prev is not null").select(F.col("prev").alias("ka"), F.col("key").alias("kb")).distinct(), "jaccard-pairs")
         found = verified(pairs, "jaccard-links")
         links = found if links is None else links.unionAll(found)
@@ -305,18 +311,22 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
         spread = placed.groupBy("sig").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("sig")
         open_rows = written(placed.join(spread, "sig", "left_semi"), "jaccard-open")
         sizes = open_rows.select("sig", "part").distinct().groupBy("sig").agg(F.count("*").alias("parts"))
-        cold = open_rows if last else open_rows.join(sizes.filter(F.col("parts") <= HOT).select("sig"), "sig", "left_semi")
+        cold = open_rows.join(sizes.filter(F.col("parts") <= HOT).select("sig"), "sig", "left_semi")
+        hot = written(open_rows.join(sizes.filter(F.col("parts") > HOT).select("sig"), "sig", "left_semi"), "jaccard-hot")
+        # what each key has lost to hot entries; an entry of allowance 1 is worth two credits
+        lost = hot.groupBy("key", scheme).agg(F.sum(F.shiftright("sig", SCHEME_BITS).bitwiseAND(1) + 1).alias("lost"))
+        spare = shared.filter("note").select("key", scheme, (F.shiftright("sig", SCHEME_BITS) - SLACK).alias("spare"))
+        short = written(spare.join(lost, ["key", "scheme"], "left").filter("spare < coalesce(lost, 0)").select("key", "scheme"), "jaccard-short")
+        if last:  # who still lacks credits is compared within its hot entries in full
+            cold = cold.unionAll(hot.withColumn("scheme", scheme).join(_few(short), ["key", "scheme"], "left_semi").select("sig", "key", "part"))
         x, y = cold.select("sig", F.col("key").alias("ka"), F.col("part").alias("pa")), cold.select("sig", F.col("key").alias("kb"), F.col("part").alias("pb"))
         cross = x.join(y, "sig").filter("pa < pb").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
         cross = written(cross.join(pairs, ["ka", "kb"], "left_anti"), "jaccard-cross")
-        links = written(links.unionAll(verified(cross, "jaccard-links")), "jaccard-all-links")
-        if last:
-            break
-        hot = open_rows.join(sizes.filter(F.col("parts") > HOT).select("sig"), "sig", "left_semi").select("key", F.col("sig").bitwiseAND((1 << SCHEME_BITS) - 1).cast("int").alias("scheme"))
-        weak = shared.filter("again").select("key", F.col("sig").cast("int").alias("scheme"))
-        active = written(hot.unionAll(weak).distinct().groupBy("key").agg(F.collect_set("scheme").alias("schemes")), "jaccard-active")  # at most three schemes for a set
-        if active.isEmpty():
+        if not cross.isEmpty():
+            links = written(links.unionAll(verified(cross, "jaccard-links")), "jaccard-all-links")
+        if last or short.isEmpty():
             break
+        active = written(short.groupBy("key").agg(F.collect_set("scheme").alias("schemes")), "jaccard-active")  # at most three schemes for a set
         cut += 1
     parts = connected_components(links, "ka", "kb").withColumnRenamed("node", "key")
     grouped = classes.join(parts, "key", "left").select("key", "copies", "least", F.coalesce("component", "key").alias("part"))
