@@ -62,8 +62,9 @@ def allocation(largest: int, share: int, least: int) -> tuple[int, int, int]:
     """
     best = (math.inf, 1, 1, 0)
     need = largest + 1
-    for spare in range(need // 16 + (need > 4), 12 + need // 2):
-        for ones in {0, *range(max(1, need // 2 - 2), (need + spare) // 2 + 1)} if need > 40 else range((need + spare) // 2 + 1):
+    # large sets have segments enough: there only the spare credits are chosen
+    for spare in range(need // 16 + (need > 4), 12 + need // 2, 1 + need // 64):
+        for ones in (0,) if need > 40 else range((need + spare) // 2 + 1):
             segments = need + spare - ones
             if segments < max(ones, 1):
                 continue
@@ -294,6 +295,13 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
         joined = pairs.join(z.select(F.col("key").alias("ka"), F.col("z").alias("za")), "ka").join(z.select(F.col("key").alias("kb"), F.col("z").alias("zb")), "kb")
         return written(joined.select("ka", "kb", "za", "zb").mapInArrow(_verify(share), "ka long, kb long"), name)
 
+    def still_open(entry: DataFrame, links: DataFrame) -> DataFrame:
+        """(sig, key, part) of the entries that sets of several components share."""
+        parts = connected_components(links, "ka", "kb").withColumnRenamed("node", "key")
+        placed = entry.join(_few(parts), "key", "left").select("sig", "key", F.coalesce("component", "key").alias("part"))
+        spread = placed.groupBy("sig").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("sig")
+        return written(placed.join(spread, "sig", "left_semi"), "jaccard-open")
+
     links, active, cut = None, None, 0
     while True:
         last = cut == CUTS - 1
@@ -306,10 +314,16 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
         pairs = written(entry.filter("prev is not null").select(F.col("prev").alias("ka"), F.col("key").alias("kb")).distinct(), "jaccard-pairs")
         found = verified(pairs, "jaccard-links")
         links = found if links is None else links.unionAll(found)
-        parts = connected_components(links, "ka", "kb").withColumnRenamed("node", "key")
-        placed = entry.join(_few(parts), "key", "left").select("sig", "key", F.coalesce("component", "key").alias("part"))
-        spread = placed.groupBy("sig").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("sig")
-        open_rows = written(placed.join(spread, "sig", "left_semi"), "jaccard-open")
+        open_rows = still_open(entry, links)
+        # a text and its many edited copies: copies may be linked through it alone, and it has the most entries
+        weight = open_rows.groupBy("key").agg(F.count("*").alias("entries"))
+        centre = open_rows.join(_few(weight), "key").groupBy("sig").agg(F.max(F.struct("entries", "key", "part")).alias("c"))
+        spokes = open_rows.join(centre, "sig").filter("part <> c.part").select(F.least("key", "c.key").alias("ka"), F.greatest("key", "c.key").alias("kb")).distinct()
+        spokes = written(spokes.join(pairs, ["ka", "kb"], "left_anti"), "jaccard-spokes")
+        if not spokes.isEmpty():
+            links = written(links.unionAll(verified(spokes, "jaccard-links")), "jaccard-more-links")
+            open_rows = still_open(entry, links)
+        tested = pairs.unionAll(spokes)
         sizes = open_rows.select("sig", "part").distinct().groupBy("sig").agg(F.count("*").alias("parts"))
         cold = open_rows.join(sizes.filter(F.col("parts") <= HOT).select("sig"), "sig", "left_semi")
         hot = written(open_rows.join(sizes.filter(F.col("parts") > HOT).select("sig"), "sig", "left_semi"), "jaccard-hot")
@@ -321,7 +335,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
             cold = cold.unionAll(hot.withColumn("scheme", scheme).join(_few(short), ["key", "scheme"], "left_semi").select("sig", "key", "part"))
         x, y = cold.select("sig", F.col("key").alias("ka"), F.col("part").alias("pa")), cold.select("sig", F.col("key").alias("kb"), F.col("part").alias("pb"))
         cross = x.join(y, "sig").filter("pa < pb").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
-        cross = written(cross.join(pairs, ["ka", "kb"], "left_anti"), "jaccard-cross")
+        cross = written(cross.join(tested, ["ka", "kb"], "left_anti"), "jaccard-cross")
         if not cross.isEmpty():
             links = written(links.unionAll(verified(cross, "jaccard-links")), "jaccard-all-links")
         if last or short.isEmpty():
