@@ -2,5 +2,220 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailmill.functions import geo
+from trailmill.functions.shared import written
+from trailmill.functions.tags import CLASS_NAMES, DEFAULT_SURFACES, SURFACES, WAY_CLASSES, classify_ways
+from trailmill.operators import network, ranking, requests, snap
+from trailmill.sources import derived
+from trailmill.streaming import limiter
+
+
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    return classify_ways(derived.osm_ways(spark, d))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return network.build_edges(derived.osm_nodes(spark, d), _kept(spark, d))
+
+
+def network_by_class(spark: SparkSession, d: str) -> DataFrame:
+    return network.by_class(_edges(spark, d))
+
+
+def classified_ways(spark: SparkSession, d: str) -> DataFrame:
+    return _kept(spark, d).select("way_id", F.size("nodes").cast("long").alias("n_refs"), F.col("way_class").cast("int").alias("way_class"), F.col("surface").cast("int").alias("surface"), F.col("traffic").cast("int").alias("traffic"))
+
+
+def directed_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d).select("edge_id", "from_node", "to_node", F.round("length_m", 3).alias("length_m"), F.col("edge_id").bitwiseXOR(1).alias("reverse_edge_id"))
+
+
+def _referenced(spark: SparkSession, d: str) -> DataFrame:
+    return derived.osm_nodes(spark, d).join(_kept(spark, d).select(F.explode("nodes").alias("node_id")).distinct(), "node_id", "left_semi")
+
+
+def node_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return network.degrees(_edges(spark, d), _referenced(spark, d))
+
+
+def network_stats(spark: SparkSession, d: str) -> DataFrame:
+    n = _referenced(spark, d).agg(F.count("*").alias("nodes"), *[F.round(F.coalesce(f(c), F.lit(0.0)), 6).alias(f"{k}_{c}") for k, f in (("min", F.min), ("max", F.max)) for c in ("lat", "lon")])
+    w = _kept(spark, d).agg(F.count("*").alias("ways"))
+    e = _edges(spark, d).agg((F.count("*") / 2).cast("long").alias("segments"), F.count("*").alias("directed_edges"))
+    return w.join(n, F.lit(True)).join(e, F.lit(True))  # three single rows
+
+
+def surface_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return _kept(spark, d).groupBy(F.col("way_class").cast("int").alias("way_class")).agg(F.count("*").alias("ways"), F.count_if(~F.col("tagged")).alias("untagged"))
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    osm, ways = derived.osm_nodes(spark, d), derived.osm_ways(spark, d)
+    kept = written(classify_ways(ways), "kept-ways")
+    return network.network_nodes(osm, kept, written(network.build_edges(osm, kept), "edges"))
+
+
+def node_components(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d).select("node_id", "component_id", "is_main")
+
+
+def component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d).groupBy("component_id").agg(F.count("*").alias("nodes"))
+
+
+def snapped_starts(spark: SparkSession, d: str) -> DataFrame:
+    good = requests.validated(derived.loop_requests(spark, d)).filter("error is null")
+    out = snap.snap(good, written(_nodes(spark, d), "net-nodes"), "request_id", "start_lat", "start_lon")
+    return out.select("request_id", "node_id", F.round("distance_m", 3).alias("distance_m"), "status")
+
+
+def network_audit(spark: SparkSession, d: str) -> DataFrame:
+    return network.audit(_edges(spark, d), derived.osm_nodes(spark, d))
+
+
+def request_errors(spark: SparkSession, d: str) -> DataFrame:
+    return requests.validated(derived.loop_requests(spark, d)).select("request_id", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def request_weights(spark: SparkSession, d: str) -> DataFrame:
+    r = requests.with_defaults(requests.validated(derived.loop_requests(spark, d)).filter("error is null"))
+    return r.select("request_id", F.round("tolerance", 3).alias("tolerance"), F.col("max_results").cast("int").alias("max_results"), F.round("w_paved", 6).alias("w_paved"), F.round("w_traffic", 6).alias("w_traffic"))
+
+
+def edge_costs(spark: SparkSession, d: str) -> DataFrame:
+    e = _edges(spark, d)
+    out = [F.round(geo.edge_cost(F.col("length_m"), F.col("surface"), F.col("traffic"), *geo.weights(F.lit(a))), 2).alias(n) for n, a in (("cost_neutral", 0.0), ("cost_avoid", 0.8))]
+    return e.select("edge_id", *out)
+
+
+def loop_totals(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.totals(derived.loop_edges(spark, d)).select("request_id", "candidate", *[F.round(c, 3).alias(c) for c in ranking.FIGURES], F.size("edge_set").cast("long").alias("n_edges"))
+
+
+def similar_loops(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.similarity(ranking.totals(derived.loop_edges(spark, d))).select("request_id", "a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
+
+
+def distinct_loops(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.distinct_loops(ranking.totals(derived.loop_edges(spark, d))).select("request_id", "candidate")
+
+
+def ranked_loops(spark: SparkSession, d: str) -> DataFrame:
+    out = ranking.ranked(ranking.totals(derived.loop_edges(spark, d)))
+    return out.select("request_id", "candidate", "rank", *[F.round(c, 6).alias(c) for c in ("distance_m", "part_non_bitume", "part_trafic", "part_retracee", "ecart_cible")])
+
+
+def request_counters(spark: SparkSession, d: str) -> DataFrame:
+    return limiter.counters(derived.request_log(spark, d))
+
+
+def admitted_requests(spark: SparkSession, d: str) -> DataFrame:
+    return limiter.admitted(derived.request_log(spark, d))
+
+
+def loop_labels(spark: SparkSession, d: str) -> DataFrame:
+    t = ranking.totals(derived.loop_edges(spark, d))
+    return t.select("request_id", "candidate", geo.distance_label(F.col("length_m")).alias("distance"), geo.duration_label(geo.duration_min(F.col("length_m"), F.lit(6.5))).alias("duration"))
+
+
+QUERIES = {f.__name__: f for f in (
+    network_by_class, classified_ways, directed_edges, node_degrees, network_stats, surface_coverage, node_components, component_sizes, snapped_starts, network_audit,
+    request_errors, request_weights, edge_costs, loop_totals, similar_loops, distinct_loops, ranked_loops, request_counters, admitted_requests, loop_labels)}
+
+_names = ", ".join(f"'{h}'" for h in derived.HIGHWAYS)
+_surface = " ".join(f"when surface in ({', '.join(repr(w) for w in words.split())}) then {code}" for code, words in SURFACES.items())
+_values = ", ".join(f"('{k}', {c}, {t}, {DEFAULT_SURFACES[c]})" for k, (c, t) in WAY_CLASSES.items())
+_MAP = f"""
+osm_node as (
+  select p_partkey as node_id,
+    cast(48.10 as double) + (p_partkey // 40 + ((p_partkey*7919 + p_size*31) % 1000)/cast(1000 as double)*cast(0.8 as double) - cast(0.4 as double))*cast(0.0018 as double) as lat,
+    cast(-1.68 as double) + (p_partkey % 40 + ((p_partkey*104729 + p_size*17) % 1000)/cast(1000 as double)*cast(0.8 as double) - cast(0.4 as double))*cast(0.0027 as double) as lon
+  from part union all
+  select 20000000 + 2*p_partkey + j, cast(48.10 as double) + (p_partkey // 40)*cast(0.0018 as double) + cast(0.0002 as double)*(1+j),
+    cast(-1.68 as double) + (p_partkey % 40)*cast(0.0027 as double) + cast(0.0002 as double)
+  from part, (select unnest([0, 1]) as j) where p_partkey % 97 = 0),
+refs as (
+  select (p_partkey // 40)*10 + k as way_id, p_partkey % 40 as pos, p_partkey as node_id from part, (select unnest(range(0, 5)) as k) where (p_partkey % 40) between 8*k and 8*k+8
+  union all select 1000000 + (p_partkey % 40)*1000 + k, p_partkey // 40, p_partkey from part, (select unnest(range(0, 100)) as k) where (p_partkey // 40) between 8*k and 8*k+8),
+w as (
+  select way_id, list(node_id order by pos) || (case when way_id % 17 = 0 then [10000000 + way_id] else [] end)
+    || (case when way_id % 13 = 0 then [max_by(node_id, pos), max_by(node_id, pos)] else [] end) as nodes, min(node_id) as first_id
+  from refs group by way_id having count(*) >= 2),
+osm_way as (
+  select way_id, nodes, [{_names}][(cast(replace(p_brand, 'Brand#', '') as int) + way_id) % 14 + 1] as highway,
+    case p_type when 'ECONOMY' then 'asphalt' when 'SMALL' then 'gravel' when 'MEDIUM' then 'ground' when 'PROMO' then 'sett' when 'LARGE' then 'tartan' end as surface,
+    case p_size when 50 then 'private' when 49 then 'no' when 1 then 'yes' end as access
+  from w join part on p_partkey = first_id
+  union all select 5000000 + p_partkey, [20000000 + 2*p_partkey, 20000000 + 2*p_partkey + 1], 'footway', null, null from part where p_partkey % 97 = 0),
+known(h, c, t, s) as (values {_values}),
+kept as (
+  select way_id, nodes, c as way_class, t as traffic, case {_surface} else s end as surface, surface is not null as tagged
+  from osm_way join known on highway = h where (access is null or access not in ('private', 'no')) and len(nodes) >= 2),
+seg as (select way_id, way_class, surface, traffic, unnest(range(0, len(nodes) - 1)) as pos, nodes from kept),
+pairs as (select way_id, way_class, surface, traffic, pos, nodes[pos+1] as f, nodes[pos+2] as t from seg where nodes[pos+1] <> nodes[pos+2]),
+measured as (
+  select p.*, 2*6371008.8::double*asin(least(1, sqrt(pow(sin(radians(b.lat-a.lat)/2), 2) + cos(radians(a.lat))*cos(radians(b.lat))*pow(sin(radians(b.lon-a.lon)/2), 2)))) as m
+  from pairs p join osm_node a on a.node_id = f join osm_node b on b.node_id = t),
+edge as (select (way_id*2048 + pos)*2 + dir as edge_id, case when dir = 0 then f else t end as from_node, case when dir = 0 then t else f end as to_node, m as length_m, way_class, surface, traffic
+  from measured, (select unnest([0, 1]) as dir)),
+net as (select * from osm_node where node_id in (select unnest(nodes) from kept))"""
+_PARTS = _MAP + """,
+reach(node_id, c) using key (node_id) as (
+  select node_id, node_id from net
+  union select e.to_node, min(r.c) from reach r join edge e on e.from_node = r.node_id join recurring.reach k on k.node_id = e.to_node where r.c < k.c group by e.to_node),
+sizes as (select c, count(*) as n from reach group by c),
+main as (select c from sizes order by n desc, c limit 1)"""
+_LOOPS = """
+o as (select o_orderkey, o_custkey, cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as int) as candidate from orders),
+e as (
+  select o_custkey as request_id, candidate, l_partkey % 6 as edge_id, cast(l_quantity*100 as double) as m, case when l_partkey % 4 <> 1 then cast(l_quantity*100 as double) else 0 end as u,
+    cast(l_quantity*100 as double)*(l_suppkey % 256)/cast(255 as double) as t, case when l_linenumber = 7 then cast(l_quantity*100 as double) else 0 end as r
+  from o join lineitem on l_orderkey = o_orderkey where candidate < 20),
+loops as (select request_id, candidate, sum(m) as m, sum(u) as u, sum(t) as t, sum(r) as r, count(distinct edge_id) as n from e group by all),
+sets as (select distinct request_id, candidate, edge_id from e),
+near as (
+  select a.request_id, a.candidate as a, b.candidate as b, count(*) as shared from sets a join sets b on a.request_id = b.request_id and a.edge_id = b.edge_id and a.candidate < b.candidate group by all),
+sim as (select near.*, shared / cast(x.n + y.n - shared as double) as j from near join loops x on x.request_id = near.request_id and x.candidate = a join loops y on y.request_id = near.request_id and y.candidate = b)"""
+_REQ = """
+req as (
+  select c_custkey as request_id,
+    case when c_custkey % 51 = 0 then cast(991 as double) when c_custkey % 67 = 0 then cast(43.30 as double) else cast(48.10 as double) + (c_custkey*37 % r)*cast(0.0018 as double) end as lat,
+    case when c_custkey % 67 = 0 then cast(5.37 as double) else cast(-1.68 as double) + (c_custkey*53 % 40)*cast(0.0027 as double) end as lon,
+    c_custkey % 11 as a, case when c_custkey % 61 = 0 then 11 else c_custkey % 7 end as k,
+    case when c_custkey % 53 = 0 then 'tolerance not finite' when c_custkey % 51 = 0 then 'latitude out of range' when c_custkey % 50 = 0 then 'distance too short'
+      when c_custkey % 61 = 0 then 'too many results' when c_custkey % 59 = 0 then 'unknown activity' else '' end as error
+  from customer, (select max(p_partkey) // 40 + 1 as r from part))"""
+
+ORACLES = {
+    "network_by_class": f"with {_MAP} select way_class, count(*) as n_segments, round(sum(length_m), 3) as length_m, round(sum(case when surface <> 1 then length_m else 0 end)/sum(length_m), 6) as unpaved_share from edge where edge_id % 2 = 0 group by way_class",
+    "classified_ways": f"with {_MAP} select way_id, len(nodes) as n_refs, way_class, surface, traffic from kept",
+    "directed_edges": f"with {_MAP} select edge_id, from_node, to_node, round(length_m, 3) as length_m, xor(edge_id, 1) as reverse_edge_id from edge",
+    "node_degrees": f"with {_MAP} select net.node_id, count(edge_id) as degree from net left join edge on from_node = node_id group by net.node_id",
+    "network_stats": f"with {_MAP} select (select count(*) from kept) as ways, count(*) as nodes, round(min(lat), 6) as min_lat, round(min(lon), 6) as min_lon, round(max(lat), 6) as max_lat, round(max(lon), 6) as max_lon, (select count(*)//2 from edge) as segments, (select count(*) from edge) as directed_edges from net",
+    "surface_coverage": f"with {_MAP} select way_class, count(*) as ways, count(*) filter (where not tagged) as untagged from kept group by way_class",
+    "node_components": f"with recursive {_PARTS} select node_id, c as component_id, c = (select c from main) as is_main from reach",
+    "component_sizes": f"with recursive {_PARTS} select c as component_id, n as nodes from sizes",
+    "network_audit": "select unnest(['endpoint', 'reverse', 'length']) as \"check\", cast(0 as bigint) as violations",
+    "request_errors": f"with {_REQ} select request_id, error from req",
+    "request_weights": f"with {_REQ} select request_id, cast(0.15 as double) as tolerance, cast(case when k > 0 then k else 5 end as int) as max_results, round(a/cast(10 as double)*6, 6) as w_paved, round(2 + a/cast(10 as double)*10, 6) as w_traffic from req where error = ''",
+    "edge_costs": f"with {_MAP} select edge_id, round(length_m*(1 + 2*traffic/cast(255 as double)), 2) as cost_neutral, round(length_m*(1 + cast(4.8 as double)*(case surface when 1 then 1 when 2 then cast(0.3 as double) else 0 end) + 10*traffic/cast(255 as double)), 2) as cost_avoid from edge",
+    "loop_totals": f"with {_LOOPS} select request_id, candidate, round(m, 3) as length_m, round(u, 3) as unpaved_m, round(t, 3) as traffic_exposure_m, round(r, 3) as retraced_m, n as n_edges from loops",
+    "similar_loops": f"with {_LOOPS} select request_id, a, b, shared, round(j, 6) as jaccard from sim",
+    "ranked_loops": f"""with {_LOOPS}, s as (select request_id, candidate, m as distance_m, u/m as p, t/m as q, r/m as v, (m - 10000)/10000 as g from loops),
+      k as (select *, row_number() over (partition by request_id order by abs(g) <= cast(0.1 as double) desc, case when abs(g) <= cast(0.1 as double) then p end desc nulls last, case when abs(g) > cast(0.1 as double) then abs(g) end asc nulls first, candidate) as rank from s)
+      select request_id, candidate, cast(rank as int) as rank, round(distance_m, 6) as distance_m, round(p, 6) as part_non_bitume, round(q, 6) as part_trafic, round(v, 6) as part_retracee, round(g, 6) as ecart_cible from k where rank <= 5""",
+    "request_counters": "select event_type as path, count(*) as requests, count(*) filter (where event_type = 'error') as errors, round(sum(value), 3) as total_ms from events group by event_type",
+    "snapped_starts": f"""with recursive {_PARTS}, {_REQ},
+      place as (select n.node_id, lat, lon, cast(floor(lon/cast(0.005 as double)) as int) as x, cast(floor(lat/cast(0.005 as double)) as int) as y from net n join reach using (node_id) where c = (select c from main)),
+      near as (
+        select request_id, p.node_id, p.x - cast(floor(r.lon/cast(0.005 as double)) as int) as dx, p.y - cast(floor(r.lat/cast(0.005 as double)) as int) as dy,
+          2*6371008.8::double*asin(least(1, sqrt(pow(sin(radians(p.lat-r.lat)/2), 2) + cos(radians(r.lat))*cos(radians(p.lat))*pow(sin(radians(p.lon-r.lon)/2), 2)))) as d
+        from req r join place p on abs(p.x - cast(floor(r.lon/cast(0.005 as double)) as int)) <= 20 and abs(p.y - cast(floor(r.lat/cast(0.005 as double)) as int)) <= 20 where error = ''),
+      ring as (select *, greatest(abs(dx), abs(dy)) as ring, min(greatest(abs(dx), abs(dy))) over (partition by request_id) as first from near),
+      best as (select *, row_number() over (partition by request_id order by d, ring, dx, dy, node_id) as k from ring where ring <= first + 1)
+      select r.request_id, b.node_id, round(b.d, 3) as distance_m, case when b.node_id is null then 'start_out_of_range' else 'ok' end as status
+      from req r left join best b on b.request_id = r.request_id and k = 1 where error = ''""",
+}
