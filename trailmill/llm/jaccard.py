@@ -9,8 +9,8 @@ segments get allowance 1 is the cheapest choice for the scheme's sizes.
 
 Entries that don't tell sets apart are not compared all with all: empty subsets aren't indexed at all,
 and entries shared by many sets of different components are set aside. Each scheme has spare credits for
-that; a set that loses more than these is indexed again with the universe cut anew, and what is still set
-aside in the last cut is compared in full. So no link is lost.
+that; the sets that lose more than these are joined by their rarest shingles instead, of which two linked
+sets must share one. So no link is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmill.functions.shared import written
@@ -30,9 +31,8 @@ from trailmill.llm import textkit as tk
 from trailmill.operators.components import connected_components
 
 WIDTH, SHARE = 5, 80
-#: An entry that more components share is set aside until the universe is cut anew.
+#: An entry that more components share is set aside.
 HOT = 24
-CUTS = 3
 #: Sizes of a band, in percent of its first.
 STEP = 150
 #: Low bits of an entry: its scheme, and whether its segment has allowance 1.
@@ -98,28 +98,20 @@ def schemes_of(size: np.ndarray, share: int) -> list[tuple[int, np.ndarray, int,
     return [x for x in out if len(x[1])]
 
 
-def entries(values: np.ndarray, bounds: np.ndarray, cut: int, share: int, last: bool, chosen: set[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+def entries(values: np.ndarray, bounds: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """(entry, row) of ascending sets, and (row, scheme, spare credits that empty subsets leave it).
 
-    An entry's low bits are its scheme and allowance. With `chosen`, only these (row, scheme) are indexed.
+    An entry's low bits are its scheme and allowance.
     """
     size = np.diff(bounds)
     out_sig, out_row, slack = [], [], []
     for scheme, rows, segments, ones, spare in schemes_of(size, share):
-        if chosen is not None:
-            rows = rows[np.array([(int(r), scheme) in chosen for r in rows], dtype=bool)]
-            if not len(rows):
-                continue
         n = size[rows]
         heads = np.concatenate(([0], np.cumsum(n)[:-1]))
         inner = np.arange(int(n.sum())) - np.repeat(heads, n)
         h = values[np.repeat(bounds[rows], n) + inner]
         owner = np.repeat(np.arange(len(rows)), n)
         with np.errstate(over="ignore"):
-            if cut:
-                h = tk.mix64(h + np.uint64(cut) * tk.MIX[13])
-                order = np.lexsort((h, owner))
-                h, owner = h[order], owner[order]
             part = ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
             cell = owner * segments + part
             first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
@@ -127,7 +119,7 @@ def entries(values: np.ndarray, bounds: np.ndarray, cut: int, share: int, last:
             total = np.add.reduceat(values_mixed, first)
             length = np.diff(np.append(first, len(cell)))
             where, seg = owner[first], part[first]
-            tag = np.uint64(scheme + 1) * tk.MIX[10] + seg.astype(np.uint64) * tk.MIX[11] + np.uint64(cut + 1) * tk.MIX[9]
+            tag = np.uint64(scheme + 1) * tk.MIX[10] + seg.astype(np.uint64) * tk.MIX[11]
             wide = seg < ones
             flag = lambda x, w: x >> np.uint64(TAG_BITS) << np.uint64(TAG_BITS) | np.uint64(scheme % (1 << SCHEME_BITS)) | np.asarray(w).astype(np.uint64) << np.uint64(SCHEME_BITS)  # noqa: B023, E731
             sig, sig_row = [flag(tk.mix64(total ^ tag), wide)], [where]
@@ -141,12 +133,6 @@ def entries(values: np.ndarray, bounds: np.ndarray, cut: int, share: int, last:
             # credits that only empty subsets could redeem
             full = np.bincount(where, 1 + wide, len(rows))
             left = (spare - (segments + ones - full) - np.bincount(where, wide & (length == 1), len(rows))).astype(np.int64)
-            if last:
-                for k in np.flatnonzero(left < 0):  # index the empty subsets themselves
-                    have = set(seg[where == k].tolist())
-                    mine = np.array([x for x in range(segments) if x not in have] + seg[(where == k) & wide & (length == 1)].tolist(), dtype=np.uint64)
-                    sig.append(flag(tk.mix64(np.uint64(scheme + 1) * tk.MIX[10] + mine * tk.MIX[11] + np.uint64(cut + 1) * tk.MIX[9]), mine < ones))
-                    sig_row.append(np.full(len(mine), k))
         out_sig.append(np.concatenate(sig))
         out_row.append(rows[np.concatenate(sig_row)])
         slack += [(r, scheme, x) for r, x in zip(rows.tolist(), left.tolist(), strict=True)]
@@ -172,32 +158,26 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(np.diff(bounds)), pa.array(set_keys(values, bounds))], ["doc_id", "text_key", "n", "key"])
 
 
-def _index(cut: int, share: int, last: bool, given: bool):
+def _index(share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part, data, offsets in tk.blocks(batch, "text"):
+            for _, data, offsets in tk.blocks(batch, "text"):
                 values, bounds = tk.shingle_sets(data, offsets, WIDTH)
-                keys = set_keys(values, bounds)
-                wanted = None
-                if given:
-                    wanted = {(k, s) for k, x in enumerate(part.column("schemes").to_pylist()) for s in x}
-                else:
-                    fresh = np.zeros(len(keys), dtype=bool)
-                    for k, key in enumerate(keys.tolist()):
-                        if key not in seen:
-                            fresh[k] = True
-                            seen.add(key)
-                    if len(seen) > SEEN:
-                        seen.clear()
-                    n = np.diff(bounds)
-                    chosen = np.repeat(fresh, n)
-                    values, bounds, keys = values[chosen], np.concatenate(([0], np.cumsum(n[fresh]))), keys[fresh]
-                sig, row, slack = entries(values, bounds, cut, share, last, wanted)
-                extra = np.array([(x + SLACK) << SCHEME_BITS | scheme for _, scheme, x in slack], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate((sig.view(np.int64), extra))), pa.array(np.concatenate((keys[row], keys[[r for r, _, _ in slack]] if slack else keys[:0]))),
-                    pa.array(np.concatenate((np.zeros(len(sig), bool), np.ones(len(extra), bool))))], ["sig", "key", "note"])
+                keys, size = set_keys(values, bounds), np.diff(bounds)
+                fresh = np.zeros(len(keys), dtype=bool)
+                for k, key in enumerate(keys.tolist()):
+                    if key not in seen:
+                        fresh[k] = True
+                        seen.add(key)
+                if len(seen) > SEEN:
+                    seen.clear()
+                values, bounds, keys = values[np.repeat(fresh, size)], np.concatenate(([0], np.cumsum(size[fresh]))), keys[fresh]
+                sig, row, slack = entries(values, bounds, share)
+                notes = np.array([(x + SLACK) << SCHEME_BITS | scheme for _, scheme, x in slack], dtype=np.int64)
+                of = keys[[r for r, _, _ in slack]] if slack else keys[:0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((sig.view(np.int64), notes))), pa.array(np.concatenate((keys[row], of))),
+                                                  pa.array(np.concatenate((np.zeros(len(sig), bool), np.ones(len(notes), bool))))], ["sig", "key", "note"])
 
     return run
 
@@ -234,6 +214,13 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(sig, key, (prev, has), has | note, note)
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, data, offsets in tk.blocks(batch, "text"):
+            values, bounds = tk.shingle_sets(data, offsets, WIDTH)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(set_keys(values, bounds), np.diff(bounds))), pa.array(values.view(np.int64))], ["key", "h"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([zlib.compress(t.as_py().encode(), 1) for t in batch.column("text")], pa.binary())], ["key", "z"])
@@ -269,6 +256,27 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _lacking(texts: DataFrame, parts: DataFrame, share: int) -> DataFrame:
+    """Pairs of sets of different components that can be linked, of the sets that lack credits.
+
+    With shingles in one order, the rarest first, take the first that two linked sets share. What follows it
+    must hold all the rest of their overlap, so it stands early in both: within the first (1 - t) / (1 + t)
+    of the smaller set and the first 1 - t of the larger, and only these are joined.
+    """
+    tokens = written(texts.select("text").mapInArrow(_tokens, "key long, h long"), "jaccard-tokens")
+    placed = tokens.join(_few(parts.withColumnRenamed("node", "key")), "key", "left").select("key", "h", F.coalesce("component", "key").alias("part"))
+    spread = placed.groupBy("h").agg(F.count("*").alias("df"), (F.min("part") != F.max("part")).alias("open"))
+    sizes = tokens.groupBy("key").agg(F.count("*").alias("n"))
+    ranked = placed.join(spread, "h").join(_few(sizes), "key").withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("df", "h")))
+    early = written(ranked.filter("open").filter(100 * (F.col("r") - 1) <= (100 - share) * F.col("n")).select("key", "h", "part", "n", "r"), "jaccard-early")
+    x = early.filter((100 + share) * (F.col("r") - 1) <= (100 - share) * F.col("n")).select("h", F.col("key").alias("ka"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("r").alias("ra"))
+    y = early.select("h", F.col("key").alias("kb"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    room = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
+    found = x.join(y, "h").filter((F.col("pa") != F.col("pb")) & (F.col("na") <= F.col("nb")) & (100 * F.col("na") >= share * F.col("nb")))
+    found = found.filter((100 + share) * room >= share * (F.col("na") + F.col("nb")))
+    return found.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
+
+
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text).
 
@@ -302,46 +310,39 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
         spread = placed.groupBy("sig").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("sig")
         return written(placed.join(spread, "sig", "left_semi"), "jaccard-open")
 
-    links, active, cut = None, None, 0
-    while True:
-        last = cut == CUTS - 1
-        rows = source.select("text") if active is None else texts_of(active.select("key")).join(active, "key").select("text", "schemes")
-        indexed = rows.mapInArrow(_index(cut, share, last, active is not None), "sig long, key long, note boolean")
-        shared = indexed.repartition("sig", F.when(F.col("note"), F.col("key"))).sortWithinPartitions("sig", "note", "key").mapInArrow(_grouped, "sig long, key long, prev long, note boolean")
-        shared = written(shared, "jaccard-shared")
-        scheme = F.col("sig").bitwiseAND((1 << SCHEME_BITS) - 1).cast("int").alias("scheme")
-        entry = shared.filter("not note").select("sig", "key", "prev")
-        pairs = written(entry.filter("prev is not null").select(F.col("prev").alias("ka"), F.col("key").alias("kb")).distinct(), "jaccard-pairs")
-        found = verified(pairs, "jaccard-links")
-        links = found if links is None else links.unionAll(found)
+    indexed = source.select("text").mapInArrow(_index(share), "sig long, key long, note boolean")
+    shared = indexed.repartition("sig", F.when(F.col("note"), F.col("key"))).sortWithinPartitions("sig", "note", "key").mapInArrow(_grouped, "sig long, key long, prev long, note boolean")
+    shared = written(shared, "jaccard-shared")
+    scheme = F.col("sig").bitwiseAND((1 << SCHEME_BITS) - 1).cast("int").alias("scheme")
+    entry = shared.filter("not note").select("sig", "key", "prev")
+    pairs = written(entry.filter("prev is not null").select(F.col("prev").alias("ka"), F.col("key").alias("kb")).distinct(), "jaccard-pairs")
+    found = verified(pairs, "jaccard-links")
+    links = found
+    open_rows = still_open(entry, links)
+    # a text and its many edited copies: copies may be linked through it alone, and it has the most entries
+    weight = open_rows.groupBy("key").agg(F.count("*").alias("entries"))
+    centre = open_rows.join(_few(weight), "key").groupBy("sig").agg(F.max(F.struct("entries", "key", "part")).alias("c"))
+    spokes = open_rows.join(centre, "sig").filter("part <> c.part").select(F.least("key", "c.key").alias("ka"), F.greatest("key", "c.key").alias("kb")).distinct()
+    spokes = written(spokes.join(pairs, ["ka", "kb"], "left_anti"), "jaccard-spokes")
+    if not spokes.isEmpty():
+        links = written(links.unionAll(verified(spokes, "jaccard-links")), "jaccard-more-links")
         open_rows = still_open(entry, links)
-        # a text and its many edited copies: copies may be linked through it alone, and it has the most entries
-        weight = open_rows.groupBy("key").agg(F.count("*").alias("entries"))
-        centre = open_rows.join(_few(weight), "key").groupBy("sig").agg(F.max(F.struct("entries", "key", "part")).alias("c"))
-        spokes = open_rows.join(centre, "sig").filter("part <> c.part").select(F.least("key", "c.key").alias("ka"), F.greatest("key", "c.key").alias("kb")).distinct()
-        spokes = written(spokes.join(pairs, ["ka", "kb"], "left_anti"), "jaccard-spokes")
-        if not spokes.isEmpty():
-            links = written(links.unionAll(verified(spokes, "jaccard-links")), "jaccard-more-links")
-            open_rows = still_open(entry, links)
-        tested = pairs.unionAll(spokes)
-        sizes = open_rows.select("sig", "part").distinct().groupBy("sig").agg(F.count("*").alias("parts"))
-        cold = open_rows.join(sizes.filter(F.col("parts") <= HOT).select("sig"), "sig", "left_semi")
-        hot = written(open_rows.join(sizes.filter(F.col("parts") > HOT).select("sig"), "sig", "left_semi"), "jaccard-hot")
-        # what each key has lost to hot entries; an entry of allowance 1 is worth two credits
-        lost = hot.groupBy("key", scheme).agg(F.sum(F.shiftright("sig", SCHEME_BITS).bitwiseAND(1) + 1).alias("lost"))
-        spare = shared.filter("note").select("key", scheme, (F.shiftright("sig", SCHEME_BITS) - SLACK).alias("spare"))
-        short = written(spare.join(lost, ["key", "scheme"], "left").filter("spare < coalesce(lost, 0)").select("key", "scheme"), "jaccard-short")
-        if last:  # who still lacks credits is compared within its hot entries in full
-            cold = cold.unionAll(hot.withColumn("scheme", scheme).join(_few(short), ["key", "scheme"], "left_semi").select("sig", "key", "part"))
-        x, y = cold.select("sig", F.col("key").alias("ka"), F.col("part").alias("pa")), cold.select("sig", F.col("key").alias("kb"), F.col("part").alias("pb"))
-        cross = x.join(y, "sig").filter("pa < pb").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
-        cross = written(cross.join(tested, ["ka", "kb"], "left_anti"), "jaccard-cross")
-        if not cross.isEmpty():
-            links = written(links.unionAll(verified(cross, "jaccard-links")), "jaccard-all-links")
-        if last or short.isEmpty():
-            break
-        active = written(short.groupBy("key").agg(F.collect_set("scheme").alias("schemes")), "jaccard-active")  # at most three schemes for a set
-        cut += 1
+    tested = pairs.unionAll(spokes)
+    sizes = open_rows.select("sig", "part").distinct().groupBy("sig").agg(F.count("*").alias("parts"))
+    cold = open_rows.join(sizes.filter(F.col("parts") <= HOT).select("sig"), "sig", "left_semi")
+    hot = written(open_rows.join(sizes.filter(F.col("parts") > HOT).select("sig"), "sig", "left_semi"), "jaccard-hot")
+    # what each key has lost to hot entries; an entry of allowance 1 is worth two credits
+    lost = hot.groupBy("key", scheme).agg(F.sum(F.shiftright("sig", SCHEME_BITS).bitwiseAND(1) + 1).alias("lost"))
+    spare = shared.filter("note").select("key", scheme, (F.shiftright("sig", SCHEME_BITS) - SLACK).alias("spare"))
+    short = written(spare.join(lost, ["key", "scheme"], "left").filter("spare < coalesce(lost, 0)").select("key", "scheme"), "jaccard-short")
+    x, y = cold.select("sig", F.col("key").alias("ka"), F.col("part").alias("pa")), cold.select("sig", F.col("key").alias("kb"), F.col("part").alias("pb"))
+    cross = x.join(y, "sig").filter("pa < pb").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
+    cross = written(cross.join(tested, ["ka", "kb"], "left_anti"), "jaccard-cross")
+    if not cross.isEmpty():
+        links = written(links.unionAll(verified(cross, "jaccard-links")), "jaccard-all-links")
+    if not short.isEmpty():
+        lacking = written(_lacking(texts_of(short.select("key").distinct()), connected_components(links, "ka", "kb"), share), "jaccard-lacking")
+        links = written(links.unionAll(verified(lacking.join(tested, ["ka", "kb"], "left_anti"), "jaccard-links")), "jaccard-last-links")
     parts = connected_components(links, "ka", "kb").withColumnRenamed("node", "key")
     grouped = classes.join(parts, "key", "left").select("key", "copies", "least", F.coalesce("component", "key").alias("part"))
     least = grouped.groupBy("part").agg(F.min("least").alias("component_id"), F.sum("copies").alias("total")).filter("total > 1")
