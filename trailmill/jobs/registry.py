@@ -217,5 +217,5 @@ ORACLES = {
       ring as (select *, greatest(abs(dx), abs(dy)) as ring, min(greatest(abs(dx), abs(dy))) over (partition by request_id) as first from near),
       best as (select *, row_number() over (partition by request_id order by d, ring, dx, dy, node_id) as k from ring where ring <= first + 1)
       select r.request_id, b.node_id, round(b.d, 3) as distance_m, case when b.node_id is null then 'start_out_of_range' else 'ok' end as status
-      from req r left join best b on b.request_id = r.request_id and k = 1 where error = ''""",
+      from req r left join best b on b.request_id = r.request_id and b.k = 1 where error = ''""",
 }
