@@ -68,9 +68,10 @@ def duration_label(minutes: Column) -> Column:
     return F.when(m < 60, F.format_string("%d min", m)).otherwise(F.format_string("%d h %02d", F.expr("0") + F.floor(m / 60), m % 60))
 
 
-def duration_min(metres: Column, pace_min_per_km: Column) -> Column:
-    ok = (metres > 0) & (pace_min_per_km > 0) & ~F.isnan(metres) & ~F.isnan(pace_min_per_km)
-    return F.when(ok, metres / 1000 * pace_min_per_km).otherwise(0.0)
+def duration_min(metres: Column, speed_kmh: Column) -> Column:
+    """Minutes at a speed; 0 where either is null, not finite or not above 0."""
+    fine = lambda x: (x > 0) & ~F.isnan(x) & (x < float("inf"))
+    return F.when(fine(metres) & fine(speed_kmh), metres / 1000 / speed_kmh * 60).otherwise(0.0)
 
 
 def xml_escape(text: Column) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmill.functions import geo
+from trailmill.functions import geo, points
 from trailmill.functions.shared import written
 from trailmill.functions.tags import CLASS_NAMES, DEFAULT_SURFACES, SURFACES, WAY_CLASSES, classify_ways
-from trailmill.operators import network, ranking, requests, snap
-from trailmill.sources import derived
+from trailmill.operators import export, network, ranking, requests, snap
+from trailmill.sources import derived, files
 from trailmill.streaming import limiter
 
 
@@ -118,12 +118,62 @@ def admitted_requests(spark: SparkSession, d: str) -> DataFrame:
 
 def loop_labels(spark: SparkSession, d: str) -> DataFrame:
     t = ranking.totals(derived.loop_edges(spark, d))
-    return t.select("request_id", "candidate", geo.distance_label(F.col("length_m")).alias("distance"), geo.duration_label(geo.duration_min(F.col("length_m"), F.lit(6.5))).alias("duration"))
+    return t.select("request_id", "candidate", geo.distance_label(F.col("length_m")).alias("distance"), geo.duration_label(geo.duration_min(F.col("length_m"), F.lit(9.0))).alias("duration"))
+
+
+def requests_in_area(spark: SparkSession, d: str) -> DataFrame:
+    lat, lon = F.col("start_lat"), F.col("start_lon")
+    area = [F.lit(x) for x in (48.10, -1.68, 48.20, -1.60)]
+    return derived.loop_requests(spark, d).select("request_id", points.valid_coord(lat, lon).alias("valid"), points.in_bbox(lat, lon, *area).alias("inside"),
+                                                  points.same_point(lat, lon, F.lit(48.10), F.lit(-1.68)).alias("at_origin"), points.point_label(lat, lon).alias("label"))
+
+
+def clamped_settings(spark: SparkSession, d: str) -> DataFrame:
+    r = derived.loop_requests(spark, d)
+    distance, avoid = points.clamp_settings(r["distance_m"], r["avoid_paved"] + (r["tolerance"] - r["tolerance"]))  # NaN where the tolerance is
+    return r.select("request_id", distance.alias("distance_m"), F.round(avoid, 6).alias("avoid_paved"))
+
+
+def client_keys(spark: SparkSession, d: str) -> DataFrame:
+    return derived.connections(spark, d).select("event_id", points.client_key(F.col("peer"), F.col("forwarded"), ["10.0.0.1", "10.0.0.2"]).alias("client"))
+
+
+def loop_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return export.bounds(derived.loop_points(spark, d), "request_id").select("request_id", *[F.round(f"{k}_{c}", 6).alias(f"{k}_{c}") for k in ("min", "max") for c in ("lat", "lon")])
+
+
+def stitched_loops(spark: SparkSession, d: str) -> DataFrame:
+    return export.stitched(derived.loop_legs(spark, d)).select("request_id", "candidate", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"))
+
+
+def displayed_loops(spark: SparkSession, d: str) -> DataFrame:
+    return export.displayed(ranked_loops(spark, d)).select("request_id", "candidate", "place")
+
+
+def decoded_requests(spark: SparkSession, d: str) -> DataFrame:
+    r = requests.validated(derived.loop_requests(spark, d)).filter("error is null")
+    ids = r.select("request_id", export.loop_id(export.request_json(r), F.col("variant")).alias("id"))
+    return export.decoded_ids(ids).select("request_id", "index", F.round("start_lat", 6).alias("start_lat"), "distance_m", "avoid_paved", "max_results", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def shared_loops(spark: SparkSession, d: str) -> DataFrame:
+    ids = spark.read.parquet(f"{d}/customer.parquet").select(F.concat_ws(".", F.col("c_custkey") % 7, "c_custkey").alias("id"), F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 7).cast("int").alias("index"))
+    return export.shared_loops(ids, ranked_loops(spark, d)).select("id", F.coalesce("candidate", F.lit(-1)).cast("int").alias("candidate"), "status")
+
+
+def loop_gpx(spark: SparkSession, d: str) -> DataFrame:
+    at = derived.loop_points(spark, d).groupBy("request_id", "candidate").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("coords"))  # lines of one order
+    return export.to_gpx(ranking.totals(derived.loop_edges(spark, d)).join(at, ["request_id", "candidate"]).withColumn("distance_m", F.lit(10_000.0)))
+
+
+def source_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return files.fingerprints(spark, f"{d}/part.parquet", "part").unionAll(files.fingerprints(spark, f"{d}/customer.parquet", "customer"))
 
 
 QUERIES = {f.__name__: f for f in (
     network_by_class, classified_ways, directed_edges, node_degrees, network_stats, surface_coverage, node_components, component_sizes, snapped_starts, network_audit,
-    request_errors, request_weights, edge_costs, loop_totals, similar_loops, distinct_loops, ranked_loops, request_counters, admitted_requests, loop_labels)}
+    request_errors, request_weights, edge_costs, loop_totals, similar_loops, distinct_loops, ranked_loops, request_counters, admitted_requests, loop_labels,
+    requests_in_area, clamped_settings, client_keys, loop_bounds, stitched_loops, displayed_loops, decoded_requests, shared_loops, loop_gpx, source_fingerprints)}
 
 _names = ", ".join(f"'{h}'" for h in derived.HIGHWAYS)
 _surface = " ".join(f"when surface in ({', '.join(repr(w) for w in words.split())}) then {code}" for code, words in SURFACES.items())
@@ -219,3 +269,21 @@ ORACLES = {
       select r.request_id, b.node_id, round(b.d, 3) as distance_m, case when b.node_id is null then 'start_out_of_range' else 'ok' end as status
       from req r left join best b on b.request_id = r.request_id and b.k = 1 where error = ''""",
 }
+
+_deg = "cast({} as double)".format
+ORACLES |= {
+    "requests_in_area": f"""with {_REQ} select request_id, abs(lat) <= 90 and abs(lon) <= 180 as valid, lat >= {_deg('48.10')} and lat <= {_deg('48.20')} and lon >= {_deg('-1.68')} and lon <= {_deg('-1.60')} as inside,
+      abs(lat - {_deg('48.10')}) < 1e-5 and abs(lon - {_deg('-1.68')}) < 1e-5 as at_origin, replace(printf('%.4f', lat), '.', ',') || ', ' || replace(printf('%.4f', lon), '.', ',') as label from req""",
+    "clamped_settings": "select c_custkey as request_id, cast(case when c_custkey % 50 = 0 then 2000 else greatest(2000, 1500 + c_custkey*613 % 2500) end as double) as distance_m, round(case when c_custkey % 53 = 0 then cast(0.7 as double) else (c_custkey % 11)/cast(10 as double) end, 6) as avoid_paved from customer",
+    "client_keys": "select event_id, case when user_id % 5 in (1, 2) and event_id % 3 = 0 then '172.16.0.' || (user_id % 250) when user_id % 5 in (1, 2) and event_id % 3 = 2 then '172.17.0.' || (user_id % 9) else '10.0.0.' || (user_id % 5) end as client from events",
+    "loop_bounds": f"with {_MAP}, {_LOOPS} select o_custkey as request_id, round(min(lat), 6) as min_lat, round(min(lon), 6) as min_lon, round(max(lat), 6) as max_lat, round(max(lon), 6) as max_lon from o join lineitem on l_orderkey = o_orderkey join osm_node on node_id = l_partkey where candidate < 20 group by o_custkey",
+    "stitched_loops": f"""with {_LOOPS}, l as (select *, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n from lineitem)
+      select o_custkey as request_id, candidate, string_agg(case when n is null then cast(l_partkey as varchar) else l_partkey || ',' || l_suppkey end, ',' order by l_linenumber, l_partkey, l_suppkey) as nodes
+      from o join l on l_orderkey = o_orderkey where candidate < 20 group by o_custkey, candidate having count(*) > 1""",
+    "displayed_loops": f"select request_id, candidate, cast(row_number() over (partition by request_id order by part_non_bitume desc, rank) as int) as place from ({ORACLES['ranked_loops']})",
+    "decoded_requests": f"with {_REQ} select request_id, cast(request_id % 3 as int) as index, round(lat, 6) as start_lat, cast(1500 + request_id*613 % 2500 as double) as distance_m, a/cast(10 as double) as avoid_paved, cast(k as int) as max_results, error from req where error = ''",
+    "shared_loops": f"select (c_custkey % 7) || '.' || c_custkey as id, cast(coalesce(candidate, -1) as int) as candidate, case when candidate is null then 'not_found' else 'ok' end as status from customer left join ({ORACLES['ranked_loops']}) on request_id = c_custkey and rank - 1 = c_custkey % 7",
+    "loop_labels": f"""with {_LOOPS}, t as (select request_id, candidate, m, cast(floor(m/1000/9*60 + cast(0.5 as double)) as bigint) as mins, cast(floor(m/100 + cast(0.5 as double)) as bigint) as hm from loops)
+      select request_id, candidate, case when m < 1000 then cast(floor(m + cast(0.5 as double)) as bigint) || ' m' else (hm // 10) || ',' || (hm % 10) || ' km' end as distance,
+        case when mins < 60 then mins || ' min' else (mins // 60) || ' h ' || lpad(cast(mins % 60 as varchar), 2, '0') end as duration from t""",
+}

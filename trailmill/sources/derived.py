@@ -67,6 +67,31 @@ def loop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         from o join {lineitem} on l_orderkey = o_orderkey where candidate < 20""", "orders", "lineitem")
 
 
+def loop_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, candidate, seq, lat, lon): the nodes that the lines of loop_edges() stand for."""
+    return spark.sql("""
+        with o as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as candidate from {orders})
+        select o_custkey as request_id, candidate, l_linenumber as seq, lat, lon
+        from o join {lineitem} on l_orderkey = o_orderkey join {nodes} on node_id = l_partkey where candidate < 20""",
+        nodes=osm_nodes(spark, sf_dir), **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "lineitem")})
+
+
+def loop_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, candidate, leg, nodes): a leg from each line of an order to its next."""
+    return _sql(spark, sf_dir, """
+        with o as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as candidate from {orders}),
+        l as (select l_orderkey, row_number() over w as leg, l_partkey, l_suppkey, lead(l_partkey) over w as next from {lineitem} window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey))
+        select o_custkey as request_id, candidate, leg, array(l_partkey, l_suppkey, next) as nodes
+        from o join l on l_orderkey = o_orderkey where candidate < 20 and next is not null""", "orders", "lineitem")
+
+
+def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, peer, forwarded): who asked, and the header that came along."""
+    return _sql(spark, sf_dir, """
+        select event_id, concat('10.0.0.', user_id % 5, ':', 4000 + event_id % 100) as peer,
+          case event_id % 3 when 0 then concat('9.9.9.9, 172.16.0.', user_id % 250, ':80') when 2 then concat('172.17.0.', user_id % 9) end as forwarded from {events}""", "events")
+
+
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, """
         select event_id, concat('c', user_id) as client, event_type as path, value as duration_ms, event_type = 'error' as is_error,
