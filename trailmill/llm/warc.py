@@ -20,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmill.functions.shared import scratch_path
+from trailmill.functions.shared import scratch_path, written
 
 END = "\r\n\r\n"
 BLOCK_LINES = 256
 RECORDS_PER_FILE = 4000
 SALTS = 32
+#: Repeated payloads (under 100 bytes a row) are broadcast up to so many, so that payloads needn't be shuffled.
+BROADCAST_ROWS = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CAPTURE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string, offset long, length long"
@@ -49,18 +51,21 @@ def surt(url: Column) -> Column:
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """`pages` with size, digest, record_type and refers_to.
 
-    The largest page_id of each payload of at least `min_bytes` bytes is the response. Hot payloads are
-    salted: the largest ids are partial aggregates, joined back once for each salt.
+    The largest page_id of each payload of at least `min_bytes` bytes is the response. Repeated payloads are
+    counted: few are broadcast; many are joined by salted keys, as one payload may be hot.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"),
         F.octet_length(body).cast("long").alias("size"), F.sha1(F.encode(body, "UTF-8")).alias("sha1"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     keys = rows.filter((F.col("size") >= min_bytes) & F.col("page_id").isNotNull())
-    kept = keys.groupBy("sha1").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1")
-    kept = kept.select("sha1", "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    found = salted.join(kept, ["sha1", "salt"], "left")
+    kept = keys.groupBy("sha1").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1").select("sha1", "kept")
+    kept = written(kept, "warc-repeats")
+    if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        found = rows.join(F.broadcast(kept), "sha1", "left")
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+        found = salted.join(kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["sha1", "salt"], "left")
     refers = F.when(F.col("kept") > F.col("page_id"), F.col("kept"))
     return found.select("page_id", "url", "html", "size", base32_of_hex(F.col("sha1")).alias("digest"), refers.alias("refers_to"),
                         F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"))
