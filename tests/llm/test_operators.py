@@ -171,7 +171,9 @@ def test_contamination(spark):
     assert contamination.leaks(df, items.limit(0)).count() == 0
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("broadcast_rows", [warc.BROADCAST_ROWS, 0])
+def test_warc(spark, tmp_path, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast_rows)  # 0: the salted join
     bodies = ["<p>x</p>", None, "", "y\r\n\r\nWARC/1.1\r\n", "<p>é</p>", "<p>x</p>", "<p>x</p>"]
     df = spark.createDataFrame([(i, f"http://A.b.com/{i}" if i != 2 else None, h) for i, h in enumerate(bodies)], "page_id long, url string, html string")
     got = {r.page_id: r for r in warc.archive_round_trip(df, f"file://{tmp_path}/w").collect()}
