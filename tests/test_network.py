@@ -7,6 +7,7 @@ from trailmill.functions import geo
 from trailmill.functions.tags import classify_ways, config_hash
 from trailmill.operators import network, ranking, requests, snap
 from trailmill.operators.components import connected_components
+from trailmill.sources import derived
 from trailmill.streaming.limiter import _bucket
 
 
@@ -60,6 +61,16 @@ def test_ranking_and_distinct_loops(spark):
     assert [r.candidate for r in ranking.distinct_loops(same).collect()] == [0]
 
 
+def test_every_order_of_a_customer_is_a_candidate(spark, tmp_path):
+    spark.range(1, 46).selectExpr("id as o_orderkey", "if(id = 45, 2, 1) as o_custkey").write.parquet(f"file://{tmp_path}/orders.parquet")
+    spark.range(1, 91).selectExpr("(id + 1) div 2 as l_orderkey", "id as l_partkey", "id as l_suppkey", "cast(id % 2 + 1 as int) as l_linenumber", "1.0D as l_quantity").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    spark.range(1, 91).selectExpr("id as p_partkey", "1 as p_size").write.parquet(f"file://{tmp_path}/part.parquet")
+    first, second, third = 1, 1 + derived.NEXT_REQUEST, 1 + 2 * derived.NEXT_REQUEST
+    for table, lines in ((derived.loop_edges, 2), (derived.loop_points, 2), (derived.loop_legs, 1)):
+        got = {(r.request_id, r.candidate): r["count"] for r in table(spark, f"file://{tmp_path}").groupBy("request_id", "candidate").count().collect()}
+        assert got == {k: lines for k in [(r, c) for r in (first, second) for c in range(20)] + [(third, c) for c in range(4)] + [(2, 0)]}
+
+
 def test_requests(spark):
     rows = [(1, 48.0, 0.0, 5000.0, math.nan, "", 3), (2, 91.0, 0.0, 5000.0, 0.1, "", 3), (3, 48.0, 0.0, 5000.0, None, "trail", -1), (4, 48.0, 0.0, 499.0, 0.1, "", 3)]
     df = spark.createDataFrame(rows, "request_id long, start_lat double, start_lon double, distance_m double, tolerance double, activity string, max_results int")

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Requests of a customer lie so far apart.
+NEXT_REQUEST = 1 << 40
+#: Every order is a candidate: a customer's first 20 are those of request o_custkey, each 20 more those of a further request.
+_DEALT = f"""o as (
+          select o_orderkey, o_custkey + (n div 20) * {NEXT_REQUEST} as request_id, cast(n % 20 as int) as candidate
+          from (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from {{orders}}))"""
 HIGHWAYS = "path bridleway track footway pedestrian cycleway living_street service residential unclassified tertiary secondary motorway steps".split()
 
 
@@ -57,32 +63,29 @@ def loop_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(request_id, candidate, edge_id, length_m, unpaved_m, traffic_exposure_m, retraced_m): lines of each customer's first 20 orders."""
-    return _sql(spark, sf_dir, """
-        with o as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as candidate from {orders})
-        select o_custkey as request_id, candidate, l_partkey % 6 as edge_id, cast(l_quantity*100 as double) as length_m,
+    """(request_id, candidate, edge_id, length_m, unpaved_m, traffic_exposure_m, retraced_m): lines of every order, dealt as in _DEALT."""
+    return _sql(spark, sf_dir, f"with {_DEALT}" """
+        select request_id, candidate, l_partkey % 6 as edge_id, cast(l_quantity*100 as double) as length_m,
           case when l_partkey % 4 <> 1 then cast(l_quantity*100 as double) else 0D end as unpaved_m,
           cast(l_quantity*100 as double) * (l_suppkey % 256) / 255D as traffic_exposure_m,
           case when l_linenumber = 7 then cast(l_quantity*100 as double) else 0D end as retraced_m
-        from o join {lineitem} on l_orderkey = o_orderkey where candidate < 20""", "orders", "lineitem")
+        from o join {lineitem} on l_orderkey = o_orderkey""", "orders", "lineitem")
 
 
 def loop_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request_id, candidate, seq, lat, lon): the nodes that the lines of loop_edges() stand for."""
-    return spark.sql("""
-        with o as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as candidate from {orders})
-        select o_custkey as request_id, candidate, l_linenumber as seq, lat, lon
-        from o join {lineitem} on l_orderkey = o_orderkey join {nodes} on node_id = l_partkey where candidate < 20""",
+    return spark.sql(f"with {_DEALT}" """
+        select request_id, candidate, l_linenumber as seq, lat, lon
+        from o join {lineitem} on l_orderkey = o_orderkey join {nodes} on node_id = l_partkey""",
         nodes=osm_nodes(spark, sf_dir), **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "lineitem")})
 
 
 def loop_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request_id, candidate, leg, nodes): a leg from each line of an order to its next."""
-    return _sql(spark, sf_dir, """
-        with o as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as candidate from {orders}),
+    return _sql(spark, sf_dir, f"with {_DEALT}," """
         l as (select l_orderkey, row_number() over w as leg, l_partkey, l_suppkey, lead(l_partkey) over w as next from {lineitem} window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey))
-        select o_custkey as request_id, candidate, leg, array(l_partkey, l_suppkey, next) as nodes
-        from o join l on l_orderkey = o_orderkey where candidate < 20 and next is not null""", "orders", "lineitem")
+        select request_id, candidate, leg, array(l_partkey, l_suppkey, next) as nodes
+        from o join l on l_orderkey = o_orderkey where next is not null""", "orders", "lineitem")
 
 
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
