@@ -61,6 +61,18 @@ def test_ranking_and_distinct_loops(spark):
     assert [r.candidate for r in ranking.distinct_loops(same).collect()] == [0]
 
 
+@pytest.mark.parametrize("row", [792, 800, 8000, 99_992, 100_000, 100_008, 120_000])
+def test_columns_of_a_long_lattice_are_whole(spark, tmp_path, row):
+    first, last = row - 8, row + 8  # rows of all 40 columns around the end of a piece
+    part = spark.range(first * 40, last * 40 + 40).selectExpr("id as p_partkey", "1 as p_size", "'Brand#11' as p_brand", "'ECONOMY' as p_type")
+    part.unionAll(part.selectExpr("p_partkey % 640 + 40", "1", "'Brand#11'", "'ECONOMY'").distinct()).write.parquet(f"file://{tmp_path}/part.parquet")
+    ways = derived.osm_ways(spark, f"file://{tmp_path}").filter("way_id < 5000000 or way_id >= 1000000000000")
+    own = ways.select("way_id", F.explode(F.arrays_zip(F.slice("nodes", F.lit(1), F.size("nodes") - 1).alias("f"), F.slice("nodes", F.lit(2), F.size("nodes") - 1).alias("t"))).alias("p")).select("p.*").distinct()
+    down = own.filter(f"t - f = 40 and f >= {first * 40}").count()
+    assert down == (last - first) * 40 and own.filter(f"t - f = 1 and f >= {first * 40}").count() == (last - first + 1) * 39
+    assert own.filter("abs(t - f) > 40 and t < 10000000").count() == 0 and ways.count() == ways.select("way_id").distinct().count()
+
+
 def test_every_order_of_a_customer_is_a_candidate(spark, tmp_path):
     spark.range(1, 46).selectExpr("id as o_orderkey", "if(id = 45, 2, 1) as o_custkey").write.parquet(f"file://{tmp_path}/orders.parquet")
     spark.range(1, 91).selectExpr("(id + 1) div 2 as l_orderkey", "id as l_partkey", "id as l_suppkey", "cast(id % 2 + 1 as int) as l_linenumber", "1.0D as l_quantity").write.parquet(f"file://{tmp_path}/lineitem.parquet")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: From here on are the ids of ways that would meet others': column ways from piece 1,000 on, row ways from row 100,000 on.
+FAR_COLUMNS, FAR_ROWS = 10**12, 2 * 10**12
 #: Requests of a customer lie so far apart.
 NEXT_REQUEST = 1 << 40
 #: Every order is a candidate: a customer's first 20 are those of request o_custkey, each 20 more those of a further request.
@@ -28,15 +30,15 @@ def osm_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def osm_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(way_id, nodes, highway, surface, access)."""
+    """(way_id, nodes, highway, surface, access). Ways are pieces of rows, of columns, or lie apart; no two share an id."""
     names = ", ".join(f"'{h}'" for h in HIGHWAYS)
     return _sql(spark, sf_dir, f"""
         with refs as (
-          select (p_partkey div 40)*10 + k as way_id, p_partkey % 40 as pos, p_partkey as node_id
+          select if(p_partkey div 40 < 100000, 0, {FAR_ROWS}) + (p_partkey div 40)*10 + k as way_id, p_partkey % 40 as pos, p_partkey as node_id
           from {{part}} lateral view explode(sequence(0, 4)) as k where (p_partkey % 40) between 8*k and 8*k+8
           union all
-          select 1000000 + (p_partkey % 40)*1000 + k, p_partkey div 40, p_partkey
-          from {{part}} lateral view explode(sequence(greatest((p_partkey div 40 - 1) div 8, 0), least((p_partkey div 40) div 8, 99))) as k
+          select if(k < 1000, 1000000 + (p_partkey % 40)*1000 + k, {FAR_COLUMNS} + k*40 + p_partkey % 40), p_partkey div 40, p_partkey
+          from {{part}} lateral view explode(sequence(greatest((p_partkey div 40 - 1) div 8, 0), (p_partkey div 40) div 8)) as k
           where (p_partkey div 40) between 8*k and 8*k+8),
         w as (
           select way_id, transform(array_sort(collect_list(struct(pos, node_id))), s -> s.node_id) as own, max_by(node_id, pos) as last_id, min(node_id) as first_id
