@@ -61,6 +61,24 @@ def test_ranking_and_distinct_loops(spark):
     assert [r.candidate for r in ranking.distinct_loops(same).collect()] == [0]
 
 
+def test_each_request_has_as_many_loops_as_it_asks_for(spark):
+    loops = spark.createDataFrame([(r + far, r, c, 1000.0 + c, 0.0, 0.0, 0.0) for r in range(1, 6) for far in (0, 1 << 40) for c in range(8)],
+                                  "request_id long, asked long, candidate int, length_m double, unpaved_m double, traffic_exposure_m double, retraced_m double")
+    rows = [(1, 1000.0, 0.1, 1), (2, 1000.0, 0.1, 6), (3, 1007.0, 0.001, None), (4, 1000.0, 0.1, 11), (5, 1000.0, 0.1, 0)]
+    asked = spark.createDataFrame([(i, 48.0, 0.0, d, t, "", 0.0, n) for i, d, t, n in rows], "request_id long, start_lat double, start_lon double, distance_m double, tolerance double, activity string, avoid_paved double, max_results int")
+    got = ranking.ranked_for(loops, requests.with_defaults(requests.validated(asked))).orderBy("rank").collect()
+    by = {k: [r.candidate for r in got if r.request_id == k] for k in {r.request_id for r in got}}
+    want = {1: [0], 2: [0, 1, 2, 3, 4, 5], 3: [6, 7, 5, 4, 3], 5: [0, 1, 2, 3, 4]}
+    assert by == want | {k + (1 << 40): v for k, v in want.items()}
+
+
+def test_used_segments_cost_more_in_either_direction(spark):
+    costs = spark.createDataFrame([(i, 10.0) for i in range(8)], "edge_id long, cost double")
+    used = spark.createDataFrame([(1,), (1,), (4,), (None,)], "edge_id long")
+    by = lambda f: {r.edge_id: r.cost for r in network.reused_costs(costs, used, f).collect()}
+    assert by(4.0) == {i: 40.0 if i in (0, 1, 4, 5) else 10.0 for i in range(8)} and set(by(0.5).values()) == {10.0} and len(by(4.0)) == 8
+
+
 @pytest.mark.parametrize("row", [792, 800, 8000, 99_992, 100_000, 100_008, 120_000])
 def test_columns_of_a_long_lattice_are_whole(spark, tmp_path, row):
     first, last = row - 8, row + 8  # rows of all 40 columns around the end of a piece

@@ -91,6 +91,13 @@ def edge_costs(spark: SparkSession, d: str) -> DataFrame:
     return e.select("edge_id", *out)
 
 
+def reused_edge_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Neutral costs where a loop has used each third segment in the direction of its odd edge."""
+    e = _edges(spark, d)
+    costs = e.select("edge_id", geo.edge_cost(F.col("length_m"), F.col("surface"), F.col("traffic"), *geo.weights(F.lit(0.0))).alias("cost"))
+    return network.reused_costs(costs, e.filter("edge_id % 6 = 1")).select("edge_id", F.round("cost", 2).alias("cost"))
+
+
 def loop_totals(spark: SparkSession, d: str) -> DataFrame:
     return ranking.totals(derived.loop_edges(spark, d)).select("request_id", "candidate", *[F.round(c, 3).alias(c) for c in ranking.FIGURES], F.size("edge_set").cast("long").alias("n_edges"))
 
@@ -108,6 +115,13 @@ def ranked_loops(spark: SparkSession, d: str) -> DataFrame:
     return out.select("request_id", "candidate", "rank", *[F.round(c, 6).alias(c) for c in ("distance_m", "part_non_bitume", "part_trafic", "part_retracee", "ecart_cible")])
 
 
+def requested_loops(spark: SparkSession, d: str) -> DataFrame:
+    """The best loops of each valid request, as many as it asks for; further requests of a customer ask for the same."""
+    asked = requests.with_defaults(requests.validated(derived.loop_requests(spark, d)))
+    loops = ranking.totals(derived.loop_edges(spark, d)).withColumn("asked", F.col("request_id") % derived.NEXT_REQUEST)
+    return ranking.ranked_for(loops, asked).select("request_id", "candidate", "rank", F.round("ecart_cible", 6).alias("ecart_cible"))
+
+
 def request_counters(spark: SparkSession, d: str) -> DataFrame:
     return limiter.counters(derived.request_log(spark, d))
 
@@ -173,7 +187,8 @@ def source_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     network_by_class, classified_ways, directed_edges, node_degrees, network_stats, surface_coverage, node_components, component_sizes, snapped_starts, network_audit,
     request_errors, request_weights, edge_costs, loop_totals, similar_loops, distinct_loops, ranked_loops, request_counters, admitted_requests, loop_labels,
-    requests_in_area, clamped_settings, client_keys, loop_bounds, stitched_loops, displayed_loops, decoded_requests, shared_loops, loop_gpx, source_fingerprints)}
+    requests_in_area, clamped_settings, client_keys, loop_bounds, stitched_loops, displayed_loops, decoded_requests, shared_loops, loop_gpx, source_fingerprints,
+    requested_loops, reused_edge_costs)}
 
 _names = ", ".join(f"'{h}'" for h in derived.HIGHWAYS)
 _surface = " ".join(f"when surface in ({', '.join(repr(w) for w in words.split())}) then {code}" for code, words in SURFACES.items())
@@ -287,3 +302,14 @@ ORACLES |= {
       select request_id, candidate, case when m < 1000 then cast(floor(m + cast(0.5 as double)) as bigint) || ' m' else (hm // 10) || ',' || (hm % 10) || ' km' end as distance,
         case when mins < 60 then mins || ' min' else (mins // 60) || ' h ' || lpad(cast(mins % 60 as varchar), 2, '0') end as duration from t""",
 }
+
+ORACLES |= {
+    "reused_edge_costs": f"with {_MAP} select e.edge_id, round(length_m*(1 + 2*traffic/cast(255 as double))*(case when u.segment is null then 1 else 4 end), 2) as cost from edge e left join (select distinct edge_id // 2 as segment from edge where edge_id % 6 = 1) u on e.edge_id // 2 = u.segment",
+    "requested_loops": f"""with {_REQ}, n as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders),
+      l as (select o_custkey, o_custkey + (n // 20)*{derived.NEXT_REQUEST} as request_id, cast(n % 20 as int) as candidate, sum(cast(l_quantity*100 as double)) as m,
+        sum(case when l_partkey % 4 <> 1 then cast(l_quantity*100 as double) else 0 end) as u from n join lineitem on l_orderkey = o_orderkey group by all),
+      s as (select l.request_id, candidate, case when m > 0 then u/m else 0 end as p, (m - t)/t as g, case when k > 0 then k else 5 end as most
+        from l join (select *, cast(1500 + request_id*613 % 2500 as double) as t from req where error = '') q on q.request_id = o_custkey),
+      r as (select *, row_number() over (partition by request_id order by abs(g) <= cast(0.15 as double) desc, case when abs(g) <= cast(0.15 as double) then p end desc nulls last, case when abs(g) > cast(0.15 as double) then abs(g) end asc nulls first, candidate) as rank from s)
+      select request_id, candidate, cast(rank as int) as rank, round(g, 6) as ecart_cible from r where rank <= most""",
+}

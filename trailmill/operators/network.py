@@ -10,6 +10,8 @@ from trailmill.functions.tags import classify_ways
 from trailmill.operators.components import connected_components
 
 MAX_REFS = 2048
+#: A segment that a loop has used before costs so many times more.
+REUSE_FACTOR = 4.0
 
 
 def segments(kept: DataFrame) -> DataFrame:
@@ -31,6 +33,13 @@ def build_edges(nodes: DataFrame, kept: DataFrame) -> DataFrame:
                        "length_m", "surface", "way_class", "traffic", "way_id", "pos")
 
 
+def reused_costs(costs: DataFrame, used: DataFrame, factor: float = REUSE_FACTOR) -> DataFrame:
+    """costs(edge_id, cost, ...) with the cost of used(edge_id) segments, in either direction, times `factor` (1 at least)."""
+    segments_used = used.select(F.expr("edge_id div 2").alias("segment")).filter("segment is not null").distinct().withColumn("_used", F.lit(True))
+    out = costs.withColumn("segment", F.expr("edge_id div 2")).join(segments_used, "segment", "left").drop("segment")
+    return out.withColumn("cost", F.when(F.col("_used"), F.col("cost") * max(factor, 1.0)).otherwise(F.col("cost"))).drop("_used")
+
+
 def network_nodes(nodes: DataFrame, kept: DataFrame, edges: DataFrame) -> DataFrame:
     """Every known node of a kept way, with its component (a node without edges is its own) and grid cell."""
     used = kept.select(F.explode("nodes").alias("node_id")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,11 +35,20 @@ def distinct_loops(loops: DataFrame) -> DataFrame:
     return loops.join(chosen.select("request_id", F.explode(kept).alias("candidate")), ["request_id", "candidate"], "left_semi")
 
 
-def ranked(loops: DataFrame, target: float = 10_000.0, tolerance: float = 0.10, max_results: int = 5) -> DataFrame:
-    """Best loops first: inside the tolerance by unpaved share, then outside by gap; ties by candidate."""
+def ranked(loops: DataFrame, target: Column | float = 10_000.0, tolerance: Column | float = 0.10, max_results: Column | int = 5) -> DataFrame:
+    """Best loops first: inside the tolerance by unpaved share, then outside by gap; ties by candidate. The figures may be columns of `loops`."""
     s = score(F.col("length_m"), F.col("unpaved_m"), F.col("traffic_exposure_m"), F.col("retraced_m"), F.lit(target))
-    scored = loops.select("request_id", "candidate", *[v.alias(k) for k, v in s.items()])
+    scored = loops.select("request_id", "candidate", *[v.alias(k) for k, v in s.items()], F.lit(tolerance).alias("_tolerance"), F.lit(max_results).alias("_max_results"))
     gap = F.abs("ecart_cible")
-    inside = gap <= tolerance
+    inside = gap <= F.col("_tolerance")
     order = W.partitionBy("request_id").orderBy(inside.desc(), F.when(inside, F.col("part_non_bitume")).desc(), F.when(~inside, gap).asc(), "candidate")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_results)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("_max_results")).drop("_tolerance", "_max_results")
+
+
+def ranked_for(loops: DataFrame, requests: DataFrame) -> DataFrame:
+    """ranked() by each request's own distance_m, tolerance and max_results; loops without a valid request are left out.
+
+    `requests` has gone through validated() and with_defaults(); `loops` names the request it is for in `asked`.
+    """
+    good = requests.filter("error is null").select(F.col("request_id").alias("asked"), F.col("distance_m").alias("_target"), "tolerance", "max_results")
+    return ranked(loops.join(good, "asked"), F.col("_target"), F.col("tolerance"), F.col("max_results"))
