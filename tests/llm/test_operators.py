@@ -171,6 +171,14 @@ def test_contamination(spark):
     assert contamination.leaks(df, items.limit(0)).count() == 0
 
 
+def test_items_that_share_an_id(spark):
+    a, b, c, d = (say(30) for _ in range(4))
+    docs = spark.createDataFrame([(k, f"{say(100)} {t} {say(100)}") for k, t in enumerate((a, b, c, d, say(30)))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, a), (7, b), (7, b), (None, c), (None, d), (None, None), (7, "")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.item_shingles, r.shared_shingles) for r in contamination.leaks(docs, items).collect()) == [(0, 7, 26, 26), (1, 7, 26, 26), (2, None, 26, 26), (3, None, 26, 26)]
+    assert {r.doc_id for r in contamination.decontaminated(docs, items).collect()} == {4}
+
+
 @pytest.mark.parametrize("broadcast_rows", [warc.BROADCAST_ROWS, 0])
 def test_warc(spark, tmp_path, monkeypatch, broadcast_rows):
     monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast_rows)  # 0: the salted join

@@ -17,7 +17,7 @@ from trailmill.functions.shared import written
 
 WIDTH = 5
 SHARE = 80
-#: Sides of at most so many rows (16 bytes each) are broadcast; larger ones are shuffled.
+#: Sides of at most so many rows (32 bytes each at most) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -48,26 +48,31 @@ def shingles(hashed: DataFrame, width: int, *keys: str) -> DataFrame:
 
 
 def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id, n, q, h) of the q distinct shingles of each item; one of n < `width` words is one run of its own."""
-    hashed = word_hashes(items, "item_id").withColumn("n", F.least(F.size("w"), F.lit(width))).filter("n > 0")
-    parts = [shingles(hashed.filter(F.col("n") == n), n, "item_id", "n") for n in range(1, width + 1)]
+    """(item_id, item_key, n, q, h) of the q distinct shingles of each item; one of n < `width` words is one run of its own.
+
+    An item is a text under an id: rows that share an id are items each for itself.
+    """
+    keyed = items.select("item_id", F.xxhash64("text").alias("item_key"), "text")
+    hashed = word_hashes(keyed, "item_id", "item_key").withColumn("n", F.least(F.size("w"), F.lit(width))).filter("n > 0")
+    parts = [shingles(hashed.filter(F.col("n") == n), n, "item_id", "item_key", "n") for n in range(1, width + 1)]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionAll(part)
     every = every.distinct()
-    return every.join(every.groupBy("item_id").agg(F.count("*").alias("q")).withColumnRenamed("item_id", "item"), F.col("item_id").eqNullSafe(F.col("item"))).drop("item")
+    sizes = every.groupBy("item_id", "item_key").agg(F.count("*").alias("q")).withColumnsRenamed({"item_id": "item", "item_key": "key"})
+    return every.join(sizes, F.col("item_id").eqNullSafe(F.col("item")) & (F.col("item_key") == F.col("key"))).drop("item", "key")
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: int = SHARE, width: int = WIDTH) -> DataFrame:
     """(doc_id, item_id, item_shingles, shared_shingles) of documents that hold `share` percent of an item's shingles.
 
     Texts without words hold nothing and are in nothing; rows of docs(doc_id, text) that repeat count once,
-    rows that share a doc_id are compared each for itself; null ids are kept. Other columns are ignored.
-    An empty table on either side gives an empty table.
+    rows that share a doc_id or an item_id are compared each for itself; null ids are kept. Of the items of
+    one id that a document holds, the figures are those of the largest. Other columns are ignored. An empty table on either side gives an empty table.
     """
     wanted = written(item_shingles(items.select("item_id", "text").distinct(), width), "items")
     misses = F.floor((F.lit(100) - share) * F.col("q") / 100)
-    sketch = wanted.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy("h"))).filter(F.col("rank") <= misses + 1)
+    sketch = wanted.withColumn("rank", F.row_number().over(W.partitionBy("item_id", "item_key").orderBy("h"))).filter(F.col("rank") <= misses + 1)
     # partitions by size: powers of two of q, each with the largest hash of its sketches
     sketch = written(sketch.select("n", "h", F.floor(F.log2("q")).cast("int").alias("band")), "sketch")
     bands = sketch.groupBy("n", "band").agg(F.max("h").alias("top")).collect()  # at most 64 * `width` rows
@@ -88,10 +93,10 @@ def leaks(docs: DataFrame, items: DataFrame, share: int = SHARE, width: int = WI
     suspects = written(met.select("doc_id", "text_key").distinct(), "suspects")
     named = suspects.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     near = source.join(_small(named), F.col("text_key").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    shared = runs(near, below=False).join(_small(wanted.select("item_id", "q", "h")), "h").select("doc_id", "text_key", "item_id", "q", "h").distinct()
-    counted = shared.groupBy("doc_id", "text_key", "item_id", "q").agg(F.count("*").alias("shared"))
-    return counted.filter(F.lit(100) * F.col("shared") >= share * F.col("q")).groupBy("doc_id", "item_id").agg(
-        F.max("q").cast("int").alias("item_shingles"), F.max("shared").alias("shared_shingles"))
+    shared = runs(near, below=False).join(_small(wanted.select("item_id", "item_key", "q", "h")), "h").select("doc_id", "text_key", "item_id", "item_key", "q", "h").distinct()
+    counted = shared.groupBy("doc_id", "text_key", "item_id", "item_key", "q").agg(F.count("*").alias("shared"))
+    held = counted.filter(F.lit(100) * F.col("shared") >= share * F.col("q")).groupBy("doc_id", "item_id").agg(F.max(F.struct("q", "shared")).alias("b"))
+    return held.select("doc_id", "item_id", F.col("b.q").cast("int").alias("item_shingles"), F.col("b.shared").alias("shared_shingles"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
