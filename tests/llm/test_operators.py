@@ -201,6 +201,22 @@ def test_extraction(spark):
     assert got[1] == ("A & b\nOne two\nThree four five.", 30) and got[2] == got[3] == ("", 0)
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><body><p>One two</p><p>three", "<head><meta charset=utf-8><link rel=x><p>One two</p><p>three", "<head><style>a{}</style>One two<p>three",
+    "<html><head></head><body><svg width=1 /><p>One two</p><MATH/><p>three", "<body><svg class='a>/' d=\"/>\"/><p>One two</p><p>three<svg><path d=1 />x</svg>",
+    "<body><p>One two</p><svg xmlns=http://a.b/c><g/>x</svg><math><mi/>y</math><p>three"])
+def test_pages_with_open_heads_and_self_closed_elements(page):
+    assert [t for _, t, _ in extraction.blocks_of(page)] == ["One two", "three"]
+
+
+def test_training_learns_whole_pages(monkeypatch):
+    seen = []
+    known = extraction.Labeller.gradients
+    monkeypatch.setattr(extraction.Labeller, "gradients", lambda self, x, mask, y: seen.append(int(mask.sum(axis=1).max())) or known(self, x, mask, y))
+    extraction.train(["<article>" + "".join(f"<p>word {k}</p>" for k in range(300)) + "</article><footer>end</footer>"], epochs=1)
+    assert max(seen) >= 301
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -36,15 +36,17 @@ NOT_MAIN = frozenset("nav header footer aside form menu button dialog".split())
 NOT_MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|header|footer|notice|alert|cookie\w*|consent|popup|comment\w*|reply|replies|respond|related|share|social|breadcrumbs?|pager|pagination|newsletter|subscribe|login|search|widget|toolbar)(?:$|[-_ ])")
 MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:article|content|main|post|entry|story|body|text)(?:$|[-_ ])")
 
+#: Elements that may stand in head; any other one, or text outside them, ends a head left open.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title)(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s>/])(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title)(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(tag path, text, characters inside links) of each leaf block; references decoded, white space folded."""
-    out, path, buffer, linked, links = [], [], [], 0, 0
+    out, path, buffer, linked, links, headed = [], [], [], 0, 0, False
 
     def flush() -> None:
         nonlocal linked
@@ -54,9 +56,19 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         buffer.clear()
         linked = 0
 
+    def leave_head() -> None:
+        nonlocal headed
+        headed = False
+        at = next((k for k, (_, t) in enumerate(path) if t == "head"), None)
+        if at is not None:
+            flush()
+            del path[at:]
+
     for m in _TOKEN.finditer(page):
         text = m[5]
         if text is not None:
+            if headed and path and path[-1][1] == "head" and not text.isspace():
+                leave_head()
             buffer.append(text)
             if links:
                 linked += len(text)
@@ -64,6 +76,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         tag = m[3] and m[3].lower()
         if not tag:
             continue
+        if headed and not m[2] and tag not in IN_HEAD:
+            leave_head()
         if tag == "br":
             buffer.append(" ")
             continue
@@ -89,6 +103,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             links += 1
         names = " ".join("".join(x) for x in _NAMES.findall(m[4])).lower() if "=" in m[4] else ""
         path.append((f"{tag} {names}".strip(), tag))
+        headed = headed or tag == "head"
     flush()
     return [(p, t, n) for p, t, n in out if not any(x.split(" ", 1)[0] in SILENT for x in p)]
 
@@ -277,17 +292,17 @@ def laid_out(main: list[str], rest: list[str], rng: np.random.Generator) -> tupl
 
 
 def train(pages: list[str], epochs: int = 14, seed: int = 7) -> Labeller:
-    """Labels come from `silver` for the pages as they are, and by construction for pages laid out anew."""
+    """Labels come from `silver` for the pages as they are, and by construction for pages laid out anew; all are learnt whole."""
     rng = np.random.default_rng(seed)
     found = [b for b in map(blocks_of, pages) if b]
     labels = [[silver(path) for path, _, _ in b] for b in found]
     texts = [t for b in found for _, t, _ in b] or ["Some words of text, as a page may have them."]
     for k in range(max(len(found), 60)):
         own = [t for (_, t, _), y in zip(found[k], labels[k], strict=True) if y] if k < len(pages) and k < len(found) else []
-        blocks, ys = laid_out((own or [texts[j] for j in rng.integers(len(texts), size=int(rng.integers(2, 12)))])[:40], texts, rng)
+        blocks, ys = laid_out((own or [texts[j] for j in rng.integers(len(texts), size=int(rng.integers(2, 12)))]), texts, rng)
         found.append(blocks)
         labels.append(ys)
-    x = [f[:120] for f in features(found)]
+    x = features(found)
     model = Labeller.new(seed)
     params = [*model.w, model.out]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -299,7 +314,7 @@ def train(pages: list[str], epochs: int = 14, seed: int = 7) -> Labeller:
             xs, mask = padded([x[k] for k in mine], max(len(x[k]) for k in mine))
             y = np.zeros(mask.shape)
             for row, k in enumerate(mine):
-                y[row, : len(x[k])] = labels[k][: len(x[k])]
+                y[row, : len(x[k])] = labels[k]
             step += 1
             for p, g, m, v in zip(params, model.gradients(xs.astype(float), mask, y), first, second, strict=True):
                 m *= 0.9
