@@ -161,6 +161,15 @@ def test_licences(spark):
     assert got == {(0, 0): ("mit", True), (4, 1): ("apache-2.0", True)}
 
 
+def test_licence_versions_and_dual_licences(spark):
+    lines = ["This work is licensed under the GNU General Public License, version 2.", "Licensed under CC BY 3.0.", "Released under the 2-clause BSD License.", "Licensed under CC BY 7.0.",
+             "This work is licensed under the GNU General Public License, version 9.", "Released under the MIT License. Licensed under the Apache License, Version 2.0.",
+             "This work is licensed under the GNU Lesser General Public License, version 3.", "Licensed under CC BY-NC-SA 4.0."]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {(r.doc_id, r.family) for r in licences.scan(df).collect() if r.confirmed}
+    assert got == {(0, "gpl-2.0"), (1, "cc-by-3.0"), (2, "bsd-2-clause"), (5, "mit"), (5, "apache-2.0"), (6, "lgpl-3.0"), (7, "cc-by-nc-sa-4.0")}
+
+
 def test_contamination(spark):
     item = say(30)
     rows = [(1, say(400) + " " + item.upper() + " " + say(400)), (2, say(50)), (3, None), (4, " ".join(item.split()[:10])), (5, "three short words")]
