@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import json
 import math
 
@@ -77,6 +78,15 @@ def test_files(spark, tmp_path):
     assert [x.count() for x in files.read_network(spark, f"file://{tmp_path}/net")] == [2, 3]
 
 
+def test_fingerprints_of_large_files(spark, tmp_path, monkeypatch):
+    bodies = {"small": b"abc", "large one": bytes(range(256)) * 5000, "edge": b"x" * 1000}
+    for k, v in bodies.items():
+        (tmp_path / k).write_bytes(v)
+    monkeypatch.setattr(files, "MAX_FINGERPRINT_BYTES", 1000)
+    got = {(r.file, r.sha256, r.size_bytes) for r in files.fingerprints(spark, f"file://{tmp_path}", "f").collect()}
+    assert got == {(k, hashlib.sha256(v).hexdigest(), len(v)) for k, v in bodies.items()}
+
+
 def test_streams_agree_with_batch(spark, tmp_path):
     log = spark.createDataFrame([(i, f"c{i % 3}", "view" if i % 10 == 0 else "buy", float(i), i % 4 == 0, i * 100_000) for i in range(120)],
                                 "event_id long, client string, path string, duration_ms double, is_error boolean, t_us long")

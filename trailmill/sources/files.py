@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMAT_VERSION = 1
-#: binaryFile holds a whole file in one row.
+#: binaryFile holds a whole file in one row; larger files are read as streams.
 MAX_FINGERPRINT_BYTES = 1 << 30
 
 
@@ -26,12 +26,25 @@ def read_osm_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     return nodes, ways
 
 
+def _streamed_sha256(spark: SparkSession, path: str) -> str:
+    """sha256 of a file of any size, read piece by piece in the driver's JVM through the file system that Spark reads by."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(at)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
 def fingerprints(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(name, file, sha256, size_bytes) of the files at `path`; larger ones than MAX_FINGERPRINT_BYTES have no sha256."""
+    """(name, file, sha256, size_bytes) of the files at `path`; files over MAX_FINGERPRINT_BYTES are hashed one after another, when this is called."""
     files = spark.read.format("binaryFile").load(path)
-    small = files.filter(F.col("length") <= MAX_FINGERPRINT_BYTES).select("path", "length", F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > MAX_FINGERPRINT_BYTES).select("path", "length", F.lit(None).cast("string").alias("sha256"))
-    return small.unionAll(large).select(F.lit(name).alias("name"), F.element_at(F.split("path", "/"), -1).alias("file"), "sha256", F.col("length").alias("size_bytes"))
+    found = files.filter(F.col("length") <= MAX_FINGERPRINT_BYTES).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > MAX_FINGERPRINT_BYTES).select("path", "length").collect()  # a row for each large file
+    if large:
+        found = found.unionAll(spark.createDataFrame([(r.path, r.length, _streamed_sha256(spark, r.path)) for r in large], "path string, length long, sha256 string"))
+    return found.select(F.lit(name).alias("name"), F.element_at(F.split("path", "/"), -1).alias("file"), "sha256", F.col("length").alias("size_bytes"))
 
 
 def write_network(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
