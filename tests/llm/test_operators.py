@@ -202,6 +202,14 @@ def test_warc(spark, tmp_path, monkeypatch, broadcast_rows):
     assert warc.read_range(spark, found[0]).endswith(b"y\r\n\r\nWARC/1.1\r\n\r\n\r\n")
 
 
+def test_ranges_are_read_from_their_offset(spark, tmp_path):
+    name = tmp_path / "sparse"
+    with name.open("wb") as f:  # more than binaryFile holds, nearly no disk
+        f.seek((1 << 31) + 5)
+        f.write(b"record")
+    assert warc.read_range(spark, {"file": f"file://{name}", "offset": (1 << 31) + 6, "length": 4}) == b"ecor"
+
+
 def test_extraction(spark):
     page = ("<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><div class=ad>Buy now</div><article><h1>A &amp; b</h1><p><b>One\n two<br><p>Three four five.</p></article>"
             "<footer>(c)</footer></body></html>")

@@ -189,11 +189,13 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, index: str, url: str) -> list[dict]:
-    """Captures of one URL: the directory names the blocks that can hold its key; each is searched by bisection."""
+    """Captures of one URL: the directory is filtered for the blocks that can hold its key; those alone are asked for and searched by bisection."""
     key = spark.range(1).select(surt(F.lit(url))).first()[0]
-    near = spark.read.parquet(f"{index}/directory").filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("part", "block")
-    found = []
-    for row in spark.read.schema(BLOCK).parquet(f"{index}/blocks").join(F.broadcast(near), ["part", "block"]).select("data").toLocalIterator():
+    near = spark.read.parquet(f"{index}/directory").filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).groupBy("part").agg(F.min("block").alias("a"), F.max("block").alias("b")).collect()
+    found, mine = [], F.lit(False)
+    for r in near:  # blocks of a part are in key order: those of one key are a run
+        mine = mine | (F.col("part") == r["part"]) & F.col("block").between(r["a"], r["b"])
+    for row in spark.read.schema(BLOCK).parquet(f"{index}/blocks").filter(mine).select("data").toLocalIterator():
         lines = _lines(bytes(row[0]))
         keys = [k for k, _ in lines]
         found += [v for _, v in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
@@ -201,9 +203,15 @@ def lookup(spark: SparkSession, index: str, url: str) -> list[dict]:
 
 
 def read_range(spark: SparkSession, capture: dict) -> bytes:
-    """The record of a capture: one range of one archive."""
-    content = spark.read.format("binaryFile").load(capture["file"])
-    return bytes(content.select(F.substring("content", capture["offset"] + 1, capture["length"])).first()[0])
+    """The record of a capture: one range of one archive, read from its offset on by the driver's JVM."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(capture["file"])
+    stream = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(at)
+    try:
+        stream.seek(capture["offset"])
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, capture["length"]))
+    finally:
+        stream.close()
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
