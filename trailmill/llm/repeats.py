@@ -11,22 +11,28 @@ Snippets of an anchor that very many texts share are split further, by start and
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.functions.shared import written
 from trailmill.llm import textkit as tk
-from trailmill.llm.induced import repeated
+from trailmill.llm.induced import PAD, repeated
 
 DEPTH, ANCHOR = 400, 100
-#: Distinct snippets of one anchor beyond which its starts are dealt out one by one.
-HOT = 20_000
-#: Bytes that are sorted at once; a shard may hold more, anchor after anchor.
-SHARD_BYTES = 24 << 20
+#: Distinct snippets of one anchor beyond which its starts are dealt out one by one, and rows beyond which its snippets are.
+HOT, HOT_ROWS = 20_000, 100_000
+#: Bytes of snippets that a shard takes before it is sorted; it takes whole anchors, so it may be larger.
+SHARD_BYTES = 8 << 20
+#: Bytes of texts that are searched for anchors at once.
+PIECE = 1 << 20
+#: Copies that a task remembers in order not to search them twice; only saves work.
+SEEN = 100_000
 BROADCAST_ROWS = 500_000
 
 
@@ -78,43 +84,54 @@ def snippets(data: np.ndarray, offsets: np.ndarray, depth: int, anchor: int) ->
 
 
 def _anchors(depth: int, anchor: int):
+    def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        if len(offsets) > 2 or len(data) <= 2 * PIECE:
+            yield snippets(data, offsets, depth, anchor)
+            return
+        for at in range(0, len(data), PIECE):  # an anchor depends on no more than the `depth` bytes that it is chosen for
+            part = data[at : at + PIECE + depth - 1]
+            owner, lo, hi, h, whole = snippets(part, np.array([0, len(part)]), depth, anchor)
+            yield owner, lo + at, hi + at, h, whole
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part, data, offsets in tk.blocks(batch, "text", 1 << 20):
-                owner, lo, hi, h, whole = snippets(data, offsets, depth, anchor)
-                keys = part.column("text_key").to_numpy()
-                fresh = np.zeros(len(keys), dtype=bool)
-                for k, key in enumerate(keys.tolist()):  # of copies that a task reads, one is enough
+            for part, data, offsets in tk.blocks(batch, "text", PIECE):
+                k1, k2 = part.column("k1").to_numpy(), part.column("k2").to_numpy()
+                fresh = np.zeros(len(k1), dtype=bool)
+                for k, key in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)):  # of copies that a task reads, one is enough
                     if key not in seen:
                         fresh[k] = True
                         seen.add(key)
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
-                keep = fresh[owner]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (h[keep].view(np.int64), whole[keep].view(np.int64), keys[owner[keep]], lo[keep].astype(np.int32), hi[keep].astype(np.int32))],
-                    ["anchor", "whole", "text_key", "lo", "hi"])
+                if not fresh.any():
+                    continue
+                for owner, lo, hi, h, whole in pieces(data, offsets):
+                    keep = fresh[owner]
+                    owner = owner[keep]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (h[keep].view(np.int64), whole[keep].view(np.int64), k1[owner], k2[owner], lo[keep].astype(np.int32), hi[keep].astype(np.int32))],
+                        ["anchor", "whole", "k1", "k2", "lo", "hi"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (anchor, whole, text_key, lo): those whose anchor has several, and how they stand.
+    """Of rows sorted by (anchor, whole, k1, k2, lo): those whose anchor has several, and how they stand.
 
     many: an equal snippet is elsewhere. lead: the first of its equals, which stands for them.
     """
     held = None
     for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in ("anchor", "whole", "text_key", "lo", "hi")]
+        cols = [batch.column(c).to_numpy() for c in ("anchor", "whole", "k1", "k2", "lo", "hi")]
         cols += [np.zeros(len(cols[0]), bool), np.zeros(len(cols[0]), bool)]  # like the one before: anchor, snippet
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        anchor, whole, key, lo, hi, _, _ = cols
-        again = np.zeros(len(anchor), dtype=bool)
-        again[1:] = (anchor[1:] == anchor[:-1]) & (key[1:] == key[:-1]) & (lo[1:] == lo[:-1])  # the same place, read twice
+        again = np.zeros(len(cols[0]), dtype=bool)
+        again[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:5]])  # the same place, read twice
         cols = [c[~again] for c in cols]
-        anchor, whole, key, lo, hi, near, like = cols
+        anchor, whole, near, like = cols[0], cols[1], cols[6], cols[7]
         near[1:] |= anchor[1:] == anchor[:-1]
         like[1:] |= (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])
         held = [c[-1:].copy() for c in cols]
@@ -125,116 +142,195 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep[-1:] = False
         yield _kept(keep, cols, many)
     if held is not None:
-        yield _kept(held[5], held, held[6])
+        yield _kept(held[6], held, held[7])
 
 
 def _kept(keep: np.ndarray, cols: list[np.ndarray], many: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*cols[:1], *cols[2:5], many, ~cols[6])], ["anchor", "text_key", "lo", "hi", "many", "lead"])
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (cols[0], *cols[2:6], many, ~cols[7])], ["anchor", "k1", "k2", "lo", "hi", "many", "lead"])
 
 
 def _cut(depth: int):
+    names, kinds = ["k1", "k2", "anchor", "lo", "bytes"], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in tk.blocks(batch, "text"):
-                raw, names = data.tobytes(), ["text_key", "anchor", "lo", "many", "bytes"]
-                rows = [(key, s["anchor"], s["lo"], s["many"], raw[at + s["lo"] : at + s["hi"] + depth])
-                        for key, at, found in zip(part.column("text_key").to_pylist(), offsets[:-1].tolist(), part.column("found").to_pylist(), strict=True) for s in found]
-                for k in range(0, len(rows), 5000):
-                    cols = zip(*rows[k : k + 5000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names)
+            for k1, k2, text, found in zip(*(batch.column(c) for c in ("k1", "k2", "text", "found")), strict=True):
+                raw, rows = text.as_py().encode(), found.as_py()
+                for k in range(0, len(rows), 1000):
+                    part = rows[k : k + 1000]
+                    cols = ([k1.as_py()] * len(part), [k2.as_py()] * len(part), [s["anchor"] for s in part], [s["lo"] for s in part], [raw[s["lo"] : s["hi"] + depth] for s in part])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     return run
 
 
-def _sorted(depth: int):
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        # 0 ends a snippet; texts' bytes move up by one, which UTF-8 leaves room for
-        text = np.frombuffer(b"\0".join(bytes(r[4]).translate(_UP) for r in rows), dtype=np.uint8)
-        found, at, out = repeated(text, depth), 0, []
-        for key, _, lo, _, body in rows:
-            flags = np.concatenate(([False], np.asarray(found[at : at + len(body) - depth + 1]), [False])).astype(np.int8)
-            step = np.diff(flags)
-            out += [(key, lo + a, lo + b - 1) for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)]
-            at += len(body) + 1
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["text_key", "lo", "hi"])
+class _Shard:
+    """Snippets of whole anchors in a task-local file, which ends with the task, and the rows they came from."""
+
+    def __init__(self):
+        self.file, self.size, self.rows = tempfile.TemporaryFile(), 0, []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if not batch.num_rows:
+            return
+        column = batch.column("bytes").cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        data, offsets = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+        ends = offsets[1:] + np.arange(1, len(offsets))  # 0 ends a snippet; texts' bytes move up by one, which UTF-8 leaves room for
+        out = np.zeros(len(data) + batch.num_rows, np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[ends - 1] = False
+        out[inside] = data + 1
+        self.file.write(out.tobytes())
+        heads = self.size + np.append(0, ends[:-1])
+        self.rows.append([*(batch.column(c).to_numpy() for c in ("k1", "k2", "lo")), heads])
+        self.size += len(out)
+
+    def ranges(self, depth: int) -> Iterator[pa.RecordBatch]:
+        """(k1, k2, lo, hi): runs of starts whose strings are found elsewhere in the shard."""
+        self.file.write(b"\xff" * PAD)
+        self.file.flush()
+        text = np.memmap(self.file, np.uint8, "r")
+        k1, k2, lo, heads = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        found, before, open_at = repeated(text, self.size, depth), False, 0
+        for at in range(0, self.size, 1 << 20):
+            flags = np.concatenate(([before], found[at : at + (1 << 20)], [False] * (at + (1 << 20) >= self.size)))
+            step = np.diff(flags.astype(np.int8))
+            first, last = np.flatnonzero(step == 1) + at, np.flatnonzero(step == -1) + at - 1
+            if before:
+                first = np.append(open_at, first)
+            before = bool(flags[-1])
+            if before:
+                open_at, first = int(first[-1]), first[:-1]
+            owner = np.searchsorted(heads, first, side="right") - 1
+            base = lo[owner].astype(np.int64) - heads[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(k1[owner]), pa.array(k2[owner]), pa.array((first + base).astype(np.int32)), pa.array((last + base).astype(np.int32))], ["k1", "k2", "lo", "hi"])
+
 
+def _sorted(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        shard, last = _Shard(), None
         for batch in batches:  # sorted by anchor
-            for row in zip(*(batch.column(c).to_pylist() for c in ("text_key", "anchor", "lo", "many", "bytes")), strict=True):
-                if size > SHARD_BYTES and row[1] != rows[-1][1]:
-                    yield solve(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4]) + 1
-        if rows:
-            yield solve(rows)
+            anchor = batch.column("anchor").to_numpy()
+            total = np.append(0, np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy() + 1))
+            heads = np.flatnonzero(np.append(last is None or anchor[:1] != last, anchor[1:] != anchor[:-1])[: len(anchor)])
+            at = 0
+            while at < len(anchor):
+                full = heads[(heads >= at) & (shard.size + total[heads] - total[at] >= SHARD_BYTES)]
+                end = int(full[0]) if len(full) else len(anchor)
+                shard.add(batch.slice(at, end - at))
+                if len(full):
+                    yield from shard.ranges(depth)
+                    shard = _Shard()
+                at = end
+            last = anchor[-1:]
+        if shard.size:
+            yield from shard.ranges(depth)
 
     return run
 
 
-_UP = bytes([*range(1, 256), 0])
-
-
 def _starts(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, anchor, lo, body in zip(*(batch.column(c).to_pylist() for c in ("text_key", "anchor", "lo", "bytes")), strict=True):
+            for k1, k2, anchor, lo, body in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "anchor", "lo", "bytes")), strict=True):
                 data = np.frombuffer(body, dtype=np.uint8)
                 a, b = rolling(data, depth), rolling(data, depth, 1)
                 n = len(a)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, anchor)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(lo + np.arange(n, dtype=np.int32))], ["text_key", "anchor", "h1", "h2", "lo"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.full(n, x)) for x in (k1, k2, anchor)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array((lo + np.arange(n)).astype(np.int32))], ["k1", "k2", "anchor", "h1", "h2", "lo"])
 
     return run
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Disjoint, ascending spans of each text from all its ranges; touching ones become one."""
+    for batch in batches:
+        r = batch.column("r")
+        lo, hi = (r.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+        owner = np.repeat(np.arange(batch.num_rows), r.value_lengths().to_numpy())
+        order = np.lexsort((lo, owner))
+        lo, hi, owner = lo[order], hi[order], owner[order]
+        reach = np.maximum.accumulate(owner << 32 | hi)  # texts are shorter than 2**31
+        new = np.append(True, (owner[1:] << 32 | lo[1:]) > reach[:-1]) if len(lo) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        ends = reach[np.append(first[1:], len(lo)) - 1] & ((1 << 32) - 1) if len(lo) else lo
+        spans = pa.StructArray.from_arrays([pa.array(lo[first].astype(np.int32)), pa.array(ends.astype(np.int32))], ["lo", "hi"])
+        bounds = np.searchsorted(owner[first], np.arange(batch.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.ListArray.from_arrays(pa.array(bounds), spans)], ["k1", "k2", "spans"])
+
+
 def _few(df: DataFrame) -> DataFrame:
+    """A written table, broadcast where it has few rows (16 to 40 bytes each)."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _text_keys(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def _standing(rows: DataFrame) -> DataFrame:
+    """(anchor, k1, k2, lo, hi, many, lead) of the snippets whose anchor several have.
+
+    The rows of an anchor meet in one task, sorted, but for anchors of very many: theirs meet by equal
+    snippets, as partial aggregates and in a join whose large keys are split.
+    """
+    hot = written(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).select("anchor"), "repeat-hot-anchors")
+    fields = "anchor long, k1 long, k2 long, lo int, hi int, many boolean, lead boolean"
+    mild = rows if hot.isEmpty() else rows.join(_few(hot), "anchor", "left_anti").select(rows.columns)
+    out = mild.repartition("anchor").sortWithinPartitions("anchor", "whole", "k1", "k2", "lo").mapInArrow(_shared, fields)
+    if hot.isEmpty():
+        return written(out, "repeat-anchors")
+    mine = rows.join(_few(hot), "anchor", "left_semi").withColumn("place", F.struct("k1", "k2", "lo"))
+    equal = written(mine.groupBy("anchor", "whole").agg(F.min("place").alias("least"), (F.min("place") != F.max("place")).alias("many")), "repeat-equal")
+    stood = mine.join(_few(equal), ["anchor", "whole"]).select("anchor", "k1", "k2", "lo", "hi", "many", (F.col("place") == F.col("least")).alias("lead"))
+    return written(out.unionAll(stood), "repeat-anchors")
+
+
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
-    """(text_key, spans) of the texts with repeats; spans are disjoint, ascending [from, to) of bytes.
+    """(k1, k2, spans) of the texts with repeats; spans are disjoint, ascending [from, to) of bytes.
 
-    text_key is xxhash64 of the text; `docs` needs column text. Whole copies have one span.
+    k1 and k2 are two 64-bit hashes of the text; `docs` needs column text. Whole copies have one span.
     """
-    source = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("text", F.xxhash64("text").alias("text_key"), F.octet_length("text").alias("size"))
-    long = source.filter(F.col("size") >= depth)
-    copies = written(long.groupBy("text_key").agg(F.count("*").alias("n"), F.max("size").alias("size")).filter("n > 1").select("text_key", F.col("size").cast("int").alias("size")), "repeat-copies")
-    rows = long.select("text", "text_key").mapInArrow(_anchors(depth, anchor), "anchor long, whole long, text_key long, lo int, hi int")
-    shared = rows.repartition("anchor").sortWithinPartitions("anchor", "whole", "text_key", "lo").mapInArrow(_shared, "anchor long, text_key long, lo int, hi int, many boolean, lead boolean")
-    shared = written(shared, "repeat-anchors")
-    leads = shared.filter("lead").select("text_key", F.struct("anchor", "lo", "hi", "many").alias("s"))
+    source = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("text", *_text_keys(F.col("text")), F.octet_length("text").alias("size"))
+    long, keys = source.filter(F.col("size") >= depth), ["k1", "k2"]
+    copies = written(long.groupBy(*keys).agg(F.count("*").alias("n"), F.max("size").alias("size")).filter("n > 1").select(*keys, F.col("size").cast("int").alias("size")), "repeat-copies")
+    rows = written(long.select("text", *keys).mapInArrow(_anchors(depth, anchor), "anchor long, whole long, k1 long, k2 long, lo int, hi int"), "repeat-rows")
+    shared = _standing(rows)
     # anchors with one distinct snippet have nothing left to sort
-    several = shared.filter("lead").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    leads = leads.join(_few(several.select(F.col("anchor").alias("a"))), F.col("s.anchor") == F.col("a"), "left_semi")
-    found = written(leads.groupBy("text_key").agg(F.collect_list("s").alias("found")), "repeat-leads")  # snippets of one text
-    texts = long.select("text_key", "text").join(_few(found.select("text_key")), "text_key", "left_semi").dropDuplicates(["text_key"]).join(found, "text_key")
-    pieces = written(texts.select("text_key", "text", "found").mapInArrow(_cut(depth), "text_key long, anchor long, lo int, many boolean, bytes binary"), "repeat-snippets")
-    hot = several.filter(F.col("n") > HOT).select("anchor")
-    mild = pieces.join(_few(hot), "anchor", "left_anti").select("text_key", "anchor", "lo", "many", "bytes")
-    inside = mild.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted(depth), "text_key long, lo int, hi int")
-    starts = pieces.join(_few(hot), "anchor", "left_semi").select("text_key", "anchor", "lo", "bytes").mapInArrow(_starts(depth), "text_key long, anchor long, h1 long, h2 long, lo int")
-    twice = starts.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    alone = starts.join(twice, ["anchor", "h1", "h2"], "left_semi").select("text_key", "lo", F.col("lo").alias("hi"))
-    whole = copies.select("text_key", F.lit(0).alias("lo"), (F.col("size") - depth).alias("hi"))
-    ranges = inside.unionAll(alone).unionAll(shared.filter("many").select("text_key", "lo", "hi")).unionAll(whole)
-    return written(ranges.groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("lo", (F.col("hi") + depth).alias("hi")))).alias("r")).select(
-        "text_key", _merged(F.col("r")).alias("spans")), "repeat-spans")
-
-
-def _merged(r):
-    """Ascending (lo, hi) to disjoint ones; touching ones become one."""
-    return F.aggregate(r, F.array().cast("array<struct<lo:int,hi:int>>"), lambda out, x: F.when(
-        (F.size(out) > 0) & (F.element_at(out, -1)["hi"] >= x["lo"]),
-        F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["lo"].alias("lo"), F.greatest(F.element_at(out, -1)["hi"], x["hi"]).alias("hi"))))
-    ).otherwise(F.concat(out, F.array(F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))))))
-
-
-def with_spans(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
-    """Every row of `docs`, all its columns, with column __spans (null without repeats)."""
-    spans = repeated_spans(docs, depth, anchor).select(F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
-    return docs.join(_few(spans), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("__key"), "left").drop("__key")
+    several = written(shared.filter("lead").select("anchor", *keys, "lo").distinct().groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "repeat-several")
+    leads = shared.filter("lead").join(_few(several.select("anchor")), "anchor", "left_semi").select(*keys, F.struct("anchor", "lo", "hi").alias("s"))
+    found = written(leads.groupBy(*keys).agg(F.collect_set("s").alias("found")), "repeat-leads")  # snippets of one text
+    texts = long.select(*keys, "text").join(_few(found.select(*keys)), keys, "left_semi").dropDuplicates(keys).join(found, keys)
+    pieces = written(texts.select(*keys, "text", "found").mapInArrow(_cut(depth), "k1 long, k2 long, anchor long, lo int, bytes binary"), "repeat-snippets")
+    hot = written(several.filter(F.col("n") > HOT).select("anchor"), "repeat-hot")
+    mild = pieces if hot.isEmpty() else pieces.join(_few(hot), "anchor", "left_anti")
+    ranges = mild.select(*keys, "anchor", "lo", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted(depth), "k1 long, k2 long, lo int, hi int")
+    if not hot.isEmpty():
+        starts = written(pieces.join(_few(hot), "anchor", "left_semi").select(*keys, "anchor", "lo", "bytes").mapInArrow(_starts(depth), "k1 long, k2 long, anchor long, h1 long, h2 long, lo int"), "repeat-starts")
+        twice = written(starts.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeat-twice")
+        ranges = ranges.unionAll(starts.join(_few(twice), ["anchor", "h1", "h2"], "left_semi").select(*keys, "lo", F.col("lo").alias("hi")))
+    ranges = ranges.unionAll(shared.filter("many").select(*keys, "lo", "hi")).unionAll(copies.select(*keys, F.lit(0).alias("lo"), (F.col("size") - depth).alias("hi")))
+    grouped = ranges.groupBy(*keys).agg(F.collect_set(F.struct("lo", (F.col("hi") + depth).alias("hi"))).alias("r"))
+    return written(grouped.mapInArrow(_joined, "k1 long, k2 long, spans array<struct<lo:int,hi:int>>"), "repeat-spans")
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `docs` has it in any spelling."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_spans(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> tuple[DataFrame, str]:
+    """Every row of `docs`, all its columns, with a column of spans (null without repeats), and that column's name."""
+    one, two, spans = fresh(docs, "text_key_one"), fresh(docs, "text_key_two"), fresh(docs, "repeated_spans")
+    found = repeated_spans(docs.select("text"), depth, anchor).select(F.col("k1").alias(one), F.col("k2").alias(two), F.col("spans").alias(spans))
+    k1, k2 = _text_keys(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.join(_few(found.select(one, two, spans)), (k1 == F.col(one)) & (k2 == F.col(two)), "left").drop(one, two), spans
 
 
 def _kept_parts(body: bytes, spans: list[dict] | None) -> bytes:
@@ -252,11 +348,11 @@ def dedup_report(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     that covers it starts anywhere else too, in the same text or another; copies remove each other. Null
     doc_ids and repeated rows are kept. Other columns are ignored. An empty table gives an empty table.
     """
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), depth)
+    rows, name = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("__spans").to_pylist()
+            spans = batch.column(name).to_pylist()
             bodies = [t.encode() for t in batch.column("text").to_pylist()]
             cut = [sum(s["hi"] - s["lo"] for s in x or []) for x in spans]
             sha = [hashlib.sha256(_kept_parts(b, x)).hexdigest() for b, x in zip(bodies, spans, strict=True)]
@@ -273,12 +369,12 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     n_chars, where there is such a column, follows the text. A null text stays null.
     """
-    rows, schema = with_spans(docs, depth), docs.schema
+    (rows, name), schema = with_spans(docs, depth), docs.schema
     at = schema.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if not s else _kept_parts(t.encode(), s).decode(errors="ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
+            texts = [t if not s else _kept_parts(t.encode(), s).decode(errors="ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True)]
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(n) for k, n in enumerate(schema.fieldNames())]
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
