@@ -5,7 +5,7 @@ bytes with the least hash. The starts that share an anchor, with the bytes they
 equal strings lie in snippets of the same anchor. Anchors that occur once are dropped, equal snippets
 counted, and the distinct snippets of an anchor go to one shard, where external induced sorting
 (`induced.py`) orders their suffixes, carries common prefixes and so finds each start that repeats.
-Snippets of an anchor that very many texts share are split further, by start and content.
+Snippets of an anchor that very many share are split further, by content and by start.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ from trailmill.llm import textkit as tk
 from trailmill.llm.induced import PAD, repeated
 
 DEPTH, ANCHOR = 400, 100
-#: Distinct snippets of one anchor beyond which its starts are dealt out one by one, and rows beyond which its snippets are.
-HOT, HOT_ROWS = 20_000, 100_000
+#: Distinct snippets of one anchor beyond which its starts are dealt out one by one, rows beyond which its snippets
+#: are, and the share of all that either must exceed, too.
+HOT, HOT_ROWS, MOST = 20_000, 50_000, 10_000
+#: Parts that very many equal rows are dealt to.
+PARTS = 64
 #: Bytes of snippets that a shard takes before it is sorted; it takes whole anchors, so it may be larger.
 SHARD_BYTES = 8 << 20
 #: Bytes of texts that are searched for anchors at once.
@@ -34,6 +37,8 @@ PIECE = 1 << 20
 #: Copies that a task remembers in order not to search them twice; only saves work.
 SEEN = 100_000
 BROADCAST_ROWS = 500_000
+ROW = ["anchor", "whole", "k1", "k2", "lo", "hi"]
+ROWS = "anchor long, whole long, k1 long, k2 long, lo int, hi int"
 
 
 def rolling(data: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
@@ -112,41 +117,56 @@ def _anchors(depth: int, anchor: int):
                     owner = owner[keep]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x) for x in (h[keep].view(np.int64), whole[keep].view(np.int64), k1[owner], k2[owner], lo[keep].astype(np.int32), hi[keep].astype(np.int32))],
-                        ["anchor", "whole", "k1", "k2", "lo", "hi"])
+                        ROW)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (anchor, whole, k1, k2, lo): those whose anchor has several, and how they stand.
+def _shared(always: bool):
+    """Of rows sorted by (anchor, whole, k1, k2, lo): those with an equal snippet elsewhere, and once more, with
+    lead, the first of each run of equals, which stands for them where its anchor has several or `always`."""
 
-    many: an equal snippet is elsewhere. lead: the first of its equals, which stands for them.
-    """
-    held = None
-    for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in ("anchor", "whole", "k1", "k2", "lo", "hi")]
-        cols += [np.zeros(len(cols[0]), bool), np.zeros(len(cols[0]), bool)]  # like the one before: anchor, snippet
+    def out(rows: list[np.ndarray], lead: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows), pa.array(np.full(len(rows[0]), lead))], [*ROW, "lead"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = first = None  # the last row; the first of its anchor while that has no other snippet
+
+        def given(rows: list[np.ndarray], near: np.ndarray, like: np.ndarray, many: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal first
+            yield out([x[many] for x in rows], False)
+            if always:
+                yield out([x[~like] for x in rows], True)
+                return
+            group, heads, other = np.cumsum(~near), np.flatnonzero(~near), near & ~like
+            several = np.unique(group[other])
+            if first is not None and len(several) and several[0] == 0:
+                yield out(first, True)
+                first = None
+            other[heads[several[several > 0] - 1]] = True
+            yield out([x[other] for x in rows], True)
+            if len(heads):
+                first = None if len(several) and several[-1] == len(heads) else [x[heads[-1:]].copy() for x in rows]
+
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in ROW]
+            cols += [np.zeros(len(cols[0]), bool), np.zeros(len(cols[0]), bool)]  # like the one before: anchor, snippet
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            again = np.zeros(len(cols[0]), dtype=bool)
+            again[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:5]])  # the same place, read twice
+            cols = [c[~again] for c in cols]
+            near, like = cols[6], cols[7]
+            near[1:] |= cols[0][1:] == cols[0][:-1]
+            like[1:] |= near[1:] & (cols[1][1:] == cols[1][:-1])
+            many = like.copy()
+            many[:-1] |= like[1:]
+            held = [c[-1:].copy() for c in cols]
+            yield from given([c[:-1] for c in cols[:6]], near[:-1], like[:-1], many[:-1])
         if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        again = np.zeros(len(cols[0]), dtype=bool)
-        again[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:5]])  # the same place, read twice
-        cols = [c[~again] for c in cols]
-        anchor, whole, near, like = cols[0], cols[1], cols[6], cols[7]
-        near[1:] |= anchor[1:] == anchor[:-1]
-        like[1:] |= (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])
-        held = [c[-1:].copy() for c in cols]
-        shared, many = near.copy(), like.copy()
-        shared[:-1] |= near[1:]
-        many[:-1] |= like[1:]
-        keep = shared.copy()
-        keep[-1:] = False
-        yield _kept(keep, cols, many)
-    if held is not None:
-        yield _kept(held[6], held, held[7])
-
-
-def _kept(keep: np.ndarray, cols: list[np.ndarray], many: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (cols[0], *cols[2:6], many, ~cols[7])], ["anchor", "k1", "k2", "lo", "hi", "many", "lead"])
+            yield from given(held[:6], held[6], held[7], held[7])
+
+    return run
 
 
 def _cut(depth: int):
@@ -234,12 +254,11 @@ def _sorted(depth: int):
 def _starts(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, anchor, lo, body in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "anchor", "lo", "bytes")), strict=True):
+            for k1, k2, lo, body in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "lo", "bytes")), strict=True):
                 data = np.frombuffer(body, dtype=np.uint8)
                 a, b = rolling(data, depth), rolling(data, depth, 1)
-                n = len(a)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.full(n, x)) for x in (k1, k2, anchor)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array((lo + np.arange(n)).astype(np.int32))], ["k1", "k2", "anchor", "h1", "h2", "lo"])
+                at = pa.array((lo + np.arange(len(a))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *(pa.array(np.full(len(a), x)) for x in (k1, k2)), at, at], ROW)
 
     return run
 
@@ -271,22 +290,29 @@ def _text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def _standing(rows: DataFrame) -> DataFrame:
-    """(anchor, k1, k2, lo, hi, many, lead) of the snippets whose anchor several have.
+def _most(rows: DataFrame, least: int) -> list[int]:
+    """Anchors that more than `least` rows and one in MOST of all have: less than MOST of them, whatever the size."""
+    least = max(least, rows.count() // MOST)
+    return [r.anchor for r in rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("anchor").collect()]
 
-    The rows of an anchor meet in one task, sorted, but for anchors of very many: theirs meet by equal
-    snippets, as partial aggregates and in a join whose large keys are split.
-    """
-    hot = written(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).select("anchor"), "repeat-hot-anchors")
-    fields = "anchor long, k1 long, k2 long, lo int, hi int, many boolean, lead boolean"
-    mild = rows if hot.isEmpty() else rows.join(_few(hot), "anchor", "left_anti").select(rows.columns)
-    out = mild.repartition("anchor").sortWithinPartitions("anchor", "whole", "k1", "k2", "lo").mapInArrow(_shared, fields)
-    if hot.isEmpty():
-        return written(out, "repeat-anchors")
-    mine = rows.join(_few(hot), "anchor", "left_semi").withColumn("place", F.struct("k1", "k2", "lo"))
-    equal = written(mine.groupBy("anchor", "whole").agg(F.min("place").alias("least"), (F.min("place") != F.max("place")).alias("many")), "repeat-equal")
-    stood = mine.join(_few(equal), ["anchor", "whole"]).select("anchor", "k1", "k2", "lo", "hi", "many", (F.col("place") == F.col("least")).alias("lead"))
-    return written(out.unionAll(stood), "repeat-anchors")
+
+def _equal(rows: DataFrame, name: str) -> DataFrame:
+    """_shared() for rows of which very many may be equal: each of PARTS parts of equals first, then their leads."""
+    part = F.pmod(F.xxhash64("k1", "k2", "lo"), F.lit(PARTS))
+    thin = written(rows.repartition("anchor", "whole", part).sortWithinPartitions("anchor", "whole", "k1", "k2", "lo").mapInArrow(_shared(True), ROWS + ", lead boolean"), name)
+    leads = thin.filter("lead").select(ROW).repartition("anchor", "whole").sortWithinPartitions("anchor", "whole", "k1", "k2", "lo").mapInArrow(_shared(True), ROWS + ", lead boolean")
+    return thin.filter("not lead").unionAll(leads)
+
+
+def _standing(rows: DataFrame) -> DataFrame:
+    """What _shared() says of all rows. An anchor's meet in one task, sorted; those of an anchor that very many
+    have meet by equal snippets alone, and all its distinct ones are taken to be several."""
+    hot = _most(rows, HOT_ROWS)
+    mild = rows.filter(~F.col("anchor").isin(hot)) if hot else rows
+    out = mild.repartition("anchor").sortWithinPartitions("anchor", "whole", "k1", "k2", "lo").mapInArrow(_shared(False), ROWS + ", lead boolean")
+    if hot:
+        out = out.unionAll(_equal(rows.filter(F.col("anchor").isin(hot)), "repeat-equal"))
+    return written(out, "repeat-anchors")
 
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
@@ -297,22 +323,20 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) ->
     source = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("text", *_text_keys(F.col("text")), F.octet_length("text").alias("size"))
     long, keys = source.filter(F.col("size") >= depth), ["k1", "k2"]
     copies = written(long.groupBy(*keys).agg(F.count("*").alias("n"), F.max("size").alias("size")).filter("n > 1").select(*keys, F.col("size").cast("int").alias("size")), "repeat-copies")
-    rows = written(long.select("text", *keys).mapInArrow(_anchors(depth, anchor), "anchor long, whole long, k1 long, k2 long, lo int, hi int"), "repeat-rows")
+    rows = written(long.select("text", *keys).mapInArrow(_anchors(depth, anchor), ROWS), "repeat-rows")
     shared = _standing(rows)
     # anchors with one distinct snippet have nothing left to sort
-    several = written(shared.filter("lead").select("anchor", *keys, "lo").distinct().groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "repeat-several")
-    leads = shared.filter("lead").join(_few(several.select("anchor")), "anchor", "left_semi").select(*keys, F.struct("anchor", "lo", "hi").alias("s"))
-    found = written(leads.groupBy(*keys).agg(F.collect_set("s").alias("found")), "repeat-leads")  # snippets of one text
+    leads = shared.filter("lead").select(*keys, "anchor", "lo", "hi")
+    found = written(leads.groupBy(*keys).agg(F.collect_set(F.struct("anchor", "lo", "hi")).alias("found")), "repeat-leads")  # snippets of one text
     texts = long.select(*keys, "text").join(_few(found.select(*keys)), keys, "left_semi").dropDuplicates(keys).join(found, keys)
     pieces = written(texts.select(*keys, "text", "found").mapInArrow(_cut(depth), "k1 long, k2 long, anchor long, lo int, bytes binary"), "repeat-snippets")
-    hot = written(several.filter(F.col("n") > HOT).select("anchor"), "repeat-hot")
-    mild = pieces if hot.isEmpty() else pieces.join(_few(hot), "anchor", "left_anti")
-    ranges = mild.select(*keys, "anchor", "lo", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted(depth), "k1 long, k2 long, lo int, hi int")
-    if not hot.isEmpty():
-        starts = written(pieces.join(_few(hot), "anchor", "left_semi").select(*keys, "anchor", "lo", "bytes").mapInArrow(_starts(depth), "k1 long, k2 long, anchor long, h1 long, h2 long, lo int"), "repeat-starts")
-        twice = written(starts.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeat-twice")
-        ranges = ranges.unionAll(starts.join(_few(twice), ["anchor", "h1", "h2"], "left_semi").select(*keys, "lo", F.col("lo").alias("hi")))
-    ranges = ranges.unionAll(shared.filter("many").select(*keys, "lo", "hi")).unionAll(copies.select(*keys, F.lit(0).alias("lo"), (F.col("size") - depth).alias("hi")))
+    hot = _most(pieces, HOT)
+    mild = pieces.filter(~F.col("anchor").isin(hot)) if hot else pieces
+    ranges = mild.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted(depth), "k1 long, k2 long, lo int, hi int")
+    if hot:
+        starts = pieces.filter(F.col("anchor").isin(hot)).select(*keys, "lo", "bytes").mapInArrow(_starts(depth), ROWS)
+        ranges = ranges.unionAll(_equal(starts, "repeat-starts").filter("not lead").select(*keys, "lo", "hi"))
+    ranges = ranges.unionAll(shared.filter("not lead").select(*keys, "lo", "hi")).unionAll(copies.select(*keys, F.lit(0).alias("lo"), (F.col("size") - depth).alias("hi")))
     grouped = ranges.groupBy(*keys).agg(F.collect_set(F.struct("lo", (F.col("hi") + depth).alias("hi"))).alias("r"))
     return written(grouped.mapInArrow(_joined, "k1 long, k2 long, spans array<struct<lo:int,hi:int>>"), "repeat-spans")
 
