@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -65,13 +67,43 @@ def test_jaccard(docs):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_group(spark):
+    """One row of a group whatever the ids, the same whatever the partitions, and nobody else's text lost."""
+    other = say(90)
+    rows = [(1, BASE, "b"), (1, BASE, "a"), (1, other, "c"), (2, BASE + " more", "d"), (None, other.upper(), "e"), (None, None, "f"), (3, "", "g"), (3, "", "g"), (None, say(70), "h")]
+    want = {(1, BASE, "a"), (1, other, "c"), (None, None, "f"), (3, "", "g"), (None, rows[-1][1], "h")}
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, judged_id string").repartition(parts)
+        got = [tuple(r) for r in jaccard.one_of_each(docs).collect()]
+        assert set(got) == want and len(got) == len(want) + 1
+    empty = jaccard.one_of_each(docs.limit(0))
+    assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.append(a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 5)), dtype=np.uint64)))
+        bits, at = jaccard.parities(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+        x, y = bits[: at[1]], bits[at[1] :]
+        while len(x) != len(y):
+            x, y = ((x[: len(x) // 2] ^ x[len(x) // 2 :]), y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
+        assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+
+
 def test_allocation_covers_every_difference():
     for largest in (0, 1, 3, 9, 40, 300):
         segments, ones, spare = jaccard.allocation(largest, 80, max(1, largest * 4))
         assert segments + ones >= largest + 1 + spare and ones <= segments
 
 
-def test_repeats(docs):
+@pytest.mark.parametrize("hot", [None, (3, 5, 10)])
+def test_repeats(docs, monkeypatch, hot):
+    if hot:  # all anchors but the rarest go the ways of hot ones
+        for name, value in zip(("HOT", "HOT_ROWS", "PARTS"), hot, strict=True):
+            monkeypatch.setattr(repeats, name, value)
     depth = 400
     count = Counter(b[p : p + depth] for t in TEXTS for b in [(t or "").encode()] for p in range(len(b) - depth + 1))
     got = {r.doc_id: r for r in repeats.dedup_report(docs).collect()}
@@ -87,21 +119,55 @@ def test_repeats(docs):
     assert repeats.without_repeats(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("in_memory", [1 << 26, 1])
-def test_induced_sorting(monkeypatch, in_memory):
-    """Against brute force, in memory and with every queue and array on disk."""
+def _padded(body):
+    return np.concatenate((np.frombuffer(body, np.uint8), np.full(induced.PAD, 255, np.uint8)))
+
+
+@pytest.mark.parametrize("held", [1 << 24, 30])
+@pytest.mark.parametrize("base", [2, 1 << 15])
+def test_induced_sorting(monkeypatch, held, base):
+    """Against brute force, with and without recursion to the end and every queue on disk."""
     monkeypatch.setattr(induced, "BATCH", 7)
-    monkeypatch.setattr(induced, "IN_MEMORY", in_memory)
-    if in_memory == 1:
-        monkeypatch.setattr(induced.Queue.__init__, "__defaults__", (3,))
+    monkeypatch.setattr(induced, "HELD", held)
+    monkeypatch.setattr(induced, "BASE", base)
+    monkeypatch.setattr(induced, "STRIDE", 5)
     rng = np.random.default_rng(3)
     for _ in range(60):
-        t = rng.integers(0, int(rng.integers(2, 6)), int(rng.integers(1, 150))).astype(np.uint8)
-        b = t.tobytes()
+        b = rng.integers(0, int(rng.integers(2, 6)), int(rng.integers(1, 150))).astype(np.uint8).tobytes()
+        order = induced.Level(_padded(b), len(b), 1, np.arange(256)).sorted_suffixes()
+        assert np.asarray(order).tolist() == sorted(range(len(b)), key=lambda k: b[k:])
         for depth in (1, 3, 6):
             good = [p + depth <= len(b) and 0 not in b[p : p + depth] for p in range(len(b))]
             count = Counter(b[p : p + depth] for p in range(len(b)) if good[p])
-            assert np.array(induced.repeated(t, depth)).tolist() == [g and count[b[p : p + depth]] > 1 for p, g in enumerate(good)]
+            assert np.array(induced.repeated(_padded(b), len(b), depth)).tolist() == [g and count[b[p : p + depth]] > 1 for p, g in enumerate(good)]
+
+
+PEAK = """
+import re, sys, threading, time
+import numpy as np
+from trailmill.llm import induced
+induced.BATCH, induced.HELD = 1 << 14, 1 << 20
+n = int(sys.argv[1]) << 20
+text = induced.mapped(n + induced.PAD, "u1")
+rng = np.random.default_rng(1)
+for at in range(0, n, 1 << 18):  # every second stretch repeats one before
+    text[at : at + (1 << 18)] = rng.integers(97, 123, 1 << 18) if at % (1 << 19) == 0 else text[at - (1 << 18) : at]
+text[n:] = 255
+now = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1])
+before, peak = now(), [0]
+def watch():
+    while True:
+        peak[0] = max(peak[0], now())
+        time.sleep(0.02)
+threading.Thread(target=watch, daemon=True).start()
+assert induced.repeated(text, n, 400).sum() > n * 0.9
+print((peak[0] - before) // 1024)
+"""
+
+
+def test_sorter_memory_does_not_follow_the_shard():
+    peak = {mb: int(subprocess.run([sys.executable, "-c", PEAK, str(mb)], capture_output=True, text=True, check=True).stdout) for mb in (2, 8)}
+    assert peak[8] < 60 and peak[8] < peak[2] + 20, peak
 
 
 def test_packing(docs):

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,8 +31,8 @@ from trailmill.llm import textkit as tk
 from trailmill.operators.components import connected_components
 
 WIDTH, SHARE = 5, 80
-#: An entry that more components share is set aside.
-HOT = 24
+#: An entry that more components share, or that would give more pairs of sets, is set aside.
+HOT, HOT_PAIRS = 24, 2000
 #: Sizes of a band, in percent of its first.
 STEP = 150
 #: Low bits of an entry: its scheme, and whether its segment has allowance 1.
@@ -40,7 +40,9 @@ SCHEME_BITS, TAG_BITS = 10, 11
 SLACK = 1 << 40
 BROADCAST_ROWS = 2_000_000
 #: Keys that a task remembers in order not to index a set twice; only saves work.
-SEEN = 1_000_000
+SEEN = 200_000
+#: Bytes of texts that are cut into shingles at once.
+PIECE = 1 << 20
 
 
 @functools.cache
@@ -141,30 +143,61 @@ def entries(values: np.ndarray, bounds: np.ndarray, share: int) -> tuple[np.ndar
     return np.concatenate(out_sig), np.concatenate(out_row), slack
 
 
-def set_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def set_keys(values: np.ndarray, bounds: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit name of each set, equal for equal sets."""
     n = np.diff(bounds)
     out = np.zeros(len(n), dtype=np.uint64)
     with np.errstate(over="ignore"):
         if len(values):
-            out[n > 0] = np.add.reduceat(tk.mix64(values ^ tk.MIX[8]), bounds[:-1][n > 0])
+            out[n > 0] = np.add.reduceat(tk.mix64(values ^ (tk.MIX[8] + np.uint64(seed) * tk.MIX[9])), bounds[:-1][n > 0])
         return tk.mix64(out + n.astype(np.uint64) * tk.MIX[7]).view(np.int64)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, data, offsets in tk.blocks(batch, "text"):
-            values, bounds = tk.shingle_sets(data, offsets, WIDTH)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(np.diff(bounds)), pa.array(set_keys(values, bounds))], ["doc_id", "text_key", "n", "key"])
+def parities(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set, whether an odd number of its shingles falls in each of 2**k cells, 64 to a word; and bounds of the words.
+
+    2**k is the least power of two from the set's size on, 64 at least. Where two sets have d such bits that
+    differ, they differ in d shingles or more. Half as many cells are had by xor of both halves.
+    """
+    n = np.diff(bounds)
+    words = np.where(n > 0, np.maximum(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 64) // 64, 0)
+    starts = np.concatenate(([0], np.cumsum(words)))
+    cell = (tk.mix64(values ^ tk.MIX[13]) & (np.repeat(words, n) * 64 - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(cell + np.repeat(starts[:-1] * 64, n), minlength=int(starts[-1]) * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"), starts
+
+
+def _describe(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in tk.blocks(batch, "text", PIECE):
+                values, bounds = tk.shingle_sets(data, offsets, WIDTH)
+                bits, starts = parities(values, bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_key"), pa.array(np.diff(bounds)), pa.array(set_keys(values, bounds, seed)), pa.array(set_keys(values, bounds, seed + 1)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(bits))],
+                    ["doc_id", "text_key", "n", "key", "second", "bits"])
 
+    return run
+
+
+def close(a: str, b: str, share: int) -> Column:
+    """Whether two sets may be linked by their sizes n and parities `bits`, columns with suffixes `a` and `b`; false only where they can't be."""
+    na, nb, xa, xb = F.col("n" + a), F.col("n" + b), F.col("bits" + a), F.col("bits" + b)
+    k = F.least(F.size(xa), F.size(xb))
+    xor = lambda p, q: p.bitwiseXOR(q)
+    fold = lambda x: F.when(F.size(x) > k, F.zip_with(F.slice(x, 1, k), F.slice(x, k + 1, k), xor)).otherwise(x)
+    differ = F.aggregate(F.zip_with(fold(xa), fold(xb), xor), F.lit(0), lambda total, w: total + F.bit_count(w))
+    like = 100 * F.least(na, nb) >= share * F.greatest(na, nb)
+    return like & ((100 + share) * differ <= (100 - share) * (na + nb))
 
-def _index(share: int):
+
+def _index(share: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, data, offsets in tk.blocks(batch, "text"):
+            for _, data, offsets in tk.blocks(batch, "text", PIECE):
                 values, bounds = tk.shingle_sets(data, offsets, WIDTH)
-                keys, size = set_keys(values, bounds), np.diff(bounds)
+                keys, size = set_keys(values, bounds, seed), np.diff(bounds)
                 fresh = np.zeros(len(keys), dtype=bool)
                 for k, key in enumerate(keys.tolist()):
                     if key not in seen:
@@ -214,11 +247,14 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(sig, key, (prev, has), has | note, note)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, data, offsets in tk.blocks(batch, "text"):
-            values, bounds = tk.shingle_sets(data, offsets, WIDTH)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(set_keys(values, bounds), np.diff(bounds))), pa.array(values.view(np.int64))], ["key", "h"])
+def _tokens(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in tk.blocks(batch, "text", PIECE):
+                values, bounds = tk.shingle_sets(data, offsets, WIDTH)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(set_keys(values, bounds, seed), np.diff(bounds))), pa.array(values.view(np.int64))], ["key", "h"])
+
+    return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,45 +287,57 @@ def _verify(share: int):
     return run
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `docs` has it in any spelling."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _few(df: DataFrame) -> DataFrame:
     """Broadcast only what is counted to be small."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _lacking(texts: DataFrame, parts: DataFrame, share: int) -> DataFrame:
+def _lacking(texts: DataFrame, parts: DataFrame, sketches: DataFrame, share: int, seed: int) -> DataFrame:
     """Pairs of sets of different components that can be linked, of the sets that lack credits.
 
     With shingles in one order, the rarest first, take the first that two linked sets share. What follows it
     must hold all the rest of their overlap, so it stands early in both: within the first (1 - t) / (1 + t)
-    of the smaller set and the first 1 - t of the larger, and only these are joined.
+    of the smaller set and the first 1 - t of the larger, and only these are joined, with sizes, places and
+    parities in the join's condition.
     """
-    tokens = written(texts.select("text").mapInArrow(_tokens, "key long, h long"), "jaccard-tokens")
+    tokens = written(texts.select("text").mapInArrow(_tokens(seed), "key long, h long"), "jaccard-tokens")
     placed = tokens.join(_few(parts.withColumnRenamed("node", "key")), "key", "left").select("key", "h", F.coalesce("component", "key").alias("part"))
     spread = placed.groupBy("h").agg(F.count("*").alias("df"), (F.min("part") != F.max("part")).alias("open"))
-    sizes = tokens.groupBy("key").agg(F.count("*").alias("n"))
-    ranked = placed.join(spread, "h").join(_few(sizes), "key").withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("df", "h")))
-    early = written(ranked.filter("open").filter(100 * (F.col("r") - 1) <= (100 - share) * F.col("n")).select("key", "h", "part", "n", "r"), "jaccard-early")
-    x = early.filter((100 + share) * (F.col("r") - 1) <= (100 - share) * F.col("n")).select("h", F.col("key").alias("ka"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("r").alias("ra"))
-    y = early.select("h", F.col("key").alias("kb"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    mine = sketches.join(_few(tokens.select("key").distinct()), "key", "left_semi").select("key", "n")
+    ranked = placed.join(spread, "h").join(_few(mine), "key").withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("df", "h")))
+    early = written(ranked.filter("open").filter(100 * (F.col("r") - 1) <= (100 - share) * F.col("n")).select("h", "key", "part", "n", "r"), "jaccard-early")
+    early = early.join(sketches.select("key", "bits"), "key")
+    x = early.filter((100 + share) * (F.col("r") - 1) <= (100 - share) * F.col("n")).select("h", *(F.col(c).alias(c + "a") for c in ("key", "part", "n", "r", "bits")))
+    y = early.select("h", *(F.col(c).alias(c + "b") for c in ("key", "part", "n", "r", "bits")))
     room = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
-    found = x.join(y, "h").filter((F.col("pa") != F.col("pb")) & (F.col("na") <= F.col("nb")) & (100 * F.col("na") >= share * F.col("nb")))
-    found = found.filter((100 + share) * room >= share * (F.col("na") + F.col("nb")))
-    return found.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
+    found = x.join(y, "h").filter((F.col("parta") != F.col("partb")) & (F.col("na") <= F.col("nb")) & ((100 + share) * room >= share * (F.col("na") + F.col("nb"))) & close("a", "b", share))
+    return found.select(F.least("keya", "keyb").alias("ka"), F.greatest("keya", "keyb").alias("kb")).distinct()
 
 
-def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text).
+def _linked(docs: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n, key) of all rows, and (key, part, component_id) of the sets that several rows have or that are linked.
 
-    Sets are distinct lower-cased (A-Z) five-word shingles, shorter texts their whole sequence. Rows whose
-    sets share `share` percent of their union are linked, and component_id is the least doc_id reachable.
-    Null and empty texts have no shingles and no links; copies are linked; a null doc_id counts as no id:
-    its row keeps null unless a linked row has an id. Other columns are ignored. An empty table gives an
-    empty table.
+    key names a set, part a component of sets; component_id is its least doc_id.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    meta = written(source.mapInArrow(_describe, "doc_id long, text_key long, n long, key long"), "jaccard-meta")
-    # one text stands for each set; copies never enter the search
-    classes = written(meta.filter("n > 0").groupBy("key").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "jaccard-classes")
+    for seed in range(0, 64, 2):
+        meta = written(source.mapInArrow(_describe(seed), "doc_id long, text_key long, n long, key long, second long, bits array<long>"), "jaccard-meta")
+        # one text stands for each set; copies never enter the search
+        classes = meta.filter("n > 0").groupBy("key").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.any_value("bits").alias("bits"), (F.min("second") != F.max("second")).alias("mixed"))
+        classes = written(classes, "jaccard-classes")
+        if classes.filter("mixed").isEmpty():  # else two sets got one name
+            break
+    else:
+        raise RuntimeError("no names tell the sets apart")
+    sketches = classes.select("key", "n", "bits")
     wanted_texts = lambda keys: classes.join(_few(keys), "key", "left_semi").select("key", "text_key")
 
     def texts_of(keys: DataFrame) -> DataFrame:
@@ -298,6 +346,9 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
         return source.select("text_key", "text").join(chosen, "text_key").dropDuplicates(["key"]).select("key", "text")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that are linked: by their parities first, which only rule out, then by their shingles."""
+        side = lambda k: sketches.select(F.col("key").alias("k" + k), F.col("n").alias("n" + k), F.col("bits").alias("bits" + k))
+        pairs = written(pairs.join(side("a"), "ka").join(side("b"), "kb").filter(close("a", "b", share)).select("ka", "kb"), "jaccard-close")
         keys = written(pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct(), "jaccard-keys")
         z = written(texts_of(keys).mapInArrow(_packed, "key long, z binary"), "jaccard-texts")
         joined = pairs.join(z.select(F.col("key").alias("ka"), F.col("z").alias("za")), "ka").join(z.select(F.col("key").alias("kb"), F.col("z").alias("zb")), "kb")
@@ -310,7 +361,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
         spread = placed.groupBy("sig").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("sig")
         return written(placed.join(spread, "sig", "left_semi"), "jaccard-open")
 
-    indexed = source.select("text").mapInArrow(_index(share), "sig long, key long, note boolean")
+    indexed = source.select("text").mapInArrow(_index(share, seed), "sig long, key long, note boolean")
     shared = indexed.repartition("sig", F.when(F.col("note"), F.col("key"))).sortWithinPartitions("sig", "note", "key").mapInArrow(_grouped, "sig long, key long, prev long, note boolean")
     shared = written(shared, "jaccard-shared")
     scheme = F.col("sig").bitwiseAND((1 << SCHEME_BITS) - 1).cast("int").alias("scheme")
@@ -328,9 +379,11 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
         links = written(links.unionAll(verified(spokes, "jaccard-links")), "jaccard-more-links")
         open_rows = still_open(entry, links)
     tested = pairs.unionAll(spokes)
-    sizes = open_rows.select("sig", "part").distinct().groupBy("sig").agg(F.count("*").alias("parts"))
-    cold = open_rows.join(sizes.filter(F.col("parts") <= HOT).select("sig"), "sig", "left_semi")
-    hot = written(open_rows.join(sizes.filter(F.col("parts") > HOT).select("sig"), "sig", "left_semi"), "jaccard-hot")
+    sizes = open_rows.groupBy("sig", "part").agg(F.count("*").alias("sets")).groupBy("sig").agg(
+        F.count("*").alias("parts"), ((F.sum("sets") * F.sum("sets") - F.sum(F.col("sets") * F.col("sets"))) / 2).alias("pairs"))
+    mild = (F.col("parts") <= HOT) & (F.col("pairs") <= HOT_PAIRS)
+    cold = open_rows.join(sizes.filter(mild).select("sig"), "sig", "left_semi")
+    hot = written(open_rows.join(sizes.filter(~mild).select("sig"), "sig", "left_semi"), "jaccard-hot")
     # what each key has lost to hot entries; an entry of allowance 1 is worth two credits
     lost = hot.groupBy("key", scheme).agg(F.sum(F.shiftright("sig", SCHEME_BITS).bitwiseAND(1) + 1).alias("lost"))
     spare = shared.filter("note").select("key", scheme, (F.shiftright("sig", SCHEME_BITS) - SLACK).alias("spare"))
@@ -341,23 +394,48 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     if not cross.isEmpty():
         links = written(links.unionAll(verified(cross, "jaccard-links")), "jaccard-all-links")
     if not short.isEmpty():
-        lacking = written(_lacking(texts_of(short.select("key").distinct()), connected_components(links, "ka", "kb"), share), "jaccard-lacking")
+        lacking = written(_lacking(texts_of(short.select("key").distinct()), connected_components(links, "ka", "kb"), sketches, share, seed), "jaccard-lacking")
         links = written(links.unionAll(verified(lacking.join(tested, ["ka", "kb"], "left_anti"), "jaccard-links")), "jaccard-last-links")
     parts = connected_components(links, "ka", "kb").withColumnRenamed("node", "key")
     grouped = classes.join(parts, "key", "left").select("key", "copies", "least", F.coalesce("component", "key").alias("part"))
     least = grouped.groupBy("part").agg(F.min("least").alias("component_id"), F.sum("copies").alias("total")).filter("total > 1")
-    known = written(grouped.join(least, "part").select("key", "component_id"), "jaccard-known")
-    # sets of one row alone stay out of this join; AQE splits a hot key
-    return meta.join(_few(known), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # sets of one row alone stay out of what is joined with the rows; AQE splits a hot key
+    return meta.select("doc_id", "text_key", "n", "key"), written(grouped.join(least, "part").select("key", "part", "component_id"), "jaccard-known")
+
+
+def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text).
+
+    Sets are distinct lower-cased (A-Z) five-word shingles, shorter texts their whole sequence. Rows whose
+    sets share `share` percent of their union are linked, and component_id is the least doc_id reachable.
+    Null and empty texts have no shingles and no links; copies are linked; a null doc_id counts as no id:
+    its row keeps null unless a linked row has an id. Texts of any length are read whole. Other columns are
+    ignored. An empty table gives an empty table.
+    """
+    meta, known = _linked(docs, share)
+    return meta.join(_few(known.select("key", "component_id")), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """`docs`, all columns, with one document of each group of near duplicates: that with the least doc_id.
+    """`docs`, all columns, with one row of each group of near duplicates: that with the least doc_id.
 
-    Rows that repeat a doc_id are one document, of which one row stays; rows without doc_id all stay.
+    A group is of rows whose texts are linked, whatever their ids; rows without id come last in it, a tie of
+    ids goes to the least hash of the text, one of both to the least row as JSON. So rows that share an id
+    but not a text are in groups of their own. Rows without words are linked with nothing and all stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), share).filter("doc_id = component_id")
-    kept = written(found.groupBy("doc_id").agg(F.count("*").alias("rows_of_id")), "jaccard-kept")
-    once, more = kept.filter("rows_of_id = 1").select("doc_id"), kept.filter("rows_of_id > 1").select("doc_id")
-    out = docs.join(_few(once), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
-    return out.unionByName(docs.join(_few(more), "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    meta, known = _linked(docs.select("doc_id", "text"), share)
+    rows = meta.filter("n > 0").join(_few(known.select("key", "part")), "key").select("part", "doc_id", "text_key")  # groups of one are not there
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = written(rows.groupBy("part").agg(F.min(rank).alias("first")), "jaccard-first")
+    counted = rows.groupBy("part", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    judged = written(counted.join(_few(first), "part").select("doc_id", "text_key", "n", (rank == F.col("first")).alias("stays")), "jaccard-judged")
+    id_, key, stays = (fresh(docs, x) for x in ("judged_id", "judged_text", "judged_stays"))
+    judged = judged.filter("not stays or n > 1").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("stays").alias(stays))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(key))
+    out = docs.join(_few(judged), same, "left_anti")
+    again = judged.filter(F.col(stays))
+    if again.isEmpty():
+        return out
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    kept = docs.join(_few(again), same).groupBy(id_, key).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return out.unionAll(kept.select("row.*"))
