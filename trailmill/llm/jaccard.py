@@ -252,7 +252,8 @@ def _tokens(seed: int):
         for batch in batches:
             for _, data, offsets in tk.blocks(batch, "text", PIECE):
                 values, bounds = tk.shingle_sets(data, offsets, WIDTH)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(set_keys(values, bounds, seed), np.diff(bounds))), pa.array(values.view(np.int64))], ["key", "h"])
+                n = np.diff(bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(set_keys(values, bounds, seed), n)), pa.array(np.repeat(n, n)), pa.array(values.view(np.int64))], ["key", "n", "h"])
 
     return run
 
@@ -308,11 +309,11 @@ def _lacking(texts: DataFrame, parts: DataFrame, sketches: DataFrame, share: int
     of the smaller set and the first 1 - t of the larger, and only these are joined, with sizes, places and
     parities in the join's condition.
     """
-    tokens = written(texts.select("text").mapInArrow(_tokens(seed), "key long, h long"), "jaccard-tokens")
-    placed = tokens.join(_few(parts.withColumnRenamed("node", "key")), "key", "left").select("key", "h", F.coalesce("component", "key").alias("part"))
-    spread = placed.groupBy("h").agg(F.count("*").alias("df"), (F.min("part") != F.max("part")).alias("open"))
-    mine = sketches.join(_few(tokens.select("key").distinct()), "key", "left_semi").select("key", "n")
-    ranked = placed.join(spread, "h").join(_few(mine), "key").withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("df", "h")))
+    tokens = written(texts.select("text").mapInArrow(_tokens(seed), "key long, n long, h long"), "jaccard-tokens")
+    placed = tokens.join(_few(parts.withColumnRenamed("node", "key")), "key", "left").select("key", "n", "h", F.coalesce("component", "key").alias("part"))
+    holders = W.partitionBy("h")  # of the lacking sets alone; what exceeds memory is spilled
+    spread = placed.withColumns({"df": F.count("*").over(holders), "open": F.min("part").over(holders) != F.max("part").over(holders)})
+    ranked = spread.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("df", "h")))
     early = written(ranked.filter("open").filter(100 * (F.col("r") - 1) <= (100 - share) * F.col("n")).select("h", "key", "part", "n", "r"), "jaccard-early")
     early = early.join(sketches.select("key", "bits"), "key")
     x = early.filter((100 + share) * (F.col("r") - 1) <= (100 - share) * F.col("n")).select("h", *(F.col(c).alias(c + "a") for c in ("key", "part", "n", "r", "bits")))
