@@ -11,6 +11,7 @@ stretches of powers of two, which need no padding.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ class UnitEncoder:
 
     The vocabulary's splitting pattern never looks across the start of white space, so a unit's ids don't
     depend on its neighbours and equal units are encoded once. Texts with white space beyond ASCII, where
-    that doesn't hold, are one unit each.
+    that doesn't hold, and those that hold the string of an added token are one unit each.
     """
 
     def __init__(self, path: str):
@@ -43,7 +44,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a plain call finds these strings in a text before it splits the rest
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.ranked = self._ranked(path)
         self.forget()
 
@@ -67,9 +69,10 @@ class UnitEncoder:
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _ids(self, units: list[str]) -> list[list[int]]:
+        plain = lambda some: [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         if self.ranked:
-            return [self.ranked.encode_ordinary(u) for u in units]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+            return [plain([u])[0] if any(x in u for x in self.added) else self.ranked.encode_ordinary(u) for u in units]
+        return plain(units)
 
     def forget(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -87,13 +90,18 @@ class UnitEncoder:
             odd[:-2] |= (a == 0xE2) & (((b == 0x80) & ((c <= 0x8F) | ((c >= 0xA8) & (c <= 0xAF)))) | ((b == 0x81) & (c >= 0x9F)))
         return np.flatnonzero(odd)
 
+    def _special(self, data: np.ndarray) -> np.ndarray:
+        """Where strings of added tokens begin."""
+        raw = data.tobytes()
+        return np.array([m.start() for x in self.added for m in re.finditer(re.escape(x.encode()), raw)], dtype=np.int64)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by END_ID, and len + 1 bounds."""
         n = len(offsets) - 1
         space = tk.SEPARATOR[data]
         begins = np.zeros(len(data) + 1, dtype=bool)
         begins[1:-1] = space[1:] & ~space[:-1]
-        odd = np.unique(np.searchsorted(offsets, self._odd(data), side="right") - 1)
+        odd = np.unique(np.searchsorted(offsets, np.concatenate((self._odd(data), self._special(data))), side="right") - 1)
         for k in odd:
             begins[offsets[k] : offsets[k + 1]] = False
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
@@ -216,7 +224,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """One row for each piece of every row of docs(doc_id, text): where it lies in the text's ids and in which sequence.
 
     A text's ids are those of the tokenizer at `tokenizer_path` and END_ID, so a null or empty text has
-    one id. Each id lies in one piece; a sequence holds at most `capacity` ids, `max_segments` pieces and
+    one id; texts of any length are cut like others. Each id lies in one piece; a sequence holds at most `capacity` ids, `max_segments` pieces and
     `max_loss` loss-bearing ids (`capacity` by default). With `prompt`, a column of instruction data, its
     ids come first and bear no loss; else every id bears loss. `with_ids` adds each piece's ids. Repeated
     rows are packed each on its own and a null doc_id is kept. Further columns are ignored. An empty table
