@@ -24,7 +24,8 @@ from trailmill.functions.shared import scratch_path, written
 
 END = "\r\n\r\n"
 BLOCK_LINES = 256
-RECORDS_PER_FILE = 4000
+#: Bytes of payloads that an archive holds at most (one larger payload is an archive of its own), and records.
+ARCHIVE_BYTES, RECORDS_PER_FILE = 1 << 28, 4000
 SALTS = 32
 #: Repeated payloads (under 100 bytes a row) are broadcast up to so many, so that payloads needn't be shuffled.
 BROADCAST_ROWS = 500_000
@@ -80,7 +81,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     """A WARC/1.1 response or revisit record for every row of pages(page_id, url, html).
 
     A null html is an empty payload; a null page_id is always a response; rows equal in page_id and
-    payload are written alike. CR and LF in a URL are percent-encoded.
+    payload are written alike. CR and LF in a URL are percent-encoded. Payloads of any length are written whole.
     """
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     rows = records(pages, min_bytes)
@@ -95,7 +96,12 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
                                     line("X-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
         line("X-Page", F.col("page_id").cast("string")), F.lit("Content-Type: application/http; msgtype=response\r\n"),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block)
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # sizes by powers of two, so that records and bytes of an archive are both bounded without moving a payload
+    kind = F.greatest(F.ceil(F.log2(F.greatest("size", F.lit(1)))), F.lit((ARCHIVE_BYTES // RECORDS_PER_FILE).bit_length() - 1)).cast("int")
+    sizes = [r.kind for r in pages.select(F.coalesce(F.octet_length("html"), F.lit(0)).alias("size")).select(kind.alias("kind")).distinct().collect()]  # 32 at most
+    for k in sorted(sizes) or [0]:
+        part = rows.filter(kind == k) if len(sizes) > 1 else rows
+        part.select(record.alias("value")).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, min(RECORDS_PER_FILE, ARCHIVE_BYTES >> k))).text(path)
 
 
 def _parse(content: memoryview) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
@@ -148,7 +154,7 @@ def write_index(captures: DataFrame, path: str) -> None:
         part, block, lines = TaskContext.get().partitionId(), 0, []
 
         def flush() -> pa.RecordBatch:
-            data = zlib.compress("\n".join(f"{json.dumps(k)[1:-1]} {json.dumps(v)}" for k, v in lines).encode())
+            data = zlib.compress("\n".join(map(json.dumps, lines)).encode())  # JSON escapes line ends
             row = ([part], [block], [lines[0][0]], [lines[-1][0]], [len(lines)], [data])
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.binary()), strict=True)], [x.split()[0] for x in BLOCK.split(", ")])
 
@@ -167,11 +173,7 @@ def write_index(captures: DataFrame, path: str) -> None:
 
 
 def _lines(data: bytes) -> list[tuple[str, dict]]:
-    out = []
-    for x in zlib.decompress(data).decode().split("\n"):
-        cut = x.index(" {")
-        out.append((json.loads(f'"{x[:cut]}"'), json.loads(x[cut + 1 :])))
-    return out
+    return [tuple(json.loads(x)) for x in zlib.decompress(data).decode().split("\n")]
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
