@@ -176,7 +176,6 @@ def test_packing(docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     got = packing.pack_documents(docs, path, with_ids=True).toPandas()
     for i, t in enumerate(TEXTS):
         own = got[got.doc_id == i].sort_values("start")
@@ -186,11 +185,54 @@ def test_packing(docs):
     for _, own in got.groupby("sequence_id"):
         own = own.sort_values("offset")
         assert own.offset.tolist() == [0, *own.length.cumsum()[:-1]] and own.length.sum() <= 1024
+    assert 50256 in [x for part in got[got.doc_id == next(i for i, t in enumerate(TEXTS) if "endoftext" in (t or ""))].ids for x in part]
     tight = packing.pack_documents(docs, path, capacity=64, max_segments=2, max_loss=40).toPandas().groupby("sequence_id")
     assert tight.length.sum().max() <= 64 and tight.length.count().max() <= 2 and tight.loss_tokens.sum().max() <= 40
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_packing_instructions(spark):
+    """Prompts bear no loss, and each of three limits binds somewhere."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, say(RNG.choice((3, 40, 200))), say(RNG.choice((2, 30, 150)))) for i in range(120)] + [(200, None, "answer"), (201, "question", None)]
+    pairs = spark.createDataFrame(rows, "doc_id long, prompt string, text string").repartition(2)
+    got = packing.pack_documents(pairs, path, capacity=256, max_segments=6, max_loss=120, prompt="prompt").toPandas()
+    by = got.groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "count"), loss=("loss_tokens", "sum"))
+    assert by.tokens.max() <= 256 and by.segments.max() <= 6 and by.loss.max() <= 120
+    assert (by.tokens == 256).any() and (by.loss == 120).any()
+    own = packing.encoder(path)
+    for i, prompt, text in rows:
+        n = lambda t: len(own.tokenizer.encode(t or "", add_special_tokens=False).ids)
+        mine = got[got.doc_id == i]
+        assert mine.length.sum() == n((prompt or "") + (text or "")) + 1 and mine.loss_tokens.sum() == mine.length.sum() - n(prompt), i
+
+
+def test_archives_of_odd_pages(spark, monkeypatch):
+    """Keys with braces and line ends, payloads over an archive's bytes, repeated rows, null columns."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 14)
+    rows = [(1, "http://a.b/x {y", "<p>1"), (2, 'http://a.b/"\n{', None), (3, None, "x" * 70000), (4, "http://c.d/", "x" * 70000), (None, "http://c.d/", "x" * 70000), (5, "u", "<p>1"), (5, "u", "<p>1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to, r.payload_digest) for r in warc.archive_round_trip(pages).collect()), key=str)
+    sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    want = [(1, 4, "revisit", 5, sha("<p>1")), (2, 0, "response", None, sha("")), (3, 70000, "revisit", 4, sha("x" * 70000)), (4, 70000, "response", None, sha("x" * 70000)),
+            (0, 70000, "response", None, sha("x" * 70000)), (5, 4, "response", None, sha("<p>1")), (5, 4, "response", None, sha("<p>1"))]
+    assert got == sorted(want, key=str)
+    assert warc.archive_round_trip(pages.limit(0)).count() == 0
+
+
+def test_decontamination_rows(spark):
+    """Each row by its own text: no id, shared ids, clashing names, ties."""
+    item = say(30)
+    rows = [(None, say(50) + " " + item, "a"), (None, say(60), "b"), (7, item + " " + say(20), "c"), (7, say(70), "d"), (8, None, "e"), (9, "", "f"), (7, say(70) + " z", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, caught_id string")
+    items = spark.createDataFrame([(1, item, "x"), (1, item, "y"), (2, None, "z")], "item_id long, text string, caught_text string")
+    got = contamination.decontaminated(docs, items)
+    assert got.columns == docs.columns and sorted(r.caught_id for r in got.collect()) == ["b", "d", "d", "e", "f"]
+    assert contamination.decontaminated(docs.limit(0), items).count() == 0 and contamination.decontaminated(docs, items.limit(0)).count() == len(rows)
+
+
 def test_quality(docs, labels):
     got = {r.doc_id: r for r in quality.quality_rules(docs, labels).collect()}
     for i, t in enumerate(TEXTS):
