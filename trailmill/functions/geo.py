@@ -15,7 +15,7 @@ def haversine(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle metres between two points in degrees; null if any is null."""
     lat1, lon1, lat2, lon2 = (F.col(x) if isinstance(x, str) else x for x in (lat1, lon1, lat2, lon2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # least() would pass over a null
 
 
 def destination(lat: Column, lon: Column, bearing: Column, metres: Column) -> tuple[Column, Column]:
@@ -68,6 +68,28 @@ def duration_label(minutes: Column) -> Column:
     return F.when(m < 60, F.format_string("%d min", m)).otherwise(F.format_string("%d h %02d", F.expr("0") + F.floor(m / 60), m % 60))
 
 
+def percent_label(part: Column) -> Column:
+    """`12 %`; between 0 and 1 percent with a decimal, `0,4 %`."""
+    p = part * 100
+    fine = F.replace(F.format_string("%.1f %%", F.round(p * 10) / 10), F.lit("."), F.lit(","))
+    return F.when((p > 0) & (p < 1), fine).otherwise(F.format_string("%d %%", F.floor(p + 0.5).cast("long")))
+
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def gap_label(asked: Column, got: Column) -> Column:
+    """What was asked for, where the loop's distance doesn't already say so; empty else."""
+    km = lambda m: F.floor(m / 1000 + 0.5).cast("long")
+    told = _finite(asked) & (asked > 0) & ~((km(asked) == km(got)) & (F.abs(asked - got) < 500))
+    return F.when(told, F.format_string("tu en demandais %d", km(asked))).otherwise("")
+
+
+def whole_km_label(metres: Column) -> Column:
+    return F.when(_finite(metres), F.format_string("%d km", F.floor(metres / 1000 + 0.5).cast("long"))).otherwise("— km")
+
+
 def duration_min(metres: Column, speed_kmh: Column) -> Column:
     """Minutes at a speed; 0 where either is null, not finite or not above 0."""
     fine = lambda x: (x > 0) & ~F.isnan(x) & (x < float("inf"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailmill.functions import geo, points
 from trailmill.functions.shared import written
 from trailmill.functions.tags import CLASS_NAMES, DEFAULT_SURFACES, SURFACES, WAY_CLASSES, classify_ways
-from trailmill.operators import export, network, ranking, requests, snap
+from trailmill.operators import export, network, ranking, requests, routing, snap
 from trailmill.sources import derived, files
 from trailmill.streaming import limiter
 
@@ -184,7 +184,56 @@ def source_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return files.fingerprints(spark, f"{d}/part.parquet", "part").unionAll(files.fingerprints(spark, f"{d}/customer.parquet", "customer"))
 
 
+def _walks(spark: SparkSession, d: str) -> DataFrame:
+    """(request_id, candidate, leg, seq, edge_id): each line of an order goes along the first edge of its part's node and back."""
+    first = _edges(spark, d).groupBy(F.col("from_node").alias("node_id")).agg(F.min("edge_id").alias("edge_id"))
+    lines = derived.loop_lines(spark, d).join(first, "node_id")
+    return lines.select("request_id", "candidate", "leg", F.posexplode(F.array("edge_id", F.col("edge_id").bitwiseXOR(1))).alias("seq", "edge_id"))
+
+
+def leg_totals(spark: SparkSession, d: str) -> DataFrame:
+    out = routing.leg_totals(_walks(spark, d), _edges(spark, d))
+    return out.select("request_id", "candidate", "leg", *[F.round(c, 3).alias(c) for c in ranking.FIGURES], "n_edges")
+
+
+def loop_audit(spark: SparkSession, d: str) -> DataFrame:
+    walks = _walks(spark, d)
+    asked = walks.select("request_id").distinct().select("request_id", F.lit(2000.0).alias("distance_m"), F.lit(0.25).alias("tolerance"))
+    return routing.audit_loops(walks, _edges(spark, d), asked)
+
+
+def loop_waypoints(spark: SparkSession, d: str) -> DataFrame:
+    """Where the first try of each valid request's candidates would turn, around the point asked for."""
+    r = routing.start_bearings(requests.with_defaults(requests.validated(derived.loop_requests(spark, d)).filter("error is null")))
+    turns = [routing.waypoint(F.col("start_lat"), F.col("start_lon"), F.col("bearing"), F.col("distance_m"), F.lit(routing.DETOUR), k) for k in range(routing.WAYPOINTS)]
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), lat.alias("lat"), lon.alias("lon")) for k, (lat, lon) in enumerate(turns)]))
+    return r.select("request_id", "candidate", "bearing", each).select("request_id", "candidate", "k", *[F.round(c, 6).alias(c) for c in ("bearing", "lat", "lon")])
+
+
+def clipped_network(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes within half the distance of each valid request, which no loop can leave, and edges between them."""
+    good = requests.validated(derived.loop_requests(spark, d)).filter("error is null").withColumn("reach_m", F.col("distance_m") / 2)
+    near = written(routing.clipped(good, _referenced(spark, d), "request_id", "start_lat", "start_lon", "reach_m"), "clipped")
+    side = lambda c: near.select("request_id", F.col("node_id").alias(c))
+    inside = _edges(spark, d).select("from_node", "to_node").join(side("from_node"), "from_node").join(side("to_node"), ["request_id", "to_node"])
+    n = near.groupBy("request_id").agg(F.count("*").alias("nodes"))
+    return n.join(inside.groupBy("request_id").agg(F.count("*").alias("edges")), "request_id", "left").select("request_id", "nodes", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"))
+
+
+def cheapest_costs(spark: SparkSession, d: str) -> DataFrame:
+    """A trip for each customer between two nodes of the lattice, within 1 km of its start."""
+    edges = written(_edges(spark, d), "edges")
+    return routing.cheapest_paths(derived.trips(spark, d), _referenced(spark, d), edges)[0].select("trip_id", F.round("cost", 2).alias("cost"), "explored_nodes", "status")
+
+
+def loop_phrases(spark: SparkSession, d: str) -> DataFrame:
+    t = ranking.totals(derived.loop_edges(spark, d))
+    m = F.col("length_m")
+    return t.select("request_id", "candidate", geo.percent_label(F.col("retraced_m") / m / 10).alias("retraced"), geo.gap_label(F.lit(10_000.0), m).alias("gap"), geo.whole_km_label(m).alias("km"))
+
+
 QUERIES = {f.__name__: f for f in (
+    leg_totals, loop_audit, loop_waypoints, clipped_network, cheapest_costs, loop_phrases,
     network_by_class, classified_ways, directed_edges, node_degrees, network_stats, surface_coverage, node_components, component_sizes, snapped_starts, network_audit,
     request_errors, request_weights, edge_costs, loop_totals, similar_loops, distinct_loops, ranked_loops, request_counters, admitted_requests, loop_labels,
     requests_in_area, clamped_settings, client_keys, loop_bounds, stitched_loops, displayed_loops, decoded_requests, shared_loops, loop_gpx, source_fingerprints,
@@ -263,7 +312,12 @@ ORACLES = {
     "surface_coverage": f"with {_MAP} select way_class, count(*) as ways, count(*) filter (where not tagged) as untagged from kept group by way_class",
     "node_components": f"with recursive {_PARTS} select node_id, c as component_id, c = (select c from main) as is_main from reach",
     "component_sizes": f"with recursive {_PARTS} select c as component_id, n as nodes from sizes",
-    "network_audit": "select unnest(['endpoint', 'reverse', 'length']) as \"check\", cast(0 as bigint) as violations",
+    "network_audit": f"""with {_MAP}, x as (
+      select e.*, a.node_id is null or b.node_id is null as endpoint, r.edge_id is null or r.from_node <> e.to_node or r.to_node <> e.from_node as reverse,
+        2*6371008.8::double*asin(least(1, sqrt(pow(sin(radians(b.lat-a.lat)/2), 2) + cos(radians(a.lat))*cos(radians(b.lat))*pow(sin(radians(b.lon-a.lon)/2), 2)))) as chord,
+        e.length_m*(1 + 6*(case e.surface when 1 then 1 when 2 then cast(0.3 as double) when 3 then 0 else cast(0.5 as double) end) + 12*e.traffic/cast(255 as double)) as cost
+      from edge e left join edge r on r.edge_id = xor(e.edge_id, 1) left join osm_node a on a.node_id = e.from_node left join osm_node b on b.node_id = e.to_node)
+      select unnest(['endpoint', 'reverse', 'length', 'cost']) as "check", unnest([count(*) filter (where endpoint), count(*) filter (where reverse), count(*) filter (where not length_m >= chord - 1e-6), count(*) filter (where not cost >= length_m)]) as violations from x""",
     "request_errors": f"with {_REQ} select request_id, error from req",
     "request_weights": f"with {_REQ} select request_id, cast(0.15 as double) as tolerance, cast(case when k > 0 then k else 5 end as int) as max_results, round(a/cast(10 as double)*6, 6) as w_paved, round(2 + a/cast(10 as double)*10, 6) as w_traffic from req where error = ''",
     "edge_costs": f"with {_MAP} select edge_id, round(length_m*(1 + 2*traffic/cast(255 as double)), 2) as cost_neutral, round(length_m*(1 + cast(4.8 as double)*(case surface when 1 then 1 when 2 then cast(0.3 as double) else 0 end) + 10*traffic/cast(255 as double)), 2) as cost_avoid from edge",
@@ -313,3 +367,45 @@ ORACLES |= {
       r as (select *, row_number() over (partition by request_id order by abs(g) <= cast(0.15 as double) desc, case when abs(g) <= cast(0.15 as double) then p end desc nulls last, case when abs(g) > cast(0.15 as double) then abs(g) end asc nulls first, candidate) as rank from s)
       select request_id, candidate, cast(rank as int) as rank, round(g, 6) as ecart_cible from r where rank <= most""",
 }
+
+_WALKS = f"""{_MAP}, o as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders),
+  line as (select o_custkey + (n // 20)*{derived.NEXT_REQUEST} as request_id, cast(n % 20 as int) as candidate, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as leg, l_partkey as node_id from o join lineitem on l_orderkey = o_orderkey),
+  out as (select from_node as node_id, min(edge_id) as edge_id from edge group by from_node),
+  walk as (select request_id, candidate, leg, seq, case when seq = 0 then edge_id else xor(edge_id, 1) end as edge_id from line join out using (node_id), (select unnest([0, 1]) as seq)),
+  step as (select w.*, e.from_node, e.to_node, e.length_m, e.surface, e.traffic, e.edge_id // 2 as segment from walk w join edge e using (edge_id))"""
+_HAV = "2*6371008.8::double*asin(least(1, sqrt(pow(sin(radians({b}.lat-{a}.lat)/2), 2) + cos(radians({a}.lat))*cos(radians({b}.lat))*pow(sin(radians({b}.lon-{a}.lon)/2), 2))))".format
+ORACLES |= {
+    "leg_totals": f"""with {_WALKS}, first as (select request_id, candidate, segment, min(leg) as first from step group by all)
+      select request_id, candidate, leg, round(sum(length_m), 3) as length_m, round(sum(case when surface <> 1 then length_m else 0 end), 3) as unpaved_m, round(sum(length_m*traffic/cast(255 as double)), 3) as traffic_exposure_m,
+        round(sum(case when leg > first then length_m else 0 end), 3) as retraced_m, count(*) as n_edges from step join first using (request_id, candidate, segment) group by request_id, candidate, leg""",
+    "loop_audit": f"""with {_WALKS}, nxt as (select *, lead(from_node) over (partition by request_id, candidate order by leg, seq) as after from step),
+      l as (select request_id, candidate, count(*) filter (where after <> to_node) as apart, first(from_node order by leg, seq) as a, last(to_node order by leg, seq) as b, sum(length_m) as m, list_sort(list(distinct edge_id)) as es from nxt group by all),
+      d as (select count(*) as n from l group by request_id, es)
+      select unnest(['unknown', 'apart', 'open', 'tolerance', 'alike']) as "check",
+        unnest([cast(0 as bigint), cast(sum(apart) as bigint), count(*) filter (where a <> b), count(*) filter (where abs(m - 2000) > 500), (select cast(sum(n*(n - 1)//2) as bigint) from d)]) as violations from l""",
+    "loop_waypoints": f"""with {_REQ}, v as (select *, 1500 + request_id*613 % 2500 as m, case when k > 0 then k else 5 end as most, unnest(range(0, 20)) as candidate from req where error = ''),
+      b as (select *, candidate*(2*pi()/20) + cast(('0x' || substr(md5(printf('%.6f|%.6f|%.1f|%.3f|%.3f|%d|%d', lat, lon, cast(m as double), cast(0.15 as double), a/cast(10 as double), most, request_id % 3) || '|' || candidate), 1, 8)) as bigint)/cast(4294967296 as double)*cast(0.3 as double) as bearing from v),
+      t as (select *, unnest([0, 1, 2]) as turn, m/(2*pi()*cast(1.3 as double)) as radius from b)
+      select request_id, cast(candidate as int) as candidate, cast(turn as int) as k, round(bearing, 6) as bearing, round(lat + radius*cos(bearing + turn*2*pi()/3)/111320, 6) as lat, round(lon + radius*sin(bearing + turn*2*pi()/3)/(111320*cos(radians(lat))), 6) as lon from t""",
+    "clipped_network": f"""with {_MAP}, {_REQ}, v as (select *, (1500 + request_id*613 % 2500)/cast(2 as double) as reach from req where error = ''),
+      near as (select request_id, n.node_id from v join net n on abs(n.lat - v.lat) <= reach/110000 and {_HAV(a='v', b='n')} <= reach),
+      inside as (select x.request_id, count(*) as edges from edge e join near x on x.node_id = e.from_node join near y on y.node_id = e.to_node and y.request_id = x.request_id group by x.request_id)
+      select request_id, count(*) as nodes, coalesce(any_value(edges), 0) as edges from near left join inside using (request_id) group by request_id""",
+    "cheapest_costs": f"""with recursive {_MAP},
+      trip as (select c_custkey as trip_id, 1 + c_custkey*37 % p as f, least(p, 1 + c_custkey*37 % p + 41*(1 + c_custkey % 3)) as t, (c_custkey % 11)/cast(10 as double) as a from customer, (select max(p_partkey) as p from part)),
+      clip as (select trip_id, f, t, a, n.node_id, {_HAV(a='n', b='g')} as h from trip join net s on s.node_id = f join net g on g.node_id = t join net n on abs(n.lat - s.lat) <= cast(0.01 as double) and {_HAV(a='s', b='n')} <= 1000 where f <> t),
+      te as (select x.trip_id, e.from_node, e.to_node, e.length_m*(1 + 6*x.a*(case surface when 1 then 1 when 2 then cast(0.3 as double) when 3 then 0 else cast(0.5 as double) end) + (2 + 10*x.a)*traffic/cast(255 as double)) as cost
+        from clip x join edge e on e.from_node = x.node_id join clip y on y.trip_id = x.trip_id and y.node_id = e.to_node),
+      gone(trip_id, node_id, g) using key (trip_id, node_id) as (
+        select trip_id, node_id, case when node_id = f then cast(0 as double) else cast(1e18 as double) end from clip
+        union select r.trip_id, te.to_node, min(r.g + te.cost) from gone r join te on te.trip_id = r.trip_id and te.from_node = r.node_id join recurring.gone k on k.trip_id = te.trip_id and k.node_id = te.to_node
+        where r.g < 1e17 and r.g + te.cost < k.g group by te.trip_id, te.to_node, r.trip_id),
+      goal as (select c.trip_id, g as total from clip c join gone using (trip_id, node_id) where c.node_id = t and g < 1e17),
+      seen as (select c.trip_id, count(*) filter (where g < 1e17 and (total is null or g + h <= total + 1e-6)) as n from clip c join gone using (trip_id, node_id) left join goal on goal.trip_id = c.trip_id group by c.trip_id)
+      select trip.trip_id, round(case when f = t and s.node_id is not null then 0 else total end, 2) as cost, coalesce(n, 0) as explored_nodes, case when f = t and s.node_id is not null or total is not null then 'ok' else 'no_path' end as status
+      from trip left join goal on goal.trip_id = trip.trip_id left join seen on seen.trip_id = trip.trip_id left join net s on s.node_id = f""",
+    "loop_phrases": f"""with {_LOOPS.replace(" where candidate < 20", "").replace("o_custkey as request_id", "o_custkey + (n // 20)*" + str(derived.NEXT_REQUEST) + " as request_id").replace("cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as int) as candidate", "row_number() over (partition by o_custkey order by o_orderkey) - 1 as n, cast((row_number() over (partition by o_custkey order by o_orderkey) - 1) % 20 as int) as candidate")},
+      x as (select request_id, candidate, m, r/m/10*100 as p, cast(floor(m/1000 + cast(0.5 as double)) as bigint) as km from loops)
+      select request_id, candidate, case when p > 0 and p < 1 then replace(printf('%.1f', round(p*10)/10), '.', ',') || ' %' else cast(floor(p + cast(0.5 as double)) as bigint) || ' %' end as retraced,
+        case when km = 10 and abs(10000 - m) < 500 then '' else 'tu en demandais 10' end as gap, km || ' km' as km from x""",
+}

@@ -94,6 +94,16 @@ def to_loops_json(loops: DataFrame) -> DataFrame:
     return grouped.select("request_id", F.to_json(F.struct(F.transform("l", lambda x: x["loop"]).alias("loops"), F.lit(ATTRIBUTION).alias("attribution"))).alias("json"))
 
 
+def to_loop_json(loops: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, candidate, json): a document for each loop with the request it answers; `loops` as for to_loops_json()."""
+    s = score(F.col("length_m"), F.col("unpaved_m"), F.col("traffic_exposure_m"), F.col("retraced_m"), F.col("distance_m"))
+    loop = F.struct("id", F.struct(*[v.alias(k) for k, v in s.items()]).alias("score"), F.transform("coords", lambda c: F.array(c["lon"], c["lat"])).alias("geometry"))
+    asked = requests.select("request_id", F.struct(F.struct(F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")).alias("start"), "distance_m", "tolerance", "activity",
+                                                   F.struct("avoid_paved").alias("preferences"), "max_results", "variant").alias("request"))
+    out = loops.select("request_id", "candidate", loop.alias("loop")).join(asked, "request_id")
+    return out.select("request_id", "candidate", F.to_json(F.struct("loop", "request", F.lit(ATTRIBUTION).alias("attribution"))).alias("json"))
+
+
 def regions(points: DataFrame, provenance: DataFrame) -> DataFrame:
     """One JSON document: bounds of points(lat, lon), the sources of the data, attribution."""
     box = bounds(points).select(F.struct("min_lat", "min_lon", "max_lat", "max_lon").alias("bbox"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.functions.geo import cell, haversine
+from trailmill.functions.geo import cell, edge_cost, haversine
 from trailmill.functions.tags import classify_ways
 from trailmill.operators.components import connected_components
 
@@ -65,13 +65,15 @@ def by_class(edges: DataFrame) -> DataFrame:
 
 
 def audit(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(check, violations): endpoints exist, reverses exist and match, lengths are finite and at least the chord."""
-    e = edges.select("edge_id", "from_node", "to_node", "length_m")
-    r = e.select(F.col("edge_id").bitwiseXOR(1).alias("edge_id"), F.col("to_node").alias("f"), F.col("from_node").alias("t"))
+    """(check, violations): endpoints exist, reverses exist and match, lengths are finite and at least the chord, costs at least the length."""
+    e = edges.select("edge_id", "from_node", "to_node", "length_m", "surface", "traffic")
+    dear = edge_cost(F.col("length_m"), F.col("surface"), F.col("traffic"), F.lit(6.0), F.lit(12.0))
+    r = edges.select(F.col("edge_id").bitwiseXOR(1).alias("edge_id"), F.col("to_node").alias("f"), F.col("from_node").alias("t"))
     at = lambda c, k: nodes.select(F.col("node_id").alias(c), F.col("lat").alias(f"lat{k}"), F.col("lon").alias(f"lon{k}"))
     full = e.join(r, "edge_id", "left").join(at("from_node", 1), "from_node", "left").join(at("to_node", 2), "to_node", "left")
     bad = {"endpoint": F.col("lat1").isNull() | F.col("lat2").isNull(), "reverse": F.col("f").isNull() | (F.col("f") != F.col("from_node")) | (F.col("t") != F.col("to_node")),
-           "length": F.isnan("length_m") | ~(F.col("length_m") >= haversine("lat1", "lon1", "lat2", "lon2") - 1e-6)}
+           "length": F.isnan("length_m") | ~(F.col("length_m") >= haversine("lat1", "lon1", "lat2", "lon2") - 1e-6),
+           "cost": F.isnan(dear) | ~((dear >= F.col("length_m")) & (dear < float("inf")))}
     counted = full.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in bad.items()])
     return counted.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("violations")) for k in bad])))
 

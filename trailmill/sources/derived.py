@@ -74,6 +74,21 @@ def loop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         from o join {lineitem} on l_orderkey = o_orderkey""", "orders", "lineitem")
 
 
+def loop_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, candidate, leg, node_id): the lines of every order in their order, each with the node that its part is."""
+    return _sql(spark, sf_dir, f"with {_DEALT}" """
+        select request_id, candidate, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as leg, l_partkey as node_id
+        from o join {lineitem} on l_orderkey = o_orderkey""", "orders", "lineitem")
+
+
+def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trip_id, from_node, to_node, w_paved, w_traffic, reach_m): for each customer, from a node to one up to three rows and columns on."""
+    return _sql(spark, sf_dir, """
+        select c_custkey as trip_id, 1 + c_custkey*37 % p as from_node, least(p, 1 + c_custkey*37 % p + 41*(1 + c_custkey % 3)) as to_node,
+          6D*((c_custkey % 11)/10.0D) as w_paved, 2D + 10D*((c_custkey % 11)/10.0D) as w_traffic, 1000D as reach_m
+        from {customer}, (select max(p_partkey) as p from {part})""", "customer", "part")
+
+
 def loop_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request_id, candidate, seq, lat, lon): the nodes that the lines of loop_edges() stand for."""
     return spark.sql(f"with {_DEALT}" """
