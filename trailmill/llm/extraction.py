@@ -345,4 +345,4 @@ def main_text(pages: DataFrame, sample_pages: int = PAGES, max_chars: int = MAX_
                 texts = ["\n".join(t for (_, t, _), y in zip(b, k.tolist(), strict=True) if y) if b else "" for b, k in zip(found, keep, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return source.mapInArrow(run, SCHEMA)
+    return source.mapInArrow(tk.lean(run), SCHEMA)

@@ -42,7 +42,7 @@ BROADCAST_ROWS = 2_000_000
 #: Keys that a task remembers in order not to index a set twice; only saves work.
 SEEN = 200_000
 #: Bytes of texts that are cut into shingles at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 @functools.cache
@@ -309,7 +309,7 @@ def _lacking(texts: DataFrame, parts: DataFrame, sketches: DataFrame, share: int
     of the smaller set and the first 1 - t of the larger, and only these are joined, with sizes, places and
     parities in the join's condition.
     """
-    tokens = written(texts.select("text").mapInArrow(_tokens(seed), "key long, n long, h long"), "jaccard-tokens")
+    tokens = written(texts.select("text").mapInArrow(tk.lean(_tokens(seed)), "key long, n long, h long"), "jaccard-tokens")
     placed = tokens.join(_few(parts.withColumnRenamed("node", "key")), "key", "left").select("key", "n", "h", F.coalesce("component", "key").alias("part"))
     holders = W.partitionBy("h")  # of the lacking sets alone; what exceeds memory is spilled
     spread = placed.withColumns({"df": F.count("*").over(holders), "open": F.min("part").over(holders) != F.max("part").over(holders)})
@@ -330,7 +330,7 @@ def _linked(docs: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     for seed in range(0, 64, 2):
-        meta = written(source.mapInArrow(_describe(seed), "doc_id long, text_key long, n long, key long, second long, bits array<long>"), "jaccard-meta")
+        meta = written(source.mapInArrow(tk.lean(_describe(seed)), "doc_id long, text_key long, n long, key long, second long, bits array<long>"), "jaccard-meta")
         # one text stands for each set; copies never enter the search
         classes = meta.filter("n > 0").groupBy("key").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.any_value("bits").alias("bits"), (F.min("second") != F.max("second")).alias("mixed"))
         classes = written(classes, "jaccard-classes")
@@ -351,9 +351,9 @@ def _linked(docs: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
         side = lambda k: sketches.select(F.col("key").alias("k" + k), F.col("n").alias("n" + k), F.col("bits").alias("bits" + k))
         pairs = written(pairs.join(side("a"), "ka").join(side("b"), "kb").filter(close("a", "b", share)).select("ka", "kb"), "jaccard-close")
         keys = written(pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct(), "jaccard-keys")
-        z = written(texts_of(keys).mapInArrow(_packed, "key long, z binary"), "jaccard-texts")
+        z = written(texts_of(keys).mapInArrow(tk.lean(_packed), "key long, z binary"), "jaccard-texts")
         joined = pairs.join(z.select(F.col("key").alias("ka"), F.col("z").alias("za")), "ka").join(z.select(F.col("key").alias("kb"), F.col("z").alias("zb")), "kb")
-        return written(joined.select("ka", "kb", "za", "zb").mapInArrow(_verify(share), "ka long, kb long"), name)
+        return written(joined.select("ka", "kb", "za", "zb").mapInArrow(tk.lean(_verify(share)), "ka long, kb long"), name)
 
     def still_open(entry: DataFrame, links: DataFrame) -> DataFrame:
         """(sig, key, part) of the entries that sets of several components share."""
@@ -362,8 +362,8 @@ def _linked(docs: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
         spread = placed.groupBy("sig").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("sig")
         return written(placed.join(spread, "sig", "left_semi"), "jaccard-open")
 
-    indexed = source.select("text").mapInArrow(_index(share, seed), "sig long, key long, note boolean")
-    shared = indexed.repartition("sig", F.when(F.col("note"), F.col("key"))).sortWithinPartitions("sig", "note", "key").mapInArrow(_grouped, "sig long, key long, prev long, note boolean")
+    indexed = source.select("text").mapInArrow(tk.lean(_index(share, seed)), "sig long, key long, note boolean")
+    shared = indexed.repartition("sig", F.when(F.col("note"), F.col("key"))).sortWithinPartitions("sig", "note", "key").mapInArrow(tk.lean(_grouped), "sig long, key long, prev long, note boolean")
     shared = written(shared, "jaccard-shared")
     scheme = F.col("sig").bitwiseAND((1 << SCHEME_BITS) - 1).cast("int").alias("scheme")
     entry = shared.filter("not note").select("sig", "key", "prev")

@@ -27,7 +27,7 @@ CAPACITY, MAX_SEGMENTS = 1024, 512
 END_ID = 0
 #: Pieces among which an open sequence chooses; bounds a task's memory, not what is packed.
 POOL = 1024
-CACHE_UNITS, CACHE_TOKENS = 1_500_000, 8_000_000
+CACHE_UNITS, CACHE_TOKENS = 500_000, 2_500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -262,4 +262,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     if prompt:
         columns[1] = F.concat(F.coalesce(F.col(prompt), F.lit("")), F.coalesce("text", F.lit(""))).alias("text")
         columns.append(F.col(prompt).cast("string").alias("prompt"))
-    return docs.select(*columns).mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return docs.select(*columns).mapInArrow(tk.lean(run), SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -33,7 +33,7 @@ PARTS = 64
 #: Bytes of snippets that a shard takes before it is sorted; it takes whole anchors, so it may be larger.
 SHARD_BYTES = 8 << 20
 #: Bytes of texts that are searched for anchors at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Copies that a task remembers in order not to search them twice; only saves work.
 SEEN = 100_000
 BROADCAST_ROWS = 500_000
@@ -299,8 +299,8 @@ def _most(rows: DataFrame, least: int) -> list[int]:
 def _equal(rows: DataFrame, name: str) -> DataFrame:
     """_shared() for rows of which very many may be equal: each of PARTS parts of equals first, then their leads."""
     part = F.pmod(F.xxhash64("k1", "k2", "lo"), F.lit(PARTS))
-    thin = written(rows.repartition("anchor", "whole", part).sortWithinPartitions("anchor", "whole", "k1", "k2", "lo").mapInArrow(_shared(True), ROWS + ", lead boolean"), name)
-    leads = thin.filter("lead").select(ROW).repartition("anchor", "whole").sortWithinPartitions("anchor", "whole", "k1", "k2", "lo").mapInArrow(_shared(True), ROWS + ", lead boolean")
+    thin = written(rows.repartition("anchor", "whole", part).sortWithinPartitions("anchor", "whole", "k1", "k2", "lo").mapInArrow(tk.lean(_shared(True)), ROWS + ", lead boolean"), name)
+    leads = thin.filter("lead").select(ROW).repartition("anchor", "whole").sortWithinPartitions("anchor", "whole", "k1", "k2", "lo").mapInArrow(tk.lean(_shared(True)), ROWS + ", lead boolean")
     return thin.filter("not lead").unionAll(leads)
 
 
@@ -309,7 +309,7 @@ def _standing(rows: DataFrame) -> DataFrame:
     have meet by equal snippets alone, and all its distinct ones are taken to be several."""
     hot = _most(rows, HOT_ROWS)
     mild = rows.filter(~F.col("anchor").isin(hot)) if hot else rows
-    out = mild.repartition("anchor").sortWithinPartitions("anchor", "whole", "k1", "k2", "lo").mapInArrow(_shared(False), ROWS + ", lead boolean")
+    out = mild.repartition("anchor").sortWithinPartitions("anchor", "whole", "k1", "k2", "lo").mapInArrow(tk.lean(_shared(False)), ROWS + ", lead boolean")
     if hot:
         out = out.unionAll(_equal(rows.filter(F.col("anchor").isin(hot)), "repeat-equal"))
     return written(out, "repeat-anchors")
@@ -323,22 +323,22 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) ->
     source = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("text", *_text_keys(F.col("text")), F.octet_length("text").alias("size"))
     long, keys = source.filter(F.col("size") >= depth), ["k1", "k2"]
     copies = written(long.groupBy(*keys).agg(F.count("*").alias("n"), F.max("size").alias("size")).filter("n > 1").select(*keys, F.col("size").cast("int").alias("size")), "repeat-copies")
-    rows = written(long.select("text", *keys).mapInArrow(_anchors(depth, anchor), ROWS), "repeat-rows")
+    rows = written(long.select("text", *keys).mapInArrow(tk.lean(_anchors(depth, anchor)), ROWS), "repeat-rows")
     shared = _standing(rows)
     # anchors with one distinct snippet have nothing left to sort
     leads = shared.filter("lead").select(*keys, "anchor", "lo", "hi")
     found = written(leads.groupBy(*keys).agg(F.collect_set(F.struct("anchor", "lo", "hi")).alias("found")), "repeat-leads")  # snippets of one text
     texts = long.select(*keys, "text").join(_few(found.select(*keys)), keys, "left_semi").dropDuplicates(keys).join(found, keys)
-    pieces = written(texts.select(*keys, "text", "found").mapInArrow(_cut(depth), "k1 long, k2 long, anchor long, lo int, bytes binary"), "repeat-snippets")
+    pieces = written(texts.select(*keys, "text", "found").mapInArrow(tk.lean(_cut(depth)), "k1 long, k2 long, anchor long, lo int, bytes binary"), "repeat-snippets")
     hot = _most(pieces, HOT)
     mild = pieces.filter(~F.col("anchor").isin(hot)) if hot else pieces
-    ranges = mild.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted(depth), "k1 long, k2 long, lo int, hi int")
+    ranges = mild.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tk.lean(_sorted(depth)), "k1 long, k2 long, lo int, hi int")
     if hot:
-        starts = pieces.filter(F.col("anchor").isin(hot)).select(*keys, "lo", "bytes").mapInArrow(_starts(depth), ROWS)
+        starts = pieces.filter(F.col("anchor").isin(hot)).select(*keys, "lo", "bytes").mapInArrow(tk.lean(_starts(depth)), ROWS)
         ranges = ranges.unionAll(_equal(starts, "repeat-starts").filter("not lead").select(*keys, "lo", "hi"))
     ranges = ranges.unionAll(shared.filter("not lead").select(*keys, "lo", "hi")).unionAll(copies.select(*keys, F.lit(0).alias("lo"), (F.col("size") - depth).alias("hi")))
     grouped = ranges.groupBy(*keys).agg(F.collect_set(F.struct("lo", (F.col("hi") + depth).alias("hi"))).alias("r"))
-    return written(grouped.mapInArrow(_joined, "k1 long, k2 long, spans array<struct<lo:int,hi:int>>"), "repeat-spans")
+    return written(grouped.mapInArrow(tk.lean(_joined), "k1 long, k2 long, spans array<struct<lo:int,hi:int>>"), "repeat-spans")
 
 
 def fresh(docs: DataFrame, name: str) -> str:
@@ -385,7 +385,7 @@ def dedup_report(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                  pa.array([[(s["lo"], s["hi"]) for s in x or []] for x in spans], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:int,hi:int>>")
+    return rows.mapInArrow(tk.lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:int,hi:int>>")
 
 
 def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -402,5 +402,5 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(n) for k, n in enumerate(schema.fieldNames())]
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(tk.lean(run), schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.fieldNames() else out

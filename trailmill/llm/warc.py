@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmill.functions.shared import scratch_path, written
+from trailmill.llm import textkit as tk
 
 END = "\r\n\r\n"
 BLOCK_LINES = 256
@@ -142,7 +143,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, CAPTURE)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(tk.lean(run), CAPTURE)
 
 
 def write_index(captures: DataFrame, path: str) -> None:
@@ -167,7 +168,7 @@ def write_index(captures: DataFrame, path: str) -> None:
         if lines:
             yield flush()
 
-    ordered.mapInArrow(run, BLOCK).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(tk.lean(run), BLOCK).write.parquet(f"{path}/blocks")
     blocks = captures.sparkSession.read.parquet(f"{path}/blocks")
     blocks.select("part", "block", "first_key", "last_key").write.parquet(f"{path}/directory")
 
@@ -187,7 +188,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                 rows = [v for _, v in _lines(data.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True)], names)
 
-    return spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("data").mapInArrow(run, CAPTURE)
+    return spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("data").mapInArrow(tk.lean(run), CAPTURE)
 
 
 def lookup(spark: SparkSession, index: str, url: str) -> list[dict]:
