@@ -328,7 +328,7 @@ def _linked(docs: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
 
     key names a set, part a component of sets; component_id is its least doc_id.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    source = tk.bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     for seed in range(0, 64, 2):
         meta = written(source.mapInArrow(tk.lean(_describe(seed)), "doc_id long, text_key long, n long, key long, second long, bits array<long>"), "jaccard-meta")
         # one text stands for each set; copies never enter the search

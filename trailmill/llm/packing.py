@@ -262,4 +262,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     if prompt:
         columns[1] = F.concat(F.coalesce(F.col(prompt), F.lit("")), F.coalesce("text", F.lit(""))).alias("text")
         columns.append(F.col(prompt).cast("string").alias("prompt"))
-    return docs.select(*columns).mapInArrow(tk.lean(run), SCHEMA + (", ids array<int>" if with_ids else ""))
+    return tk.bounded(docs).select(*columns).mapInArrow(tk.lean(run), SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -178,7 +178,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from scorer(shared.value)(batches)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tk.lean(run), SCHEMA)
+    return tk.bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tk.lean(run), SCHEMA)
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -190,4 +190,4 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part, data, offsets in tk.blocks(batch, "text"):
                 yield part.filter(pa.array(measure(data, offsets, shared.value)["kept"]))
 
-    return docs.mapInArrow(tk.lean(run), schema)
+    return tk.bounded(docs).mapInArrow(tk.lean(run), schema)

@@ -320,7 +320,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) ->
 
     k1 and k2 are two 64-bit hashes of the text; `docs` needs column text. Whole copies have one span.
     """
-    source = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("text", *_text_keys(F.col("text")), F.octet_length("text").alias("size"))
+    source = tk.bounded(docs).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("text", *_text_keys(F.col("text")), F.octet_length("text").alias("size"))
     long, keys = source.filter(F.col("size") >= depth), ["k1", "k2"]
     copies = written(long.groupBy(*keys).agg(F.count("*").alias("n"), F.max("size").alias("size")).filter("n > 1").select(*keys, F.col("size").cast("int").alias("size")), "repeat-copies")
     rows = written(long.select("text", *keys).mapInArrow(tk.lean(_anchors(depth, anchor)), ROWS), "repeat-rows")
