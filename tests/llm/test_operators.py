@@ -51,6 +51,28 @@ def test_sharding(docs):
     assert sharding.shard_by_bytes(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 30, 200])
+def test_shards_keep_groups_and_sizes(spark, copies):
+    """Against brute force: equal texts together, sizes near equal, rows whole, with a group of a third of all rows."""
+    rng = random.Random(copies)
+    texts = [say(rng.randint(1, 120)) for _ in range(400)]
+    texts += [t for t in texts[:40] for _ in range(3)] + [BASE] * copies + [None, "", None]
+    rows = [(rng.randint(0, 300) if i % 9 else None, t) for i, t in enumerate(texts)]
+    rows += rows[:20]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8).toPandas()
+    size = lambda t: len((t or "").encode()) + 1
+    key = lambda i, t: (-1 if i is None else i, size(t), zlib.crc32((t or "").encode()))
+    mine = [(-1 if i != i else int(i), n, c) for i, n, c in zip(got.doc_id, got["size"], got.text_crc32, strict=True)]
+    assert Counter(mine) == Counter(key(i, t) for i, t in rows)
+    mean = got["size"].sum() / 8
+    by = got.groupby("shard")
+    assert len(by) == 8 and by["size"].sum().sub(mean).abs().max() <= 0.02 * mean + (max(map(size, texts)) if copies == 200 else 0)
+    assert all(sorted(s) == list(range(len(s))) for _, s in by.slot)
+    group = got.groupby("text_crc32")
+    whole = group.shard.nunique()[group["size"].sum() <= mean]
+    assert whole.max() == 1 and (copies < 200 or group.shard.nunique().max() > 1)
+
+
 def test_jaccard(docs):
     def shingles(t):
         w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))

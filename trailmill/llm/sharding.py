@@ -5,11 +5,18 @@ between shards are found by probing: each round counts, exactly and over all par
 bytes and rows below every candidate boundary, and only the cells that hold a splitter are probed more
 finely. When each splitter is known to the row, rows are exchanged once, to cells of the known histogram;
 a row's place in its shard is its place in its cell plus the rows counted before it.
+
+Texts whose rows weigh much are given a shard first, and the splitters then fill what room they leave, so
+that both groups stay whole and sizes stay near equal.
 """
 
 from __future__ import annotations
 
+import heapq
 import os
+from bisect import bisect_right
+from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,34 +28,38 @@ from trailmill.functions.shared import written
 DIGITS = 2
 #: Cells of the last exchange for each shard.
 CELLS = 16
-#: A group of equal texts over this share of a shard is cut by rows, smaller ones stay whole.
+#: A group of equal texts over this share of a shard is given a shard before the others.
 GROUP_SHARE = 0.01
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, group_share: float = GROUP_SHARE) -> DataFrame:
     """docs(doc_id, text) with size, text_crc32, law 'bytes', shard, slot, grown_shard (null).
 
-    size is the UTF-8 length plus 1 (a null text has length 0); a unit goes to the shard in which the
-    middle of its bytes falls, so shards differ from the mean by less than one unit at either end. A
-    unit is all rows of one text, or one row where the rows of a text exceed `group_share` of a shard.
-    Rows equal in text and doc_id are interchangeable. Null and repeated doc_ids are kept; further
-    columns are dropped. An empty table gives an empty table.
+    size is the UTF-8 length plus 1 (a null text has length 0). All rows of one text go to one shard, and
+    shards differ from the mean by about `group_share` of it. Only a text whose rows fit in no shard beside
+    the larger groups is cut by rows, as then sizes come first. Rows equal in text and doc_id are
+    interchangeable. Null and repeated doc_ids are kept; further columns are dropped. An empty table gives
+    an empty table.
     """
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.md5(F.encode(body, "UTF-8")).alias("k"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias("d"))
+        # rows of one text by doc_id; those of one doc_id are interchangeable and fall in any order
+        F.concat(*(F.substring(F.md5(c), 1, 16) for c in (F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.rand().cast("string")))).alias("d"))
     rows = written(rows, "shard-rows")
     total, = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()
-    limit = group_share * total / shards
-    # texts whose rows exceed the limit: fewer than shards / group_share of them
-    big = rows.groupBy("k").agg(F.sum("size").alias("b")).filter(F.col("b") > limit).select("k", F.lit(True).alias("big"))
-    keyed = rows.join(F.broadcast(big), "k", "left").withColumn(
-        "key", F.concat("k", F.when(F.col("big"), F.col("d")).otherwise(F.repeat(F.lit("0"), F.lit(32))))).drop("k", "d", "big")
-    # splitter i lies where the bytes before a unit, plus half of its own, reach i * total / shards
-    shard_at = lambda twice: min(twice * shards // (2 * max(total, 1)), shards - 1)  # noqa: E731  of twice the bytes before
+    # fewer than shards / group_share texts have so many bytes
+    heavy = rows.groupBy("k").agg(F.sum("size").alias("b")).filter(F.col("b") > group_share * total / shards).collect()
+    homes, room = _homes([(k, b) for k, b in heavy], total, shards)
+    table = docs.sparkSession.createDataFrame([(k, "00" if home is None else f"01{home:04x}") for k, home in homes.items()], "k string, head string")
+    zeros = F.repeat(F.lit("0"), F.lit(32))
+    keyed = rows.join(F.broadcast(table), "k", "left").withColumn(
+        "key", F.concat(F.coalesce("head", F.lit("00")), "k", F.when(F.col("head").isNull(), zeros).otherwise(F.col("d")))).drop("k", "d", "head")
+    # keys begin with the light texts, shard after shard, and end with the heavy ones, shard after shard
+    ends = list(accumulate([*room, *(total / shards - r for r in room)]))
+    shard_at = lambda twice: min(bisect_right(ends, twice / 2), 2 * shards - 1)  # noqa: E731  of twice the bytes before
     cells: dict[str, int] = {"": 0}  # prefix of the keys in a cell: bytes before it
     leaves: dict[str, tuple[int, int, int]] = {}  # prefix: bytes before, bytes, rows
     while cells:
@@ -70,13 +81,26 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, group_share: float = GROUP
             else:
                 leaves[cell] = (start, size, n)
         cells = refined
-    return _exchange(keyed, leaves, total, shards)
+    return _exchange(keyed, leaves, shard_at, shards)
+
+
+def _homes(heavy: list[tuple[str, int]], total: int, shards: int) -> tuple[dict[str, int | None], list[int]]:
+    """A shard for each heavy text, the largest first to the emptiest (None: fits in none), and the room left."""
+    free = [(-total / shards, shard) for shard in range(shards)]
+    homes: dict[str, int | None] = {}
+    for k, size in sorted(heavy, key=lambda x: (-x[1], x[0])):
+        room, shard = free[0]
+        fits = size <= -room
+        homes[k] = shard if fits else None
+        if fits:
+            heapq.heapreplace(free, (room + size, shard))
+    return homes, [-room for room, _ in sorted(free, key=lambda x: x[1])]
 
 
-def _exchange(keyed: DataFrame, leaves: dict[str, tuple[int, int, int]], total: int, shards: int) -> DataFrame:
+def _exchange(keyed: DataFrame, leaves: dict[str, tuple[int, int, int]], shard_at: Callable[[float], int], shards: int) -> DataFrame:
     ordered, done = [], dict.fromkeys(range(shards), 0)
     for cell, (start, size, n) in sorted(leaves.items(), key=lambda x: x[1][0]):
-        shard = min((2 * start + size) * shards // (2 * total), shards - 1)
+        shard = shard_at(2 * start + size) % shards
         ordered.append((cell, shard, done[shard]))
         done[shard] += n
     spark = keyed.sparkSession
