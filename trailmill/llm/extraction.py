@@ -36,11 +36,15 @@ NOT_MAIN = frozenset("nav header footer aside form menu button dialog".split())
 NOT_MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|header|footer|notice|alert|cookie\w*|consent|popup|comment\w*|reply|replies|respond|related|share|social|breadcrumbs?|pager|pagination|newsletter|subscribe|login|search|widget|toolbar)(?:$|[-_ ])")
 MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:article|content|main|post|entry|story|body|text)(?:$|[-_ ])")
 
+#: Elements nested more deeply are read as if they stood at this depth; their text stays.
+DEPTH = 128
 #: Elements that may stand in head; any other one, or text outside them, ends a head left open.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s>/])(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title)(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
+#: What stands in a tag up to its end. Quotes count after "=" only, and a tag left open ends with the page,
+#: so that no attempt fails and a page is read once.
+_INSIDE = r"(?:[^>=]|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-z][^\s/>]*+)({_INSIDE})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|([^<]+|<)", re.S | re.I)
+_ENDS = {tag: re.compile(rf"</{tag}\s*+(?:>|\Z)", re.I) for tag in SILENT - {"head"}}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
@@ -64,8 +68,11 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             flush()
             del path[at:]
 
-    for m in _TOKEN.finditer(page):
-        text = m[5]
+    at, beyond, unclosed = 0, 0, set()
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        text = m[4]
         if text is not None:
             if headed and path and path[-1][1] == "head" and not text.isspace():
                 leave_head()
@@ -73,22 +80,35 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if links:
                 linked += len(text)
             continue
-        tag = m[3] and m[3].lower()
+        tag = m[2] and m[2].lower()
         if not tag:
             continue
-        if headed and not m[2] and tag not in IN_HEAD:
+        if headed and not m[1] and tag not in IN_HEAD:
             leave_head()
+        if tag in _ENDS:  # contents are no text; an element that nothing closes ends at once, a script or style with the page
+            if not m[1] and not (tag in ("svg", "math") and m[3].endswith("/")) and tag not in unclosed:
+                end = _ENDS[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
+            continue
         if tag == "br":
             buffer.append(" ")
             continue
-        if m[2]:
+        if m[1]:
             if tag == "a":
                 links = max(links - 1, 0)
             if tag not in INLINE:
                 flush()
-            at = next((k for k in range(len(path) - 1, -1, -1) if path[k][1] == tag), None)
-            if at is not None and not (tag in INLINE and any(t not in INLINE for _, t in path[at + 1 :])):
-                del path[at:]
+            if beyond:
+                beyond -= 1
+                continue
+            up = next((k for k in range(len(path) - 1, -1, -1) if path[k][1] == tag), None)
+            if up is not None and not (tag in INLINE and any(t not in INLINE for _, t in path[up + 1 :])):
+                del path[up:]
             continue
         if tag not in INLINE:
             flush()
@@ -97,11 +117,14 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 path.pop()
             if tag in CLOSES_P and path and path[-1][1] == "p" or tag == "li" and path and path[-1][1] == "li":
                 path.pop()
-        if tag in VOID or m[4].endswith("/") and tag in INLINE:
+        if tag in VOID or m[3].endswith("/") and tag in INLINE:
             continue
         if tag == "a":
             links += 1
-        names = " ".join("".join(x) for x in _NAMES.findall(m[4])).lower() if "=" in m[4] else ""
+        if len(path) >= DEPTH:
+            beyond += 1
+            continue
+        names = " ".join("".join(x) for x in _NAMES.findall(m[3])).lower() if "=" in m[3] else ""
         path.append((f"{tag} {names}".strip(), tag))
         headed = headed or tag == "head"
     flush()
@@ -279,6 +302,8 @@ def laid_out(main: list[str], rest: list[str], rng: np.random.Generator) -> tupl
     if rng.random() < 0.5:
         put(pick("div ad", "div ads", "aside", "div advert", "div sponsor", "aside sidebar", "div promo"), pick("p", "div"), take(1), False)
     step = pick("article", "main", "div content", "div article", "section post", "div entry-content", "div main", "article post", "div story")
+    if rng.random() < 0.4:  # nothing around the text tells what it is
+        step = pick("", "", "div", "td", f"div x{rng.integers(1000)}", f"section c{rng.integers(1000)} row")
     put(step, "h1", [" ".join(main[0].split()[:12])], True)
     for t in main:
         put(step, pick("p", "p", "p", "li", "blockquote", "h2"), [t], True)
