@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -356,6 +357,35 @@ def test_pages_with_open_heads_and_self_closed_elements(page):
     assert [t for _, t, _ in extraction.blocks_of(page)] == ["One two", "three"]
 
 
+@pytest.mark.parametrize("page", ["<body><p>One two</p><object data=x><p>three", "<p>One two</p><select><p>three", "<p>One two<svg><p>three</p><script>x", "<p>One two</p><textarea></textarea><p>three<a href='x>", "<title><p>One two<p>three"])
+def test_elements_left_open(page):
+    assert [t for _, t, _ in extraction.blocks_of(page)] == ["One two", "three"]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', '<a b="', "<svg '", "<object>", "<!", "</", "<!--", "<title>", "<p>x", "</x>"])
+def test_long_pages_are_read_once(part):
+    start = time.process_time()
+    extraction.blocks_of("<body>" + part * (1_000_000 // len(part)))
+    assert time.process_time() - start < 10
+
+
+def test_deep_pages_keep_their_text():
+    assert [t for _, t, _ in extraction.blocks_of("<div>x" * 1000 + "</div>" * 1000 + "y")] == ["x"] * 1000 + ["y"]
+
+
+def test_held_out_pages(spark):
+    """Pages that training didn't see: as they are, without the element around the text, and with a name that says nothing."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").orderBy("page_id").collect()]
+    model = extraction.train(pages[::2][:150])
+    held = pages[1::2]
+    truth = [[extraction.silver(path) for path, _, _ in extraction.blocks_of(p)] for p in held]
+    for change, most in (((r"$^", ""), 0.001), ((r"</?(?:article|main)\b[^>]*>", ""), 0.02), ((r"<(/?)(?:article|main)\b[^>]*>", r"<\1div class=q7>"), 0.05)):
+        found = [extraction.blocks_of(re.sub(*change, p)) for p in held]
+        got = model.label(extraction.features(found))
+        wrong = sum(sum(a != b for a, b in zip(y, g.tolist(), strict=True)) for y, g in zip(truth, got, strict=True))
+        assert wrong <= most * sum(map(len, truth)), (change, wrong)
+
+
 def test_training_learns_whole_pages(monkeypatch):
     seen = []
     known = extraction.Labeller.gradients

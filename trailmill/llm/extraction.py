@@ -322,9 +322,10 @@ def train(pages: list[str], epochs: int = 14, seed: int = 7) -> Labeller:
     found = [b for b in map(blocks_of, pages) if b]
     labels = [[silver(path) for path, _, _ in b] for b in found]
     texts = [t for b in found for _, t, _ in b] or ["Some words of text, as a page may have them."]
+    others = [t for b, y in zip(found, labels, strict=True) for (_, t, _), main in zip(b, y, strict=True) if not main] or texts
     for k in range(max(len(found), 60)):
         own = [t for (_, t, _), y in zip(found[k], labels[k], strict=True) if y] if k < len(pages) and k < len(found) else []
-        blocks, ys = laid_out((own or [texts[j] for j in rng.integers(len(texts), size=int(rng.integers(2, 12)))]), texts, rng)
+        blocks, ys = laid_out((own or [texts[j] for j in rng.integers(len(texts), size=int(rng.integers(2, 12)))]), others if k % 2 else texts, rng)
         found.append(blocks)
         labels.append(ys)
     x = features(found)
