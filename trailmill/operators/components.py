@@ -2,12 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.functions.shared import written
 
 
+#: Edges that a task contracts at once; its memory follows this, not the partition.
+BLOCK = 1 << 18
+
+
+def _contracted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of these edges, and the least node that they connect it to."""
+    nodes, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    label = np.arange(len(nodes))
+    while True:
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            return nodes, nodes[label]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b), a block of a partition at a time, as edges to the least node of each connected piece.
+
+    It does before a shuffle what partial aggregation does: no node and no connection is lost, and a block
+    has an edge for each of its nodes at most.
+    """
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = _contracted(*(np.concatenate([h.column(k).to_numpy() for h in held]) for k in range(2)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= BLOCK:
+            yield out(held)
+            held, size = [], 0
+    if size:
+        yield out(held)
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One contraction of pairs(a, b) with a > b: every neighbour moves to the least one of its centre.
 
@@ -30,18 +74,20 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     Rows with a null end are ignored, repeated edges count once, an empty table gives an empty table.
     The rounds grow with the logarithm of a component's size, not with its diameter.
     """
-    ends = edges.select(F.col(src).cast("long").alias("x"), F.col(dst).cast("long").alias("y")).dropna()
-    ends = written(ends.distinct(), "cc-ends")
-    pairs = ends.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    before = None
+    forest = lambda df: df.mapInArrow(_forest, "a long, b long")
+    ends = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).dropna()
+    ends = written(forest(ends), "cc-ends")
+    pairs = ends.filter("a <> b")
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = state(pairs)
     for _ in range(max_rounds):
-        pairs = written(_star(_star(pairs, large=True), large=False), "cc-round")
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        pairs = written(forest(_star(_star(pairs, large=True), large=False)).filter("a <> b"), "cc-round")
+        after = state(pairs)
+        if after == before:
             break
-        before = tuple(state)
+        before = after
     else:
         raise RuntimeError("components did not settle")
-    nodes = ends.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    nodes = ends.select(F.col("a").alias("node")).distinct()
     return nodes.join(pairs.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"))
