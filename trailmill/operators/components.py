@@ -33,7 +33,7 @@ def _contracted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (a, b), a block of a partition at a time, as edges to the least node of each connected piece.
 
-    It does before a shuffle what partial aggregation does: no node and no connection is lost, and a block
+    It does before the first shuffle what partial aggregation does: no node and no connection is lost, and a block
     has an edge for each of its nodes at most.
     """
 
@@ -74,14 +74,13 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     Rows with a null end are ignored, repeated edges count once, an empty table gives an empty table.
     The rounds grow with the logarithm of a component's size, not with its diameter.
     """
-    forest = lambda df: df.mapInArrow(_forest, "a long, b long")
     ends = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).dropna()
-    ends = written(forest(ends), "cc-ends")
+    ends = written(ends.mapInArrow(_forest, "a long, b long"), "cc-ends")
     pairs = ends.filter("a <> b")
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = state(pairs)
     for _ in range(max_rounds):
-        pairs = written(forest(_star(_star(pairs, large=True), large=False)).filter("a <> b"), "cc-round")
+        pairs = written(_star(_star(pairs, large=True), large=False), "cc-round")
         after = state(pairs)
         if after == before:
             break
