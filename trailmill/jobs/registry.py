@@ -252,8 +252,9 @@ osm_node as (
     cast(-1.68 as double) + (p_partkey % 40)*cast(0.0027 as double) + cast(0.0002 as double)
   from part, (select unnest([0, 1]) as j) where p_partkey % 97 = 0),
 refs as (
-  select (p_partkey // 40)*10 + k as way_id, p_partkey % 40 as pos, p_partkey as node_id from part, (select unnest(range(0, 5)) as k) where (p_partkey % 40) between 8*k and 8*k+8
-  union all select 1000000 + (p_partkey % 40)*1000 + k, p_partkey // 40, p_partkey from part, (select unnest(range(0, 100)) as k) where (p_partkey // 40) between 8*k and 8*k+8),
+  select case when p_partkey // 40 < 100000 then 0 else {derived.FAR_ROWS} end + (p_partkey // 40)*10 + k as way_id, p_partkey % 40 as pos, p_partkey as node_id from part, (select unnest(range(0, 5)) as k) where (p_partkey % 40) between 8*k and 8*k+8
+  union all select case when k < 1000 then 1000000 + (p_partkey % 40)*1000 + k else {derived.FAR_COLUMNS} + k*40 + p_partkey % 40 end, p_partkey // 40, p_partkey
+  from part, (select unnest(range(0, (select max(p_partkey) // 320 + 1 from part))) as k) where (p_partkey // 40) between 8*k and 8*k+8),
 w as (
   select way_id, list(node_id order by pos) || (case when way_id % 17 = 0 then [10000000 + way_id] else [] end)
     || (case when way_id % 13 = 0 then [max_by(node_id, pos), max_by(node_id, pos)] else [] end) as nodes, min(node_id) as first_id
@@ -282,12 +283,15 @@ reach(node_id, c) using key (node_id) as (
   union select e.to_node, min(r.c) from reach r join edge e on e.from_node = r.node_id join recurring.reach k on k.node_id = e.to_node where r.c < k.c group by e.to_node),
 sizes as (select c, count(*) as n from reach group by c),
 main as (select c from sizes order by n desc, c limit 1)"""
-_LOOPS = """
-o as (select o_orderkey, o_custkey, cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as int) as candidate from orders),
+_DEALT = f"""
+o as (
+  select o_orderkey, o_custkey, o_custkey + (n // 20)*{derived.NEXT_REQUEST} as request_id, cast(n % 20 as int) as candidate
+  from (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders))"""
+_LOOPS = f"""{_DEALT},
 e as (
-  select o_custkey as request_id, candidate, l_partkey % 6 as edge_id, cast(l_quantity*100 as double) as m, case when l_partkey % 4 <> 1 then cast(l_quantity*100 as double) else 0 end as u,
+  select request_id, candidate, l_partkey % 6 as edge_id, cast(l_quantity*100 as double) as m, case when l_partkey % 4 <> 1 then cast(l_quantity*100 as double) else 0 end as u,
     cast(l_quantity*100 as double)*(l_suppkey % 256)/cast(255 as double) as t, case when l_linenumber = 7 then cast(l_quantity*100 as double) else 0 end as r
-  from o join lineitem on l_orderkey = o_orderkey where candidate < 20),
+  from o join lineitem on l_orderkey = o_orderkey),
 loops as (select request_id, candidate, sum(m) as m, sum(u) as u, sum(t) as t, sum(r) as r, count(distinct edge_id) as n from e group by all),
 sets as (select distinct request_id, candidate, edge_id from e),
 near as (
@@ -345,10 +349,10 @@ ORACLES |= {
       abs(lat - {_deg('48.10')}) < 1e-5 and abs(lon - {_deg('-1.68')}) < 1e-5 as at_origin, replace(printf('%.4f', lat), '.', ',') || ', ' || replace(printf('%.4f', lon), '.', ',') as label from req""",
     "clamped_settings": "select c_custkey as request_id, cast(case when c_custkey % 50 = 0 then 2000 else greatest(2000, 1500 + c_custkey*613 % 2500) end as double) as distance_m, round(case when c_custkey % 53 = 0 then cast(0.7 as double) else (c_custkey % 11)/cast(10 as double) end, 6) as avoid_paved from customer",
     "client_keys": "select event_id, case when user_id % 5 in (1, 2) and event_id % 3 = 0 then '172.16.0.' || (user_id % 250) when user_id % 5 in (1, 2) and event_id % 3 = 2 then '172.17.0.' || (user_id % 9) else '10.0.0.' || (user_id % 5) end as client from events",
-    "loop_bounds": f"with {_MAP}, {_LOOPS} select o_custkey as request_id, round(min(lat), 6) as min_lat, round(min(lon), 6) as min_lon, round(max(lat), 6) as max_lat, round(max(lon), 6) as max_lon from o join lineitem on l_orderkey = o_orderkey join osm_node on node_id = l_partkey where candidate < 20 group by o_custkey",
+    "loop_bounds": f"with {_MAP}, {_LOOPS} select request_id, round(min(lat), 6) as min_lat, round(min(lon), 6) as min_lon, round(max(lat), 6) as max_lat, round(max(lon), 6) as max_lon from o join lineitem on l_orderkey = o_orderkey join osm_node on node_id = l_partkey group by request_id",
     "stitched_loops": f"""with {_LOOPS}, l as (select *, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n from lineitem)
-      select o_custkey as request_id, candidate, string_agg(case when n is null then cast(l_partkey as varchar) else l_partkey || ',' || l_suppkey end, ',' order by l_linenumber, l_partkey, l_suppkey) as nodes
-      from o join l on l_orderkey = o_orderkey where candidate < 20 group by o_custkey, candidate having count(*) > 1""",
+      select request_id, candidate, string_agg(case when n is null then cast(l_partkey as varchar) else l_partkey || ',' || l_suppkey end, ',' order by l_linenumber, l_partkey, l_suppkey) as nodes
+      from o join l on l_orderkey = o_orderkey group by request_id, candidate having count(*) > 1""",
     "displayed_loops": f"select request_id, candidate, cast(row_number() over (partition by request_id order by part_non_bitume desc, rank) as int) as place from ({ORACLES['ranked_loops']})",
     "decoded_requests": f"with {_REQ} select request_id, cast(request_id % 3 as int) as index, round(lat, 6) as start_lat, cast(1500 + request_id*613 % 2500 as double) as distance_m, a/cast(10 as double) as avoid_paved, cast(k as int) as max_results, error from req where error = ''",
     "shared_loops": f"select (c_custkey % 7) || '.' || c_custkey as id, cast(coalesce(candidate, -1) as int) as candidate, case when candidate is null then 'not_found' else 'ok' end as status from customer left join ({ORACLES['ranked_loops']}) on request_id = c_custkey and rank - 1 = c_custkey % 7",
@@ -359,17 +363,17 @@ ORACLES |= {
 
 ORACLES |= {
     "reused_edge_costs": f"with {_MAP} select e.edge_id, round(length_m*(1 + 2*traffic/cast(255 as double))*(case when u.segment is null then 1 else 4 end), 2) as cost from edge e left join (select distinct edge_id // 2 as segment from edge where edge_id % 6 = 1) u on e.edge_id // 2 = u.segment",
-    "requested_loops": f"""with {_REQ}, n as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders),
-      l as (select o_custkey, o_custkey + (n // 20)*{derived.NEXT_REQUEST} as request_id, cast(n % 20 as int) as candidate, sum(cast(l_quantity*100 as double)) as m,
-        sum(case when l_partkey % 4 <> 1 then cast(l_quantity*100 as double) else 0 end) as u from n join lineitem on l_orderkey = o_orderkey group by all),
+    "requested_loops": f"""with {_REQ}, {_DEALT},
+      l as (select o_custkey, request_id, candidate, sum(cast(l_quantity*100 as double)) as m,
+        sum(case when l_partkey % 4 <> 1 then cast(l_quantity*100 as double) else 0 end) as u from o join lineitem on l_orderkey = o_orderkey group by all),
       s as (select l.request_id, candidate, case when m > 0 then u/m else 0 end as p, (m - t)/t as g, case when k > 0 then k else 5 end as most
         from l join (select *, cast(1500 + request_id*613 % 2500 as double) as t from req where error = '') q on q.request_id = o_custkey),
       r as (select *, row_number() over (partition by request_id order by abs(g) <= cast(0.15 as double) desc, case when abs(g) <= cast(0.15 as double) then p end desc nulls last, case when abs(g) > cast(0.15 as double) then abs(g) end asc nulls first, candidate) as rank from s)
       select request_id, candidate, cast(rank as int) as rank, round(g, 6) as ecart_cible from r where rank <= most""",
 }
 
-_WALKS = f"""{_MAP}, o as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders),
-  line as (select o_custkey + (n // 20)*{derived.NEXT_REQUEST} as request_id, cast(n % 20 as int) as candidate, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as leg, l_partkey as node_id from o join lineitem on l_orderkey = o_orderkey),
+_WALKS = f"""{_MAP}, {_DEALT},
+  line as (select request_id, candidate, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as leg, l_partkey as node_id from o join lineitem on l_orderkey = o_orderkey),
   out as (select from_node as node_id, min(edge_id) as edge_id from edge group by from_node),
   walk as (select request_id, candidate, leg, seq, case when seq = 0 then edge_id else xor(edge_id, 1) end as edge_id from line join out using (node_id), (select unnest([0, 1]) as seq)),
   step as (select w.*, e.from_node, e.to_node, e.length_m, e.surface, e.traffic, e.edge_id // 2 as segment from walk w join edge e using (edge_id))"""
@@ -404,7 +408,7 @@ ORACLES |= {
       seen as (select c.trip_id, count(*) filter (where g < 1e17 and (total is null or g + h <= total + 1e-6)) as n from clip c join gone using (trip_id, node_id) left join goal on goal.trip_id = c.trip_id group by c.trip_id)
       select trip.trip_id, round(case when f = t and s.node_id is not null then 0 else total end, 2) as cost, coalesce(n, 0) as explored_nodes, case when f = t and s.node_id is not null or total is not null then 'ok' else 'no_path' end as status
       from trip left join goal on goal.trip_id = trip.trip_id left join seen on seen.trip_id = trip.trip_id left join net s on s.node_id = f""",
-    "loop_phrases": f"""with {_LOOPS.replace(" where candidate < 20", "").replace("o_custkey as request_id", "o_custkey + (n // 20)*" + str(derived.NEXT_REQUEST) + " as request_id").replace("cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as int) as candidate", "row_number() over (partition by o_custkey order by o_orderkey) - 1 as n, cast((row_number() over (partition by o_custkey order by o_orderkey) - 1) % 20 as int) as candidate")},
+    "loop_phrases": f"""with {_LOOPS},
       x as (select request_id, candidate, m, r/m/10*100 as p, cast(floor(m/1000 + cast(0.5 as double)) as bigint) as km from loops)
       select request_id, candidate, case when p > 0 and p < 1 then replace(printf('%.1f', round(p*10)/10), '.', ',') || ' %' else cast(floor(p + cast(0.5 as double)) as bigint) || ' %' end as retraced,
         case when km = 10 and abs(10000 - m) < 500 then '' else 'tu en demandais 10' end as gap, km || ' km' as km from x""",
