@@ -73,12 +73,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmill.llm.conversations import damaged, repair_report
+
+    rows = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(rows), rows)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_histogram_sort, op2_licence_scan, op3_ngram_jaccard, op4_packing, op5_html_extraction, op6_toxicity,
-    op7_quality_rules, op8_benchmark_decontamination, op9_warc, op10_suffix_dedup)}
+    op7_quality_rules, op8_benchmark_decontamination, op9_warc, op10_suffix_dedup, op11_conversation_repair)}
 
 
 def oracles() -> dict[str, str]:
-    from trailmill.llm.contamination import ORACLE_SQL
+    from trailmill.llm import contamination, conversations
 
-    return {"op8_benchmark_decontamination": ORACLE_SQL}
+    return {"op8_benchmark_decontamination": contamination.ORACLE_SQL, "op11_conversation_repair": conversations.ORACLE_SQL}
