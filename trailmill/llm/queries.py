@@ -80,12 +80,25 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(rows), rows)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmill.llm.negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmill.llm.neighbours import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_histogram_sort, op2_licence_scan, op3_ngram_jaccard, op4_packing, op5_html_extraction, op6_toxicity,
-    op7_quality_rules, op8_benchmark_decontamination, op9_warc, op10_suffix_dedup, op11_conversation_repair)}
+    op7_quality_rules, op8_benchmark_decontamination, op9_warc, op10_suffix_dedup, op11_conversation_repair,
+    op12_hard_negatives, op13_nearest_neighbours)}
 
 
 def oracles() -> dict[str, str]:
-    from trailmill.llm import contamination, conversations
+    from trailmill.llm import contamination, conversations, negatives
 
-    return {"op8_benchmark_decontamination": contamination.ORACLE_SQL, "op11_conversation_repair": conversations.ORACLE_SQL}
+    return {"op8_benchmark_decontamination": contamination.ORACLE_SQL, "op11_conversation_repair": conversations.ORACLE_SQL, "op12_hard_negatives": negatives.ORACLE_SQL}
