@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from trailmill.functions import geo
 from trailmill.functions.tags import classify_ways, config_hash
 from trailmill.operators import network, ranking, requests, snap
+from trailmill.operators import components
 from trailmill.operators.components import connected_components
 from trailmill.sources import derived
 from trailmill.streaming.limiter import _bucket
@@ -47,7 +48,9 @@ def test_missing_node_is_not_bridged(spark):
     assert kept.first().surface == 3 and network.build_edges(nodes, kept).count() == 0
 
 
-def test_components_of_a_long_chain_and_a_hub(spark):
+@pytest.mark.parametrize("block", [1 << 18, 50])
+def test_components_of_a_long_chain_and_a_hub(spark, monkeypatch, block):
+    monkeypatch.setattr(components, "BLOCK", block)  # rounds of joins where more is left than one block holds
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(301)} == {0} and {got[1000 + i] for i in range(200)} == {1000} and got[5000] == 5000

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trailmill.functions.shared import written
@@ -72,16 +72,18 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     """(node, component): the least node reachable over undirected `edges`; self-loops give singletons.
 
     Rows with a null end are ignored, repeated edges count once, an empty table gives an empty table.
-    The rounds grow with the logarithm of a component's size, not with its diameter.
+    Blocks of edges are contracted where they are read. If all that is left of them fits in one block, contracting
+    that ends the search; else rounds of joins follow, which grow with the logarithm of a component's size, not with
+    its diameter.
     """
     ends = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).dropna()
-    ends = written(ends.mapInArrow(_forest, "a long, b long"), "cc-ends")
-    pairs = ends.filter("a <> b")
-    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = state(pairs)
+    ends, left = _counted(ends.mapInArrow(_forest, "a long, b long"), "cc-ends")
+    if left[0] < BLOCK:
+        last = written(ends.coalesce(1).mapInArrow(_forest, "a long, b long"), "cc-last")
+        return last.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    pairs, before = ends.filter("a <> b"), None
     for _ in range(max_rounds):
-        pairs = written(_star(_star(pairs, large=True), large=False), "cc-round")
-        after = state(pairs)
+        pairs, after = _counted(_star(_star(pairs, large=True), large=False), "cc-round")
         if after == before:
             break
         before = after
@@ -90,3 +92,10 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     nodes = ends.select(F.col("a").alias("node")).distinct()
     return nodes.join(pairs.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"))
+
+
+def _counted(pairs: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """`pairs` as a written table, and its rows and a sum of their hashes, seen as it is written."""
+    seen = Observation()
+    out = written(pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), name)
+    return out, (seen.get["n"], seen.get["h"])
