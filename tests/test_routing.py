@@ -1,5 +1,9 @@
 """Cheapest paths, loops and their audit on small networks with known answers."""
 
+import heapq
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +75,92 @@ def test_generated_loops_stand_the_audit(spark):
     assert {r["check"]: r.violations for r in routing.audit_loops(walks, edges, asked).collect()} == dict.fromkeys(("unknown", "apart", "open", "tolerance", "alike"), 0)
 
 
+def metres(a, b):
+    (p, x), (q, y) = ((math.radians(c) for c in z) for z in (a, b))
+    return 2 * 6371008.8 * math.asin(math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((y - x) / 2) ** 2))
+
+
+def plain_snap(at, lat, lon):
+    """The nearest node up to a ring of cells beyond the first that has one."""
+    here = math.floor(lon / 0.005), math.floor(lat / 0.005)
+    seen = []
+    for n, (a, o) in at.items():
+        dx, dy = math.floor(o / 0.005) - here[0], math.floor(a / 0.005) - here[1]
+        seen.append((max(abs(dx), abs(dy)), dx, dy, n))
+    first = min(seen)[0]
+    return min((metres((lat, lon), at[n]), ring, dx, dy, n) for ring, dx, dy, n in seen if ring <= min(first + 1, 20))[-1] if first <= 20 else None
+
+
+def plain_path(out, start, end, used):
+    best, heap = {}, [(0.0, start, None, None)]
+    while heap:
+        cost, n, edge, came = heapq.heappop(heap)
+        if n in best:
+            continue
+        best[n] = edge, came
+        if n == end:
+            path = []
+            while best[n][0] is not None:
+                path.append(best[n][0])
+                n = best[n][1]
+            return path[::-1]
+        for e, to, m in out.get(n, ()):
+            heapq.heappush(heap, (cost + m * (4 if e // 2 in used else 1), to, e, n))
+    return None
+
+
+def plain_loop(at, out, length, start, bearing, distance, tolerance, tries):
+    """One candidate, try after try: its legs, or None."""
+    lo, hi, detour = 0.8, 2.5, 1.3
+    for _ in range(tries):
+        used, legs, stand, radius = set(), [], start, distance / (2 * math.pi * detour)
+        for k in range(4):
+            turn = bearing + k * 2 * math.pi / 3
+            lat, lon = at[start]
+            goal = start if k == 3 else plain_snap(at, lat + radius * math.cos(turn) / 111320, lon + radius * math.sin(turn) / (111320 * math.cos(math.radians(lat))))
+            if goal is None or goal == stand:
+                continue
+            path = plain_path(out, stand, goal, used)
+            if path is None:
+                return None
+            legs.append((k, path))
+            used |= {e // 2 for e in path}
+            stand = goal
+        gap = (sum(length[e] for _, path in legs for e in path) - distance) / distance
+        if abs(gap) <= tolerance:
+            return legs
+        lo, hi = (detour, hi) if gap > 0 else (lo, detour)
+        detour = (lo + hi) / 2
+    return None
+
+
+@pytest.mark.parametrize(("step", "distance", "tolerance", "tries"), [(0.01, 3900.0, 0.3, 2), (0.01, 4500.0, 0.2, 4)])
+def test_candidates_are_those_of_a_plain_loop(spark, step, distance, tolerance, tries):
+    """Tries without any leg, too short and too long ones go on as in a plain loop; lengths are such that no two paths cost the same."""
+    rng, n = random.Random(7), 9
+    at = {i * n + j: (48.1 + i * step, -1.68 + j * step * 1.5) for i in range(n) for j in range(n)}
+    pairs = [(i * n + j, i * n + j + 1) for i in range(n) for j in range(n - 1)] + [(i * n + j, (i + 1) * n + j) for i in range(n - 1) for j in range(n)]
+    sides = [(a, b, metres(at[a], at[b]) * (1 + rng.random() / 10), 3, 0) for a, b in pairs]
+    nodes, edges = graph(spark, at, sides)
+    x, y = geo.cell(F.col("lat"), F.col("lon"))
+    nodes = nodes.withColumns({"component_id": F.lit(0), "is_main": F.lit(True), "cell_x": x, "cell_y": y})
+    asked = spark.createDataFrame([(k, node, *at[node], distance, tolerance, 0.0, 5, 0, 0.0, 0.0) for k, node in ((1, 40), (2, 20))],
+                                  "request_id long, node_id long, start_lat double, start_lon double, distance_m double, tolerance double, avoid_paved double, max_results int, variant int, w_paved double, w_traffic double")
+    out, length = {}, {}
+    for k, (a, b, m, _, _) in enumerate(sides):
+        for e, p, q in ((2 * k, a, b), (2 * k + 1, b, a)):
+            out.setdefault(p, []).append((e, q, m))
+            length[e] = m
+    want = {}
+    for r in routing.start_bearings(asked, 4).collect():
+        if (legs := plain_loop(at, out, length, r.node_id, r.bearing, distance, tolerance, tries)) is not None:
+            want[r.request_id, r.candidate] = [(k, e) for k, path in legs for e in path]
+    got = {}
+    for r in routing.loop_candidates(asked, nodes, edges, count=4, tries=tries).orderBy("leg", "seq").collect():
+        got.setdefault((r.request_id, r.candidate), []).append((r.leg, r.edge_id))
+    assert got == want and got
+
+
 def test_loop_audit_finds_what_is_broken(spark):
     _, edges = graph(spark, SQUARE, SIDES)
     ring = [0, 2, 4, 6]

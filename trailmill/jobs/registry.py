@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmill.functions import geo, points
@@ -222,8 +223,21 @@ def clipped_network(spark: SparkSession, d: str) -> DataFrame:
 
 def cheapest_costs(spark: SparkSession, d: str) -> DataFrame:
     """A trip for each customer between two nodes of the lattice, within 1 km of its start."""
-    edges = written(_edges(spark, d), "edges")
-    return routing.cheapest_paths(derived.trips(spark, d), _referenced(spark, d), edges)[0].select("trip_id", F.round("cost", 2).alias("cost"), "explored_nodes", "status")
+    nodes, edges = written(_referenced(spark, d), "net-nodes"), written(_edges(spark, d), "edges")
+    return routing.cheapest_paths(derived.trips(spark, d), nodes, edges, walked=False)[0].select("trip_id", F.round("cost", 2).alias("cost"), "explored_nodes", "status")
+
+
+def cheapest_routes(spark: SparkSession, d: str) -> DataFrame:
+    """What the edges of each trip's path cost together, and where they are not connected: with one another, with the start or the end."""
+    nodes, edges = written(_referenced(spark, d), "net-nodes"), written(_edges(spark, d), "edges")
+    trips = derived.trips(spark, d)
+    _, path = routing.cheapest_paths(trips, nodes, edges)
+    own = trips.select("trip_id", F.col("from_node").alias("start"), F.col("to_node").alias("end"), "w_paved", "w_traffic")
+    steps = path.join(edges, "edge_id").join(own, "trip_id")
+    order = W.partitionBy("trip_id").orderBy("seq")
+    apart = (F.coalesce(F.lag("to_node").over(order), F.col("start")) != F.col("from_node")).cast("int") + (F.lead("edge_id").over(order).isNull() & (F.col("to_node") != F.col("end"))).cast("int")
+    price = geo.edge_cost(F.col("length_m"), F.col("surface"), F.col("traffic"), F.col("w_paved"), F.col("w_traffic"))
+    return steps.select("trip_id", price.alias("cost"), apart.alias("breaks")).groupBy("trip_id").agg(F.round(F.sum("cost"), 2).alias("cost"), F.sum("breaks").alias("breaks"))
 
 
 def loop_phrases(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +247,7 @@ def loop_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    leg_totals, loop_audit, loop_waypoints, clipped_network, cheapest_costs, loop_phrases,
+    leg_totals, loop_audit, loop_waypoints, clipped_network, cheapest_costs, cheapest_routes, loop_phrases,
     network_by_class, classified_ways, directed_edges, node_degrees, network_stats, surface_coverage, node_components, component_sizes, snapped_starts, network_audit,
     request_errors, request_weights, edge_costs, loop_totals, similar_loops, distinct_loops, ranked_loops, request_counters, admitted_requests, loop_labels,
     requests_in_area, clamped_settings, client_keys, loop_bounds, stitched_loops, displayed_loops, decoded_requests, shared_loops, loop_gpx, source_fingerprints,
@@ -413,3 +427,7 @@ ORACLES |= {
       select request_id, candidate, case when p > 0 and p < 1 then replace(printf('%.1f', round(p*10)/10), '.', ',') || ' %' else cast(floor(p + cast(0.5 as double)) as bigint) || ' %' end as retraced,
         case when km = 10 and abs(10000 - m) < 500 then '' else 'tu en demandais 10' end as gap, km || ' km' as km from x""",
 }
+
+ORACLES |= {
+    "cheapest_routes": f"select trip_id, cost, 0 as breaks from ({ORACLES['cheapest_costs']}) where cost > 0",
+}

@@ -1,30 +1,41 @@
 """Cheapest paths and loops for a whole batch of requests at once, as rounds of joins and aggregates.
 
-Every round advances all trips by one edge: the frontier of each trip meets the edges that lie in its reach,
-the cheapest arrival at each node is kept, and what got cheaper is the next frontier. Trips end when nothing
-cheaper than their target is left, so rounds follow the edges of a path, not the number of trips.
+Every round advances all trips by a few edges. The frontier of each trip, what got cheaper in the round before, meets the
+network's edges; the cheapest arrival at each node is kept, and only what is cheaper than before is written and is the
+next frontier. An arrival whose cost and straight distance to the target exceed the best path found is dropped, so a trip
+explores what lies between its ends and not the network. The edges of all paths are then listed by pointer doubling
+along predecessors, in rounds that grow with the logarithm of the longest path.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmill.functions.geo import CELL_DEG, DEGREE_M, cell, destination, edge_cost, haversine, loop_radius
-from trailmill.functions.shared import written
+from trailmill.functions.shared import counted, written
 from trailmill.operators.network import REUSE_FACTOR
 from trailmill.operators.ranking import distinct_loops, ranked_for
 from trailmill.operators.requests import validated, with_defaults
 from trailmill.operators.snap import snap
 
+# The search's budget, candidates of a request, waypoints of a loop and tries of its radius; bounds of the
+# detour factor, its first value, and the jitter of a bearing.
 MAX_NODES = 400_000
 CANDIDATES, WAYPOINTS, TRIES = 20, 3, 5
-#: Bounds of the detour factor, its first value, and the jitter of a bearing.
 DETOUR_LO, DETOUR_HI, DETOUR, JITTER = 0.8, 2.5, 1.3, 0.3
 
+#: Edges that a round goes on, and rounds after which what they wrote is put together.
+HOPS, COMPACT = 3, 8
+#: Metres by which rounding may blur a bound; explored nodes are counted within EXPLORED of the path's cost. An edge costs
+#: PER_EDGE more than its price, so of paths that cost the same the one with the fewest edges is the cheapest, and none is free.
+SLACK, EXPLORED, PER_EDGE = 1e-5, 1e-6, 1e-10
+#: What a search carries along for each trip.
+CARRIED = ("to_node", "w_paved", "w_traffic", "reach_m", "from_lat", "from_lon", "to_lat", "to_lon", "best")
+
 
 def clipped(points: DataFrame, nodes: DataFrame, key: str, lat: str, lon: str, metres: str) -> DataFrame:
     """(key, node_id, distance_m): nodes within `metres` of each point, by an equi-join on grid cells.
@@ -44,69 +55,103 @@ def clipped(points: DataFrame, nodes: DataFrame, key: str, lat: str, lon: str, m
     return near.filter(F.col("distance_m") <= F.col(metres)).select(key, "node_id", "distance_m")
 
 
+def arcs_of(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, float]:
+    """The network as a search reads it: edges with the place they lead to, and for each node an arc that stays there.
+
+    Also the least length of an edge for a metre between its ends, 1 at most: so much of the straight distance is sure.
+    """
+    at = nodes.select("node_id", F.col("lat").alias("next_lat"), F.col("lon").alias("next_lon"))
+    go = edges.select("edge_id", F.col("from_node").alias("node_id"), F.col("to_node").alias("next"), "length_m", F.col("surface").cast("int").alias("surface"), F.col("traffic").cast("int").alias("traffic"))
+    stay = nodes.select(F.lit(None).cast("long").alias("edge_id"), "node_id", F.col("node_id").alias("next"), F.lit(0.0).alias("length_m"), F.lit(0).alias("surface"), F.lit(0).alias("traffic"))
+    placed = go.unionAll(stay).join(at.withColumnRenamed("node_id", "next"), "next").join(nodes.select("node_id", "lat", "lon"), "node_id")
+    chord = haversine("lat", "lon", "next_lat", "next_lon")
+    sure = Observation()
+    seen = placed.observe(sure, F.min(F.when(chord > 0, F.col("length_m") / chord)).alias("least"))
+    arcs = written(seen.select("edge_id", "node_id", "next", "length_m", "surface", "traffic", "next_lat", "next_lon"), "trip-arcs")
+    return arcs, max(0.0, min(1.0, sure.get["least"] or 0.0)) * (1 - 1e-12)
+
+
 def cheapest_paths(trips: DataFrame, nodes: DataFrame, edges: DataFrame, used: DataFrame | None = None, factor: float = REUSE_FACTOR,
-                   max_nodes: int = MAX_NODES, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+                   max_nodes: int = MAX_NODES, max_rounds: int = 10_000, walked: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Cheapest paths of trips(trip_id, from_node, to_node, w_paved, w_traffic, reach_m).
 
-    Gives (trip_id, cost, explored_nodes, status) of each trip and (trip_id, seq, edge_id) of the paths found.
-    The search stays within reach_m of the start. used(trip_id, edge_id) are segments that cost `factor` times
-    as much in either direction. status is ok, no_path or budget_exceeded, where over `max_nodes` nodes would be
-    explored before the target: those whose cost plus straight distance to it is no more than the path's.
-    From a node to itself is an empty path. Of arrivals that cost the same the least edge_id is kept.
+    Gives (trip_id, cost, explored_nodes, status) of each trip and (trip_id, seq, edge_id) of the paths found
+    (None without `walked`). The search stays within reach_m of the start, or has no bound where that is null. used(trip_id, edge_id) are
+    segments that cost `factor` times as much in either direction. status is ok, no_path or budget_exceeded, where over
+    `max_nodes` nodes would be explored before the target: those whose cost plus straight distance to it is no more
+    than the path's. From a node to itself is an empty path. Of paths that cost the same one with the fewest edges is
+    kept, of those one with the least last edge_id, and so on backward. trip_id may have any type that can be joined.
     """
+    return _searched(trips, nodes, *arcs_of(nodes, edges), used, factor, max_nodes, max_rounds, walked)
+
+
+def _moved(here: DataFrame, arcs: DataFrame, sure: float, again: DataFrame | None) -> DataFrame:
+    """Rows of `here`(trip_id, node_id, cost, CARRIED) along their arcs: (trip_id, next, came, edge_id, cost, h, CARRIED)."""
+    step = edge_cost(F.col("length_m"), F.col("surface"), F.col("traffic"), F.col("w_paved"), F.col("w_traffic"))
+    out = here.join(arcs, "node_id")
+    if again is not None:
+        out = out.withColumn("segment", F.expr("edge_id div 2")).join(again, ["trip_id", "segment"], "left")
+        step = step * F.coalesce("again", F.lit(1.0))
+    further = F.when(F.col("edge_id").isNull(), F.col("cost")).otherwise(F.col("cost") + (step + PER_EDGE))
+    out = out.select("trip_id", "next", F.col("node_id").alias("came"), "edge_id", further.alias("cost"), haversine("next_lat", "next_lon", "to_lat", "to_lon").alias("h"), *CARRIED, "next_lat", "next_lon")
+    near = F.col("reach_m").isNull() | (haversine("from_lat", "from_lon", "next_lat", "next_lon") <= F.col("reach_m"))
+    return out.filter((F.col("best").isNull() | (F.col("cost") + sure * F.col("h") <= F.col("best") + SLACK)) & near).drop("next_lat", "next_lon")
+
+
+def _searched(trips: DataFrame, nodes: DataFrame, arcs: DataFrame, sure: float, used: DataFrame | None = None, factor: float = REUSE_FACTOR,
+              max_nodes: int = MAX_NODES, max_rounds: int = 10_000, walked: bool = True) -> tuple[DataFrame, DataFrame | None]:
     at = nodes.select("node_id", "lat", "lon")
     ends = trips.join(at.withColumnsRenamed({"node_id": "from_node", "lat": "from_lat", "lon": "from_lon"}), "from_node").join(
         at.withColumnsRenamed({"node_id": "to_node", "lat": "to_lat", "lon": "to_lon"}), "to_node")
     ends = written(ends.select("trip_id", "from_node", "to_node", "w_paved", "w_traffic", "reach_m", "from_lat", "from_lon", "to_lat", "to_lon"), "trip-ends")
     moving = ends.filter("from_node <> to_node")
-    near = clipped(moving, nodes, "trip_id", "from_lat", "from_lon", "reach_m").drop("distance_m")
-    side = lambda c: near.withColumnRenamed("node_id", c)
-    own = edges.select("edge_id", "from_node", "to_node", "length_m", "surface", "traffic").join(side("from_node"), "from_node").join(side("to_node"), ["trip_id", "to_node"])
-    priced = own.join(moving.select("trip_id", "w_paved", "w_traffic"), "trip_id").withColumn("cost", edge_cost(F.col("length_m"), F.col("surface"), F.col("traffic"), F.col("w_paved"), F.col("w_traffic")))
-    if used is not None:
-        again = used.select("trip_id", F.expr("edge_id div 2").alias("segment")).distinct().withColumn("again", F.lit(max(factor, 1.0)))
-        priced = priced.withColumn("segment", F.expr("edge_id div 2")).join(again, ["trip_id", "segment"], "left").withColumn("cost", F.col("cost") * F.coalesce("again", F.lit(1.0)))
-    steps = written(priced.select("trip_id", F.col("from_node").alias("node_id"), "edge_id", F.col("to_node").alias("next"), F.col("cost").alias("step")), "trip-steps")
-    state = written(moving.select("trip_id", F.col("from_node").alias("node_id"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("edge_id"), F.lit(None).cast("long").alias("came"), F.lit(True).alias("fresh")), "trip-state")
-    for _ in range(max_rounds):
-        best = state.join(moving.select("trip_id", F.col("to_node").alias("node_id")), ["trip_id", "node_id"]).select("trip_id", F.col("cost").alias("best"))
-        front = state.filter("fresh").join(best, "trip_id", "left").filter("best is null or cost < best").select("trip_id", "node_id", "cost")
-        came = front.join(steps, ["trip_id", "node_id"]).groupBy("trip_id", F.col("next").alias("node_id")).agg(
-            F.min(F.struct((F.col("cost") + F.col("step")).alias("cost"), "edge_id", F.col("node_id").alias("came"))).alias("n"))
-        both = state.drop("fresh").join(came, ["trip_id", "node_id"], "full")
-        better = F.col("n").isNotNull() & (F.col("cost").isNull() | (F.col("n.cost") < F.col("cost")))
-        state = written(both.select("trip_id", "node_id", *(F.when(better, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in ("cost", "edge_id", "came")), better.alias("fresh")), "trip-state")
-        if state.filter("fresh").isEmpty():
+    again = None if used is None else used.select("trip_id", F.expr("edge_id div 2").alias("segment")).distinct().withColumn("again", F.lit(max(factor, 1.0)))
+    kept = lambda *names: [F.any_value(c).alias(c) for c in names]
+    front = known = moving.select("trip_id", F.col("from_node").alias("node_id"), F.lit(0.0).alias("cost"), haversine("from_lat", "from_lon", "to_lat", "to_lon").alias("h"), F.lit(False).alias("goal"))
+    settled = lambda: known.groupBy("trip_id", "node_id").agg(F.min("cost").alias("cost"), *kept("h", "goal"))
+    for k in range(max_rounds):
+        best = known.filter("goal").groupBy("trip_id").agg(F.min("cost").alias("best"))
+        here = front.join(moving.join(best, "trip_id", "left").select("trip_id", *CARRIED), "trip_id").filter(F.col("best").isNull() | (F.col("cost") + sure * F.col("h") <= F.col("best") + SLACK))
+        for _ in range(HOPS):
+            here = _moved(here, arcs, sure, again).groupBy("trip_id", F.col("next").alias("node_id")).agg(F.min("cost").alias("cost"), *kept("h", *CARRIED))
+        before = settled().select("trip_id", "node_id", F.col("cost").alias("before"))
+        better = here.join(before, ["trip_id", "node_id"], "left").filter(F.col("before").isNull() | (F.col("cost") < F.col("before")))
+        front, changed = counted(better.select("trip_id", "node_id", "cost", "h", (F.col("node_id") == F.col("to_node")).alias("goal")), "trip-front")
+        if not changed:
             break
+        known = known.unionAll(front)
+        if k % COMPACT == COMPACT - 1:
+            known = written(settled(), "trip-known")
     else:
         raise RuntimeError("paths did not settle")
-    goal = moving.join(state.select("trip_id", F.col("node_id").alias("to_node"), F.col("cost").alias("total")), ["trip_id", "to_node"], "left").select("trip_id", "to_lat", "to_lon", "total")
-    seen = state.join(goal, "trip_id").join(at, "node_id").withColumn("counts", F.col("total").isNull() | (F.col("cost") + haversine("lat", "lon", "to_lat", "to_lon") <= F.col("total") + 1e-6))
-    explored = seen.groupBy("trip_id").agg(F.count_if("counts").alias("explored_nodes"))
-    counted = ends.select("trip_id", "from_node", "to_node").join(goal.select("trip_id", "total"), "trip_id", "left").join(explored, "trip_id", "left")
+    state = written(settled(), "trip-state")
+    goal = moving.join(state.filter("goal").select("trip_id", F.col("cost").alias("total")), "trip_id", "left").select("trip_id", "total")
+    seen = state.join(goal, "trip_id").groupBy("trip_id").agg(F.count_if(F.col("total").isNull() | (F.col("cost") + F.col("h") <= F.col("total") + EXPLORED)).alias("explored_nodes"))
+    every = ends.select("trip_id", "from_node", "to_node").join(goal, "trip_id", "left").join(seen, "trip_id", "left")
     n, still = F.coalesce("explored_nodes", F.lit(0)), F.col("from_node") == F.col("to_node")
     status = F.when(still, "ok").when(n - F.col("total").isNotNull().cast("int") > max_nodes, "budget_exceeded").when(F.col("total").isNull(), "no_path").otherwise("ok")
-    found = written(counted.select("trip_id", F.when(status == "ok", F.when(still, 0.0).otherwise(F.col("total"))).alias("cost"), n.cast("long").alias("explored_nodes"), status.alias("status"), "to_node"), "trip-found")
-    known = trips.select("trip_id").join(found.drop("to_node"), "trip_id", "left")
-    result = known.select("trip_id", "cost", F.coalesce("explored_nodes", F.lit(0)).cast("long").alias("explored_nodes"), F.coalesce("status", F.lit("no_path")).alias("status"))
-    return result, _walked(found, state)
-
-
-def _walked(found: DataFrame, state: DataFrame) -> DataFrame:
-    """The edges of each path, from its last to its first, all trips by one edge a round."""
-    back = state.filter("edge_id is not null").select("trip_id", "node_id", "edge_id", "came")
-    here = found.filter("status = 'ok'").select("trip_id", F.col("to_node").alias("node_id"))
-    parts, k = [], 0
-    while True:
-        part = written(here.join(back, ["trip_id", "node_id"]).select("trip_id", F.lit(-k).alias("seq"), "edge_id", "came"), "trip-path")
-        parts.append(part.select("trip_id", "seq", "edge_id"))
-        if part.isEmpty():
-            break
-        here, k = part.select("trip_id", F.col("came").alias("node_id")), k + 1
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return written(out, "trip-edges")
+    found = written(every.select("trip_id", F.when(status == "ok", F.when(still, 0.0).otherwise(F.col("total"))).alias("cost"), n.cast("long").alias("explored_nodes"), status.alias("status"), "to_node", still.alias("still")), "trip-found")
+    result = trips.select("trip_id").join(found.drop("to_node", "still"), "trip_id", "left").select("trip_id", "cost", F.coalesce("explored_nodes", F.lit(0)).cast("long").alias("explored_nodes"), F.coalesce("status", F.lit("no_path")).alias("status"))
+    return result, None if not walked else _walked(moving.withColumn("best", F.lit(None).cast("double")).select("trip_id", *CARRIED), found.filter("status = 'ok' and not still"), state, arcs.filter("edge_id is not null"), sure, again)
+
+
+def _walked(trips: DataFrame, found: DataFrame, state: DataFrame, arcs: DataFrame, sure: float, again: DataFrame | None) -> DataFrame:
+    """The edges of each path, by pointer doubling along the predecessors of nodes that may lie on it."""
+    total = found.select("trip_id", F.col("cost").alias("total"))
+    near = state.join(total, "trip_id").filter(F.col("cost") + sure * F.col("h") <= F.col("total") + SLACK).select("trip_id", "node_id", "cost")
+    came = _moved(near.join(trips, "trip_id"), arcs, sure, again).select("trip_id", F.col("next").alias("node_id"), "came", "edge_id", "cost")
+    back = came.join(near, ["trip_id", "node_id", "cost"]).groupBy("trip_id", "node_id").agg(F.min(F.struct("edge_id", "came")).alias("b"))
+    back = written(back.select("trip_id", "node_id", "b.edge_id", "b.came"), "trip-back")
+    jumps, jump, some = [], back.select("trip_id", "node_id", F.col("came").alias("to")), True
+    while some:  # until none is left that goes so many edges back
+        jumps.append(jump)
+        half = jump.select("trip_id", F.col("node_id").alias("to"), F.col("to").alias("further"))
+        jump, some = counted(jump.join(half, ["trip_id", "to"]).select("trip_id", "node_id", F.col("further").alias("to")), "trip-jump")
+    on = found.select("trip_id", F.col("to_node").alias("node_id"), F.lit(0).alias("seq"))
+    for k in reversed(range(len(jumps))):  # the farthest first: after each, the known nodes of a path are twice as many
+        both = F.array(F.struct("node_id", "seq"), F.struct(F.col("to").alias("node_id"), (F.col("seq") - (1 << k)).alias("seq")))
+        on = on.join(jumps[k], ["trip_id", "node_id"], "left").select("trip_id", F.inline(F.filter(both, lambda x: x["node_id"].isNotNull())))
+    return written(on.join(back.drop("came"), ["trip_id", "node_id"]).select("trip_id", "seq", "edge_id"), "trip-edges")
 
 
 def leg_totals(legs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -140,37 +185,40 @@ def loop_candidates(requests: DataFrame, nodes: DataFrame, edges: DataFrame, cou
     """(request_id, candidate, leg, seq, edge_id) of the loops found for snapped requests(request_id, node_id, w_paved, w_traffic, ...).
 
     All candidates of all requests go together: `tries` rounds of bisection on the detour factor, in each three
-    waypoints and the way home, a leg each. A waypoint that can't be snapped or is where the loop stands is passed
-    over; a candidate without a path is dropped; one that never is within tolerance, too.
+    waypoints and the way home, a leg each, on which segments of earlier legs cost more. A waypoint that can't be snapped
+    or is where the loop stands is passed over; a candidate without a path is dropped; so is one that never is within
+    tolerance. A try without any leg has no length, so the next goes farther out. A leg may lead anywhere in the network.
     """
     at = nodes.select(F.col("node_id"), F.col("lat").alias("here_lat"), F.col("lon").alias("here_lon"))
-    todo = start_bearings(requests, count).join(at, "node_id").withColumns({"trip_id": F.xxhash64("request_id", "candidate"), "lo": F.lit(DETOUR_LO), "hi": F.lit(DETOUR_HI), "detour": F.lit(DETOUR)})
+    arcs, sure = arcs_of(nodes, edges)
+    todo = start_bearings(requests, count).join(at, "node_id").withColumns({"trip_id": F.struct("request_id", "candidate"), "lo": F.lit(DETOUR_LO), "hi": F.lit(DETOUR_HI), "detour": F.lit(DETOUR)})
     todo, done = written(todo, "loop-todo"), None
     for _ in range(tries):
-        stand = todo.select("trip_id", F.col("node_id").alias("from_node"))
-        walked, alive = None, todo.select("trip_id")
+        turns = [waypoint(F.col("here_lat"), F.col("here_lon"), F.col("bearing"), F.col("distance_m"), F.col("detour"), k) for k in range(WAYPOINTS)]
+        places = todo.select("trip_id", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), lat.alias("lat"), lon.alias("lon")) for k, (lat, lon) in enumerate(turns)])))
+        snapped = snap(places.select(F.struct("trip_id", "k").alias("place"), "lat", "lon"), nodes, "place", "lat", "lon").filter("status = 'ok'")
+        goals = snapped.groupBy(F.col("place.trip_id").alias("trip_id")).agg(F.map_from_entries(F.collect_list(F.struct("place.k", "node_id"))).alias("goals"))  # WAYPOINTS at most
+        stops = [F.col("node_id")]
+        for k in range(WAYPOINTS):
+            stops.append(F.coalesce(F.try_element_at("goals", F.lit(k)), stops[-1]))
+        legs = todo.join(goals, "trip_id", "left").select("trip_id", "w_paved", "w_traffic", F.array(*stops, F.col("node_id")).alias("stops"))
+        legs = written(legs, "loop-legs")
+        alive, walked = legs.select("trip_id"), None
         for leg in range(WAYPOINTS + 1):
-            if leg < WAYPOINTS:
-                lat, lon = waypoint(F.col("here_lat"), F.col("here_lon"), F.col("bearing"), F.col("distance_m"), F.col("detour"), leg)
-                goal = snap(todo.select("trip_id", lat.alias("lat"), lon.alias("lon")), nodes, "trip_id", "lat", "lon").select("trip_id", F.col("node_id").alias("to_node"))
-            else:
-                goal = todo.select("trip_id", F.col("node_id").alias("to_node"))
-            trips = todo.select("trip_id", "w_paved", "w_traffic", F.col("distance_m").alias("reach_m")).join(alive, "trip_id").join(stand, "trip_id").join(goal, "trip_id")
-            trips = written(trips.withColumn("to_node", F.coalesce("to_node", "from_node")), "loop-trips")
-            found, path = cheapest_paths(trips, nodes, edges, walked)
+            trips = legs.join(alive, "trip_id").select("trip_id", F.col("stops")[leg].alias("from_node"), F.col("stops")[leg + 1].alias("to_node"), "w_paved", "w_traffic", F.lit(None).cast("double").alias("reach_m"))
+            found, path = _searched(trips, nodes, arcs, sure, walked)
             alive = written(found.filter("status = 'ok'").select("trip_id"), "loop-alive")
             path = path.withColumn("leg", F.lit(leg))
             walked = path if walked is None else walked.unionAll(path)
-            stand = trips.select("trip_id", F.col("to_node").alias("from_node"))
         length = walked.join(edges.select("edge_id", "length_m"), "edge_id").groupBy("trip_id").agg(F.sum("length_m").alias("m"))
-        tried = todo.join(alive, "trip_id").join(length, "trip_id").withColumn("gap", (F.col("m") - F.col("distance_m")) / F.col("distance_m"))
+        tried = todo.join(alive, "trip_id").join(length, "trip_id", "left").withColumn("gap", (F.coalesce("m", F.lit(0.0)) - F.col("distance_m")) / F.col("distance_m"))
         tried = written(tried, "loop-tried")
         good = tried.filter(F.abs("gap") <= F.col("tolerance")).select("trip_id", "request_id", "candidate")
         mine = walked.join(good, "trip_id").select("request_id", "candidate", "leg", "seq", "edge_id")
         done = written(mine if done is None else done.unionAll(mine), "loop-done")
         bad = tried.filter(F.abs("gap") > F.col("tolerance")).withColumns({"lo": F.when(F.col("gap") > 0, F.col("detour")).otherwise(F.col("lo")), "hi": F.when(F.col("gap") > 0, F.col("hi")).otherwise(F.col("detour"))})
-        todo = written(bad.withColumn("detour", (F.col("lo") + F.col("hi")) / 2).drop("m", "gap"), "loop-todo")
-        if todo.isEmpty():
+        todo, left = counted(bad.withColumn("detour", (F.col("lo") + F.col("hi")) / 2).drop("m", "gap"), "loop-todo")
+        if not left:
             break
     return done
 
@@ -191,23 +239,31 @@ def generate_loops(requests: DataFrame, nodes: DataFrame, edges: DataFrame, coun
     return best, found.join(best.select("request_id", "candidate"), ["request_id", "candidate"], "left_semi")
 
 
-def audit_loops(walks: DataFrame, edges: DataFrame, requests: DataFrame) -> DataFrame:
-    """(check, violations) of walks(request_id, candidate, leg, seq, edge_id) for requests(request_id, distance_m, tolerance).
+CHECKS = ("unknown", "apart", "open", "tolerance", "alike")
 
-    unknown: edges that the network doesn't have. apart: edges that don't start where the one before ends.
-    open: loops that don't end where they start. tolerance: loops off their distance. alike: pairs of a
-    request's loops with the same directed edges.
-    """
+
+def audited(walks: DataFrame, edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, candidate, unknown, apart, open, tolerance, edges) of each loop, see audit_loops; `edges` names its set of directed edges."""
     place = F.struct("leg", "seq")
     full = walks.join(edges.select("edge_id", "from_node", "to_node", "length_m"), "edge_id", "left").withColumn("place", place)
     after = F.lead("from_node").over(W.partitionBy("request_id", "candidate").orderBy("leg", "seq", "edge_id"))
-    linked = full.withColumn("after", after)
-    loops = linked.groupBy("request_id", "candidate").agg(
+    loops = full.withColumn("after", after).groupBy("request_id", "candidate").agg(
         F.count_if(F.col("from_node").isNull()).alias("unknown"), F.count_if(F.col("after") != F.col("to_node")).alias("apart"),
         F.min_by("from_node", "place").alias("first"), F.max_by("to_node", "place").alias("last"), F.sum("length_m").alias("m"), F.md5(F.array_join(F.array_sort(F.collect_set("edge_id")), ",")).alias("edges"))
-    loops = written(loops.join(requests.select("request_id", "distance_m", "tolerance"), "request_id", "left"), "audited-loops")
     off = F.abs(F.col("m") - F.col("distance_m")) > F.col("tolerance") * F.col("distance_m")
-    one = loops.agg(F.sum("unknown").alias("unknown"), F.sum("apart").alias("apart"), F.count_if(F.col("first") != F.col("last")).alias("open"), F.count_if(off).alias("tolerance"))
+    told = loops.join(requests.select("request_id", "distance_m", "tolerance"), "request_id", "left")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    return told.select("request_id", "candidate", "unknown", "apart", flag(F.col("first") != F.col("last")).alias("open"), flag(off).alias("tolerance"), "edges")
+
+
+def audit_loops(walks: DataFrame, edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """(check, violations) of walks(request_id, candidate, leg, seq, edge_id) for requests(request_id, distance_m, tolerance).
+
+    unknown: edges that the network doesn't have. apart: edges that don't start where the one before ends.
+    open: loops that don't end where they start. tolerance: loops off their distance. alike: pairs of a
+    request's loops with the same directed edges.
+    """
+    loops = written(audited(walks, edges, requests), "audited-loops")
+    one = loops.agg(*(F.sum(c).alias(c) for c in CHECKS[:-1]))
     same = loops.groupBy("request_id", "edges").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("alike"))
-    checks = ("unknown", "apart", "open", "tolerance", "alike")
-    return one.join(same, F.lit(True)).select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.coalesce(c, F.lit(0)).cast("long").alias("violations")) for c in checks])))
+    return one.join(same, F.lit(True)).select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.coalesce(c, F.lit(0)).cast("long").alias("violations")) for c in CHECKS])))
