@@ -13,8 +13,8 @@ WAY_CLASSES = {
     "residential": (4, 90), "secondary": (6, 255), "service": (4, 60), "tertiary": (5, 180), "track": (2, 0), "unclassified": (4, 120)}
 # Surfaces 1 paved, 2 gravel, 3 ground.
 SURFACES = {
-    1: "asphalt cobblestone concrete paved paving_stones sett", 2: "compacted fine_gravel gravel pebblestone",
-    3: "dirt earth grass ground mud sand unpaved woodchips"}
+    "asphalt": 1, "cobblestone": 1, "compacted": 2, "concrete": 1, "dirt": 3, "earth": 3, "fine_gravel": 2, "grass": 3, "gravel": 2, "ground": 3,
+    "mud": 3, "paved": 1, "paving_stones": 1, "pebblestone": 2, "sand": 3, "sett": 1, "unpaved": 3, "woodchips": 3}
 DEFAULT_SURFACES = {1: 3, 2: 3, 3: 1, 4: 1, 5: 1, 6: 1}
 CLASS_NAMES = {1: "path", 2: "track", 3: "footway", 4: "residential", 5: "tertiary", 6: "secondary"}
 
@@ -30,7 +30,7 @@ def classify_ways(ways: DataFrame) -> DataFrame:
     """
     klass = _lookup(F.col("highway"), {k: v[0] for k, v in WAY_CLASSES.items()})
     traffic = _lookup(F.col("highway"), {k: v[1] for k, v in WAY_CLASSES.items()})
-    known = _lookup(F.col("surface"), {name: code for code, names in SURFACES.items() for name in names.split()})
+    known = _lookup(F.col("surface"), SURFACES)
     open_ = F.col("access").isNull() | ~F.col("access").isin("private", "no")
     kept = ways.filter(F.col("highway").isin(*WAY_CLASSES) & open_ & (F.size("nodes") >= 2))
     return kept.select("way_id", "nodes", klass.alias("way_class"), F.coalesce(known, _lookup(klass, DEFAULT_SURFACES)).alias("surface"),
@@ -39,7 +39,6 @@ def classify_ways(ways: DataFrame) -> DataFrame:
 
 def config_hash() -> str:
     """A fingerprint of the tables above."""
-    names = {name: code for code, words in SURFACES.items() for name in words.split()}
     lines = [f"way\t{k}\t{c}\t{t}\n" for k, (c, t) in sorted(WAY_CLASSES.items())]
-    lines += [f"surface\t{k}\t{c}\n" for k, c in sorted(names.items())] + [f"default\t{k}\t{v}\n" for k, v in sorted(DEFAULT_SURFACES.items())]
+    lines += [f"surface\t{k}\t{c}\n" for k, c in sorted(SURFACES.items())] + [f"default\t{k}\t{v}\n" for k, v in sorted(DEFAULT_SURFACES.items())]
     return hashlib.sha256("".join(lines).encode()).hexdigest()[:16]

@@ -254,7 +254,7 @@ QUERIES = {f.__name__: f for f in (
     requested_loops, reused_edge_costs)}
 
 _names = ", ".join(f"'{h}'" for h in derived.HIGHWAYS)
-_surface = " ".join(f"when surface in ({', '.join(repr(w) for w in words.split())}) then {code}" for code, words in SURFACES.items())
+_surface = " ".join(f"when surface = '{word}' then {code}" for word, code in SURFACES.items())
 _values = ", ".join(f"('{k}', {c}, {t}, {DEFAULT_SURFACES[c]})" for k, (c, t) in WAY_CLASSES.items())
 _MAP = f"""
 osm_node as (
