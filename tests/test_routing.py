@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmill.functions import geo
 from trailmill.operators import export, network, requests, routing
+from trailmill.streaming import live
 
 NODE, EDGE = "node_id long, lat double, lon double", "edge_id long, from_node long, to_node long, length_m double, surface int, traffic int"
 TRIP = "trip_id long, from_node long, to_node long, w_paved double, w_traffic double, reach_m double"
@@ -75,6 +76,25 @@ def test_generated_loops_stand_the_audit(spark):
     assert {r["check"]: r.violations for r in routing.audit_loops(walks, edges, asked).collect()} == dict.fromkeys(("unknown", "apart", "open", "tolerance", "alike"), 0)
 
 
+def test_streamed_requests_are_answered_once(spark, tmp_path):
+    """Good, bad and unreadable requests of a stream; a batch that is replayed writes nothing twice."""
+    nodes, edges = lattice(spark)
+    good = '{"start":{"lat":48.108,"lon":-1.668},"distance_m":2600,"tolerance":0.5,"max_results":2}'
+    rows = [(1, good), (2, good.replace("2600", "100")), (3, "no json"), (4, "{}"), (5, None)]
+    raw = spark.createDataFrame(rows, "request_id long, body string")
+    raw.coalesce(1).write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema(raw.schema).json(f"{tmp_path}/in")
+    query = live.answer_stream(stream, nodes, edges, f"{tmp_path}/out", f"{tmp_path}/state", count=3, tries=1)
+    query.awaitTermination(300)
+    assert query.exception() is None
+    read = lambda kind: sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/{kind}").collect())
+    replies, loops = read("replies"), read("loops")
+    assert [(r[0], r[1]) for r in replies] == [(1, None), (2, "distance too short"), (3, "unreadable request"), (4, "unreadable request"), (5, "unreadable request")]
+    assert replies[0][2] == len(loops) >= 1
+    live.answer_requests(raw, 0, nodes, edges, f"{tmp_path}/out", count=3, tries=1)
+    assert (replies, loops) == (read("replies"), read("loops"))
+
+
 def metres(a, b):
     (p, x), (q, y) = ((math.radians(c) for c in z) for z in (a, b))
     return 2 * 6371008.8 * math.asin(math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((y - x) / 2) ** 2))
