@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmill.functions import points
-from trailmill.operators import export
+from trailmill.functions.tags import classify_ways, config_hash
+from trailmill.operators import export, network
 from trailmill.sources import files
 from trailmill.streaming import limiter, live
 
@@ -73,9 +74,78 @@ def test_files(spark, tmp_path):
     nodes, ways = files.read_osm_xml(spark, f"file://{tmp_path}/a.osm")
     assert nodes.count() == 2 and ways.first().nodes == [1, 2] and ways.first().highway == "path" and ways.first().access is None
     assert files.fingerprints(spark, f"file://{tmp_path}/a.osm", "osm").first().size_bytes == (tmp_path / "a.osm").stat().st_size
-    placed = nodes.selectExpr("node_id", "lat", "lon", "0 as cell_x", "0 as cell_y")
-    files.write_network(placed, spark.range(3).withColumnRenamed("id", "edge_id"), f"file://{tmp_path}/net")
-    assert [x.count() for x in files.read_network(spark, f"file://{tmp_path}/net")] == [2, 3]
+
+
+def test_tags(spark, tmp_path):
+    (tmp_path / "a.osm").write_text('<osm><node id="1" lat="48.1" lon="-1.6"/><node id="2" lat="48.2" lon="-1.6"/><way id="7"><nd ref="1"/><nd ref="2"/><tag k="highway" v="path"/><tag k="name" v="Rue"/>'
+                                    '<tag k="name" v="Chemin"/></way><way id="8"><nd ref="2"/></way></osm>')
+    nodes, ways = files.read_tagged_xml(spark, f"file://{tmp_path}/a.osm")
+    files.write_osm_tables(nodes, ways, f"file://{tmp_path}/tables")
+    again, stored = files.read_osm_tables(spark, f"file://{tmp_path}/tables", "name")
+    assert {(r.way_id, r.highway, r.surface, r.name) for r in stored.collect()} == {(7, "path", None, "Rue"), (8, None, None, None)}
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, nodes.collect()))
+    direct = classify_ways(files.read_osm_xml(spark, f"file://{tmp_path}/a.osm")[1])
+    assert classify_ways(stored).collect() == direct.collect() and direct.count() == 1
+
+
+def lattice(spark, rows=6, columns=6):
+    nodes = spark.range(rows * columns).selectExpr("id as node_id", f"48.0 + (id div {columns}) * 0.4D as lat", f"-2.0 + (id % {columns}) * 0.4D as lon", f"cast(id % {columns} as int) as cell_x", f"cast(id div {columns} as int) as cell_y")
+    pairs = [(i, i + s) for i in range(rows * columns) for s in (1, columns) if (s == columns or i % columns < columns - 1) and i + s < rows * columns]
+    edges = spark.createDataFrame([(2 * k + d, *(p if d == 0 else p[::-1]), 10.0) for k, p in enumerate(pairs) for d in (0, 1)], "edge_id long, from_node long, to_node long, length_m double")
+    return nodes, edges
+
+
+def test_written_network(spark, tmp_path):
+    nodes, edges = lattice(spark)
+    sources = spark.createDataFrame([("osm", "a.osm", "ab", 12)], files.PROVENANCE)
+    folder = f"file://{tmp_path}/net"
+    files.write_network(nodes, edges, folder, sources, tile_deg=0.5, built_at="2024-05-01T00:00:00Z")
+    back = files.read_network(spark, folder)
+    assert [sorted(map(tuple, x.select(*y.columns).collect())) for x, y in zip(back, (nodes, edges), strict=True)] == [sorted(map(tuple, y.collect())) for y in (nodes, edges)]
+    assert [set(x.columns) for x in back] == [set(nodes.columns), set(edges.columns)]
+
+    box = (48.3, -1.7, 49.0, -1.1)
+    inside = {r.node_id for r in nodes.collect() if box[0] <= r.lat <= box[2] and box[1] <= r.lon <= box[3]}
+    near, leaving = files.read_network(spark, folder, box)
+    assert {r.node_id for r in near.collect()} == inside and {r.edge_id for r in leaving.collect()} == {r.edge_id for r in edges.collect() if r.from_node in inside}
+    for part, whole in zip((near, leaving), back, strict=True):
+        read = {r.f for r in part.select(F.input_file_name().alias("f")).collect()}
+        every = {r.f for r in whole.select(F.input_file_name().alias("f")).collect()}
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert read < every and "PartitionFilters: [isnotnull(tile_y" in plan and "numFiles" not in plan
+        tiles = {tuple(int(x.split("=")[1]) for x in f.split("/") if x.startswith("tile_")) for f in read}
+        assert all(96 <= y <= 98 and -4 <= x <= -3 for y, x in tiles)
+
+    doc = json.loads(files.network_regions(spark, folder).first().json)
+    assert doc["bbox"] == {"min_lat": 48.0, "min_lon": -2.0, "max_lat": 50.0, "max_lon": 0.0} and doc["data"]["sources"] == [{"name": "osm", "file": "a.osm", "sha256": "ab", "size_bytes": 12}]
+    assert doc["data"]["built_at"] == "2024-05-01T00:00:00Z" and doc["data"]["config_hash"] == config_hash() and "OpenStreetMap" in doc["attribution"]
+    assert json.loads(export.regions(nodes, sources, "2024-05-01T00:00:00Z").first().json) == doc
+    assert set(json.loads(export.regions(nodes.limit(0), sources).first().json)["bbox"].values()) == {0.0}
+    m = files.read_manifest(spark, folder).first()
+    assert (m.nodes, m.segments, m.directed_edges, m.tile_deg) == (36, 60, 120, 0.5)
+
+
+def test_networks_that_are_refused(spark, tmp_path):
+    nodes, edges = lattice(spark)
+    with pytest.raises(ValueError, match="no segments"):
+        files.write_network(nodes, edges.limit(0), f"file://{tmp_path}/none")
+    with pytest.raises(Exception, match="(?i)path.*exist"):  # no manifest, no network
+        files.read_network(spark, f"file://{tmp_path}/none")
+    with pytest.raises(ValueError, match="start from no node"):
+        files.write_network(nodes.filter("node_id > 0"), edges, f"file://{tmp_path}/astray")
+    files.write_network(nodes, edges, f"file://{tmp_path}/net")
+    later = files.read_manifest(spark, f"file://{tmp_path}/net").withColumn("format_version", F.lit(files.FORMAT_VERSION + 1)).collect()
+    spark.createDataFrame(later, files.MANIFEST).write.mode("overwrite").parquet(f"file://{tmp_path}/net/manifest")
+    with pytest.raises(ValueError, match="format"):
+        files.read_network(spark, f"file://{tmp_path}/net")
+
+
+def test_stats_of_a_network_without_segments(spark):
+    nodes = spark.createDataFrame([(1, 48.0, -1.0), (2, 48.0, -1.1)], "node_id long, lat double, lon double")
+    ways = lambda refs: spark.createDataFrame([(1, refs, "path", None, None)], "way_id long, nodes array<long>, highway string, surface string, access string")
+    assert network.build_stats(nodes, ways([1, 2])).first().asDict() == {"ways": 1, "nodes": 2, "min_lat": 48.0, "min_lon": -1.1, "max_lat": 48.0, "max_lon": -1.0, "segments": 1, "directed_edges": 2}
+    with pytest.raises(Exception, match="no segments"):
+        network.build_stats(nodes, ways([1, 9])).collect()
 
 
 def test_fingerprints_of_large_files(spark, tmp_path, monkeypatch):

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmill.functions import geo, points
-from trailmill.functions.shared import written
-from trailmill.functions.tags import CLASS_NAMES, DEFAULT_SURFACES, SURFACES, WAY_CLASSES, classify_ways
+from trailmill.functions.shared import scratch_path, written
+from trailmill.functions.tags import CLASS_NAMES, DEFAULT_SURFACES, SURFACES, WAY_CLASSES, classify_ways, config_hash
 from trailmill.operators import export, network, ranking, requests, routing, snap
 from trailmill.sources import derived, files
 from trailmill.streaming import limiter
@@ -43,10 +43,30 @@ def node_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 
 def network_stats(spark: SparkSession, d: str) -> DataFrame:
-    n = _referenced(spark, d).agg(F.count("*").alias("nodes"), *[F.round(F.coalesce(f(c), F.lit(0.0)), 6).alias(f"{k}_{c}") for k, f in (("min", F.min), ("max", F.max)) for c in ("lat", "lon")])
-    w = _kept(spark, d).agg(F.count("*").alias("ways"))
-    e = _edges(spark, d).agg((F.count("*") / 2).cast("long").alias("segments"), F.count("*").alias("directed_edges"))
-    return w.join(n, F.lit(True)).join(e, F.lit(True))  # three single rows
+    return network.build_stats(derived.osm_nodes(spark, d), derived.osm_ways(spark, d))
+
+
+def _stored(spark: SparkSession, d: str) -> str:
+    """The network of the tables, written with provenance."""
+    folder = scratch_path(spark, "network")
+    nodes, edges = written(_nodes(spark, d), "net-nodes"), _edges(spark, d)
+    files.write_network(nodes, edges, folder, files.fingerprints(spark, f"{d}/part.parquet", "part"), tile_deg=0.05)
+    return folder
+
+
+def stored_area(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes in a box of the written network, and how many edges start at each."""
+    nodes, edges = files.read_network(spark, _stored(spark, d), (48.12, -1.66, 48.20, -1.60))
+    out = edges.groupBy(F.col("from_node").alias("node_id")).agg(F.count("*").alias("edges"), F.round(F.sum("length_m"), 3).alias("length_m"))
+    return nodes.select("node_id", "component_id").join(out, "node_id", "left").select("node_id", "component_id", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), F.coalesce("length_m", F.lit(0.0)).alias("length_m"))
+
+
+def coverage_document(spark: SparkSession, d: str) -> DataFrame:
+    """The coverage document of the written network, read back."""
+    box = ", ".join(f"{c}:double" for c in files.BOX)
+    doc = F.from_json("json", f"struct<bbox:struct<{box}>,data:struct<config_hash:string,sources:array<struct<name:string,size_bytes:long>>>,attribution:string>")
+    read = files.network_regions(spark, _stored(spark, d)).select(doc.alias("j"))
+    return read.select(*[F.round(F.col("j.bbox")[c], 6).alias(c) for c in files.BOX], "j.data.config_hash", F.size("j.data.sources").cast("long").alias("sources"), "j.attribution")
 
 
 def surface_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -181,6 +201,37 @@ def loop_gpx(spark: SparkSession, d: str) -> DataFrame:
     return export.to_gpx(ranking.totals(derived.loop_edges(spark, d)).join(at, ["request_id", "candidate"]).withColumn("distance_m", F.lit(10_000.0)))
 
 
+def _documented(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked loops with the id and the places that documents show."""
+    at = derived.loop_points(spark, d).groupBy("request_id", "candidate").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("coords"))  # lines of one order
+    t = ranking.totals(derived.loop_edges(spark, d)).drop("edge_set").withColumn("distance_m", F.lit(10_000.0))
+    best = ranking.ranked(t).select("request_id", "candidate", "rank")
+    return best.join(t, ["request_id", "candidate"]).join(at, ["request_id", "candidate"], "left").withColumn("id", F.concat_ws(".", F.col("rank") - 1, "request_id"))
+
+
+_LOOP_JSON = "struct<id:string,score:struct<distance_m:double,part_non_bitume:double,ecart_cible:double>,geometry:array<array<double>>>"
+
+
+def _read_loop(loop: str) -> list:
+    return [F.col(f"{loop}.id").alias("id"), *[F.round(f"{loop}.score.{c}", 6).alias(c) for c in ("distance_m", "part_non_bitume", "ecart_cible")], F.size(f"{loop}.geometry").cast("long").alias("points")]
+
+
+def loops_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The loops of each request's document, read back in their order."""
+    docs = export.to_loops_json(_documented(spark, d)).select("request_id", F.from_json("json", f"struct<loops:array<{_LOOP_JSON}>,attribution:string>").alias("j"))
+    each = docs.select("request_id", "j.attribution", F.posexplode("j.loops").alias("place", "loop"))
+    return each.select("request_id", "place", *_read_loop("loop"), "attribution")
+
+
+def loop_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each loop of a valid request, read back with the request it answers."""
+    asked = requests.validated(derived.loop_requests(spark, d)).filter("error is null")
+    docs = export.to_loop_json(_documented(spark, d), asked)
+    j = F.from_json("json", f"struct<loop:{_LOOP_JSON},request:struct<start:struct<lat:double>,distance_m:double,preferences:struct<avoid_paved:double>>>")
+    read = docs.select("request_id", "candidate", j.alias("j"))
+    return read.select("request_id", "candidate", *_read_loop("j.loop"), F.round("j.request.start.lat", 6).alias("start_lat"), F.col("j.request.distance_m").alias("asked_m"), F.col("j.request.preferences.avoid_paved").alias("avoid_paved"))
+
+
 def source_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return files.fingerprints(spark, f"{d}/part.parquet", "part").unionAll(files.fingerprints(spark, f"{d}/customer.parquet", "customer"))
 
@@ -251,7 +302,7 @@ QUERIES = {f.__name__: f for f in (
     network_by_class, classified_ways, directed_edges, node_degrees, network_stats, surface_coverage, node_components, component_sizes, snapped_starts, network_audit,
     request_errors, request_weights, edge_costs, loop_totals, similar_loops, distinct_loops, ranked_loops, request_counters, admitted_requests, loop_labels,
     requests_in_area, clamped_settings, client_keys, loop_bounds, stitched_loops, displayed_loops, decoded_requests, shared_loops, loop_gpx, source_fingerprints,
-    requested_loops, reused_edge_costs)}
+    requested_loops, reused_edge_costs, stored_area, coverage_document, loops_documents, loop_documents)}
 
 _names = ", ".join(f"'{h}'" for h in derived.HIGHWAYS)
 _surface = " ".join(f"when surface = '{word}' then {code}" for word, code in SURFACES.items())
@@ -431,3 +482,16 @@ ORACLES |= {
 ORACLES |= {
     "cheapest_routes": f"select trip_id, cost, 0 as breaks from ({ORACLES['cheapest_costs']}) where cost > 0",
 }
+
+_best = ORACLES["ranked_loops"]
+_points = f"{_DEALT} select request_id, candidate, count(*) as points from o join lineitem on l_orderkey = o_orderkey join osm_node on node_id = l_partkey group by all"
+ORACLES |= {
+    "stored_area": f"""with recursive {_PARTS}, inside as (select * from net where lat between {_deg('48.12')} and {_deg('48.20')} and lon between {_deg('-1.66')} and {_deg('-1.60')})
+      select node_id, any_value(c) as component_id, count(edge_id) as edges, coalesce(round(sum(length_m), 3), 0) as length_m from inside join reach using (node_id) left join edge on from_node = node_id group by node_id""",
+    "coverage_document": f"with {_MAP} select {', '.join(f'round({k}({c}), 6) as {k}_{c}' for k in ('min', 'max') for c in ('lat', 'lon'))}, '{config_hash()}' as config_hash, cast(1 as bigint) as sources, '{export.ATTRIBUTION}' as attribution from net",
+    "loops_documents": f"""with n as (with {_MAP}, {_points})
+      select request_id, cast(rank - 1 as int) as place, (rank - 1) || '.' || request_id as id, distance_m, part_non_bitume, ecart_cible, points, '{export.ATTRIBUTION}' as attribution from ({_best}) join n using (request_id, candidate)""",
+    "loop_documents": f"""with n as (with {_MAP}, {_points}), q as (with {_REQ} select * from req where error = '')
+      select request_id, candidate, (rank - 1) || '.' || request_id as id, distance_m, part_non_bitume, ecart_cible, points, round(lat, 6) as start_lat, cast(1500 + request_id*613 % 2500 as double) as asked_m, a/cast(10 as double) as avoid_paved
+      from ({_best}) join n using (request_id, candidate) join q using (request_id)""",
+}

@@ -7,10 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmill.functions.geo import score, xml_escape
+from trailmill.functions.tags import config_hash
 from trailmill.operators.requests import validated
 
 # Fixed values.
 ATTRIBUTION = "Données © les contributeurs OpenStreetMap, sous licence ODbL"
+GPX_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="{creator}" xmlns="http://www.topografix.com/GPX/1/1">\n  <metadata>\n    <name>'
+GPX_DESC = "</name>\n    <desc>{attribution} — %.0f m</desc>\n"
+GPX_TRACK = '    <copyright author="OpenStreetMap contributors"><license>https://opendatacommons.org/licenses/odbl/</license></copyright>\n  </metadata>\n  <trk>\n    <name>'
+GPX_POINT = '      <trkpt lat="%.7f" lon="%.7f"></trkpt>\n'
+GPX_POINTS, GPX_END = "</name>\n    <trkseg>\n", "    </trkseg>\n  </trk>\n</gpx>\n"
 REQUEST = ("struct<start:struct<lat:double,lon:double>,distance_m:double,tolerance:double,activity:string,"
            "preferences:struct<avoid_paved:double>,max_results:int,variant:int>")
 
@@ -76,12 +82,9 @@ def shared_loops(ids: DataFrame, ranked: DataFrame) -> DataFrame:
 def to_gpx(loops: DataFrame, creator: str = "trailmill") -> DataFrame:
     """(request_id, candidate, filename, gpx) of loops(request_id, candidate, length_m, distance_m, coords); none for a loop without points."""
     name = xml_escape(F.format_string("Boucle %.1f km", F.col("length_m") / 1000))
-    point = lambda c: F.format_string('      <trkpt lat="%.7f" lon="%.7f"></trkpt>\n', c["lat"], c["lon"])
-    gpx = F.concat(
-        F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="{creator}" xmlns="http://www.topografix.com/GPX/1/1">\n  <metadata>\n    <name>'), name,
-        F.format_string(f"</name>\n    <desc>{ATTRIBUTION} — %.0f m</desc>\n", F.col("length_m")),
-        F.lit("    <copyright author=\"OpenStreetMap contributors\"><license>https://opendatacommons.org/licenses/odbl/</license></copyright>\n  </metadata>\n  <trk>\n    <name>"), name,
-        F.lit("</name>\n    <trkseg>\n"), F.array_join(F.transform("coords", point), ""), F.lit("    </trkseg>\n  </trk>\n</gpx>\n"))
+    point = lambda c: F.format_string(GPX_POINT, c["lat"], c["lon"])
+    gpx = F.concat(F.lit(GPX_HEAD.format(creator=creator)), name, F.format_string(GPX_DESC.format(attribution=ATTRIBUTION), F.col("length_m")), F.lit(GPX_TRACK), name,
+                   F.lit(GPX_POINTS), F.array_join(F.transform("coords", point), ""), F.lit(GPX_END))
     filename = F.format_string(f"{creator}-%.0fm.gpx", F.col("distance_m"))
     return loops.filter(F.size("coords") > 0).select("request_id", "candidate", filename.alias("filename"), gpx.alias("gpx"))
 
@@ -104,8 +107,14 @@ def to_loop_json(loops: DataFrame, requests: DataFrame) -> DataFrame:
     return out.select("request_id", "candidate", F.to_json(F.struct("loop", "request", F.lit(ATTRIBUTION).alias("attribution"))).alias("json"))
 
 
-def regions(points: DataFrame, provenance: DataFrame) -> DataFrame:
-    """One JSON document: bounds of points(lat, lon), the sources of the data, attribution."""
-    box = bounds(points).select(F.struct("min_lat", "min_lon", "max_lat", "max_lon").alias("bbox"))
+def region_document(built: DataFrame, provenance: DataFrame) -> DataFrame:
+    """One JSON document of a row of bounds, built_at and config_hash: the box, where the data come from, attribution."""
     sources = provenance.agg(F.array_sort(F.collect_list(F.struct("name", "file", "sha256", "size_bytes"))).alias("sources"))  # a row for each source file
-    return box.join(sources, F.lit(True)).select(F.to_json(F.struct("bbox", F.struct("sources").alias("data"), F.lit(ATTRIBUTION).alias("attribution"))).alias("json"))
+    one = built.select(F.struct("min_lat", "min_lon", "max_lat", "max_lon").alias("bbox"), "built_at", "config_hash").join(sources, F.lit(True))  # single rows
+    return one.select(F.to_json(F.struct("bbox", F.struct("built_at", "sources", "config_hash").alias("data"), F.lit(ATTRIBUTION).alias("attribution"))).alias("json"))
+
+
+def regions(points: DataFrame, provenance: DataFrame, built_at: str = "") -> DataFrame:
+    """The document of points(lat, lon); without points the box is zeros."""
+    box = bounds(points)
+    return region_document(box.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in box.columns], F.lit(built_at).alias("built_at"), F.lit(config_hash()).alias("config_hash")), provenance)

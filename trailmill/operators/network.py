@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.functions.geo import cell, edge_cost, haversine
+from trailmill.functions.shared import counted
 from trailmill.functions.tags import classify_ways
 from trailmill.operators.components import connected_components
 
@@ -78,6 +79,19 @@ def audit(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return counted.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("violations")) for k in bad])))
 
 
+def build_stats(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """One row: ways, nodes, bounds, segments and directed edges of the network of `nodes` and `ways`; the row is an error where there is no segment.
+
+    The kept ways are written once and counted as they are; nodes and edges are each built once from them.
+    """
+    kept, n_ways = counted(classify_ways(ways), "kept-ways")
+    used = nodes.join(kept.select(F.explode("nodes").alias("node_id")).distinct(), "node_id", "left_semi")
+    n = used.agg(F.count("*").alias("nodes"), *[F.round(F.coalesce(f(c), F.lit(0.0)), 6).alias(f"{k}_{c}") for k, f in (("min", F.min), ("max", F.max)) for c in ("lat", "lon")])
+    e = build_edges(nodes, kept).agg(F.count("*").alias("directed_edges"))
+    some = F.when(F.col("directed_edges") == 0, F.raise_error(F.lit("the network has no segments")).cast("long")).otherwise(F.expr("directed_edges div 2"))
+    return n.join(e, F.lit(True)).select(F.lit(n_ways).cast("long").alias("ways"), *n.columns, some.alias("segments"), "directed_edges")  # single rows
+
+
 def build_network(nodes: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(net_node, edge) of OSM node and way tables."""
     kept = classify_ways(ways)
