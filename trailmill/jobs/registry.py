@@ -495,3 +495,14 @@ ORACLES |= {
       select request_id, candidate, (rank - 1) || '.' || request_id as id, distance_m, part_non_bitume, ecart_cible, points, round(lat, 6) as start_lat, cast(1500 + request_id*613 % 2500 as double) as asked_m, a/cast(10 as double) as avoid_paved
       from ({_best}) join n using (request_id, candidate) join q using (request_id)""",
 }
+
+ORACLES |= {
+    "distinct_loops": f"""with recursive {_LOOPS},
+      c as (select request_id, candidate, row_number() over (partition by request_id order by candidate) as n from loops),
+      alike as (select request_id, b as candidate, list(a) as before from sim where j >= cast(0.7 as double) group by all),
+      walk(request_id, n, kept) as (
+        select distinct request_id, cast(0 as bigint), cast([] as int[]) from c
+        union all select w.request_id, c.n, case when list_has_any(kept, coalesce(before, cast([] as int[]))) then kept else list_append(kept, c.candidate) end
+        from walk w join c on c.request_id = w.request_id and c.n = w.n + 1 left join alike a on a.request_id = c.request_id and a.candidate = c.candidate)
+      select request_id, unnest(max_by(kept, n)) as candidate from walk group by request_id""",
+}
