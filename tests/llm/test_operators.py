@@ -333,6 +333,45 @@ def test_warc(spark, tmp_path, monkeypatch, broadcast_rows):
     assert warc.read_range(spark, found[0]).endswith(b"y\r\n\r\nWARC/1.1\r\n\r\n\r\n")
 
 
+def test_many_keys_are_looked_up_through_directory_and_blocks(spark, tmp_path):
+    """A key that fills many blocks of several parts, keys at the ends of blocks, unknown and null keys, against a plain filter."""
+    url = lambda i: None if i % 50 == 7 else "http://hot.org/" if i % 3 == 0 else f"http://h{i % 40}.org/{i % 7}"
+    pages = spark.createDataFrame([(i, url(i), f"<p>{i % 11}</p>" * (i % 9), "x") for i in range(900)], "page_id long, url string, html string, Key string").repartition(3)
+    warc.write_archives(pages, f"file://{tmp_path}/a")
+    captures = warc.read_archives(spark, f"file://{tmp_path}/a").cache()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts of so few rows
+    try:
+        warc.write_index(captures, f"file://{tmp_path}/i", block_lines=4)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"file://{tmp_path}/i/directory").select("part").distinct().count() > 1
+    every = {r.page_id: r for r in captures.collect()}
+    assert len(every) == 900 and captures.count() == 900
+    for asked in (["http://hot.org/", "http://h1.org/1", "http://none.org/", "http://h1.org/1"], [f"http://h{i}.org/{j}" for i in range(40) for j in range(7)], [None], []):
+        keys = spark.createDataFrame([(a,) for a in asked], "url string").select(warc.surt(F.col("url")).alias("key"))
+        got = sorted(tuple(r) for r in warc.read_ranges(warc.lookups(spark, f"file://{tmp_path}/i", keys)).collect())
+        assert got == sorted(tuple(every[i]) for i in range(900) if url(i) in asked)
+
+
+@pytest.mark.parametrize("change", ["payload", "length", "other"])
+def test_records_that_contradict_their_captures_are_errors(spark, tmp_path, change):
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", f"<p>page {i}</p>") for i in range(4)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/a")
+    captures = spark.createDataFrame(warc.read_archives(spark, f"file://{tmp_path}/a").collect(), warc.CAPTURE)
+    assert warc.read_ranges(captures).count() == 4
+    if change == "payload":
+        for f in (tmp_path / "a").glob("part-*"):
+            f.write_bytes(f.read_bytes().replace(b"page 2", b"page 9"))
+        for f in (tmp_path / "a").glob(".part-*.crc"):
+            f.unlink()
+    elif change == "length":
+        captures = captures.withColumn("length", F.col("length") - 1)
+    else:
+        captures = captures.withColumn("page_id", F.col("page_id") + 1)
+    with pytest.raises(Exception, match="digest|not of|another"):
+        warc.read_ranges(captures).collect()
+
+
 def test_ranges_are_read_from_their_offset(spark, tmp_path):
     name = tmp_path / "sparse"
     with name.open("wb") as f:  # more than binaryFile holds, nearly no disk
