@@ -380,6 +380,38 @@ def test_ranges_are_read_from_their_offset(spark, tmp_path):
     assert warc.read_range(spark, {"file": f"file://{name}", "offset": (1 << 31) + 6, "length": 4}) == b"ecor"
 
 
+LONG = "The committee met on Tuesday to discuss the plans for the new bridge, and several members raised questions about cost and safety before the vote."
+REPLY = "I completely disagree with this article, because the author forgets that the old bridge was closed for years, and nobody in town complained about it at all."
+
+
+@pytest.mark.parametrize(("page", "main"), [
+    (f'<div class="content"><h1>Bridge plans</h1><p>{LONG}</p><p>{LONG} Again.</p><div id="comments"><p>{REPLY}</p></div></div>', [1, 1, 1, 0]),
+    (f'<main><h1>Bridge plans</h1><p>{LONG}</p><ul><li>Two lanes for cars</li><li>A path for bicycles</li><li>Lights</li></ul><p>{LONG}</p></main><footer>All rights reserved</footer>', [1, 1, 1, 1, 1, 1, 0]),
+    (f'<table><tr><td><a href=a>Home</a> <a href=b>News</a></td></tr><tr><td><h1>Bridge plans</h1><p>{LONG}</p><p>{LONG} Again.</p></td></tr><tr><td>All rights reserved</td></tr></table>', [0, 1, 1, 1, 0])])
+def test_comments_lists_and_tables(labeller, page, main):
+    blocks = extraction.blocks_of(f"<html><body>{page}</body></html>")
+    assert labeller.label(extraction.features([blocks]))[0].tolist() == list(map(bool, main))
+
+
+def test_odd_rows_of_pages(spark):
+    """Null ids and html, repeated rows, other columns with the names of results or of the plan; an empty table."""
+    page = f"<html><body><nav><a href=x>Home</a></nav><article><h1>Bridge plans</h1><p>{LONG}</p></article></body></html>"
+    rows = [(1, "u", page), (1, "u", page), (None, None, page), (2, "u", None), (3, "u", "")]
+    pages = spark.createDataFrame([(*r, "x", 7, 9) for r in rows], "page_id long, url string, html string, text string, n_chars int, o long")
+    got = [(r.page_id, r.url, r.text, r.n_chars) for r in extraction.main_text(pages).collect()]
+    assert len(got) == 5 and got.count((2, "u", "", 0)) == 1 and got.count((3, "u", "", 0)) == 1
+    whole = [t for k, _, t, n in got if k not in (2, 3) and n == len(t)]
+    assert len(whole) == 3 and len(set(whole)) == 1 and LONG in whole[0]
+    assert extraction.main_text(pages.limit(0)).collect() == []
+
+
+@pytest.fixture(scope="module")
+def labeller(spark):
+    """A labeller of the pages of sf0.01."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    return extraction.train([p for p in pages if p][: extraction.PAGES])
+
+
 def test_extraction(spark):
     page = ("<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><div class=ad>Buy now</div><article><h1>A &amp; b</h1><p><b>One\n two<br><p>Three four five.</p></article>"
             "<footer>(c)</footer></body></html>")

@@ -281,38 +281,58 @@ def padded(pages: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarra
     return x, mask
 
 
+#: What menus and footers of made layouts say; real pages' own words come beside them.
+MENU = ("Home", "News", "About", "Contact", "Search", "Login", "Archive", "Shop", "Help", "Topics", "Sign in", "Products")
+CLOSING = ("All rights reserved", "Copyright 2024", "Terms of use", "Privacy policy", "Contact us", "Imprint", "Follow us", "Back to top")
+
+
 def laid_out(main: list[str], rest: list[str], rng: np.random.Generator) -> tuple[list, list[bool]]:
     """A page of other elements and names from given texts, with its labels."""
     pick = lambda *a: str(a[rng.integers(len(a))])
     body = pick("div wrapper", "div", "div page", "div container")
     blocks, labels = [], []
+    inside = rng.random() < 0.5
+    table = rng.random() < 0.15  # all lies in cells of a table
+    around = ("html", "body", *([body] if inside else []), *(("table", "tr") if table else ()))
 
-    def put(step: str, leaf: str, texts: list[str], label: bool, link: bool = False) -> None:
+    def put(steps: tuple[str, ...], leaf: str, texts: list[str], label: bool, link: bool = False) -> None:
         for t in texts:
-            blocks.append((("html", "body", *([body] if inside else []), *([step] if step else []), leaf), t, len(t) if link else 0))
+            blocks.append(((*around, *(s for s in steps if s), *((leaf,) if leaf else ())), t, len(t) if link else 0))
             labels.append(label)
 
-    inside = rng.random() < 0.5
     take = lambda n: [rest[k] for k in rng.integers(len(rest), size=n)]
     short = lambda n: [" ".join(t.split()[:3]) for t in take(n)]
-    if rng.random() < 0.6:
-        put(pick("header", "div header", "div id-header site-header", "div notice", "div cookie-banner", "div alert"), pick("p", "div", "h1"), take(1), False)
-    if rng.random() < 0.8:
-        put(pick("nav", "nav menu", "div menu", "ul nav", "div navbar", "aside sidebar"), "li", short(int(rng.integers(2, 8))), False, True)
-    if rng.random() < 0.5:
-        put(pick("div ad", "div ads", "aside", "div advert", "div sponsor", "aside sidebar", "div promo"), pick("p", "div"), take(1), False)
+    menu = lambda n: [" ".join(pick(*MENU) for _ in range(int(rng.integers(1, 4)))) for _ in range(n)]
+    if table:  # cells without a name, and with nothing in them but text
+        put(("td",), "", menu(int(rng.integers(1, 4))) if rng.random() < 0.7 else short(2), False, rng.random() < 0.8)
+    if not table and rng.random() < 0.6:
+        put((pick("header", "div header", "div id-header site-header", "div notice", "div cookie-banner", "div alert"),), pick("p", "div", "h1"), take(1), False)
+    if not table and rng.random() < 0.8:
+        n = int(rng.integers(2, 8))
+        put((pick("nav", "nav menu", "div menu", "ul nav", "div navbar", "aside sidebar"), pick("", "ul")), "li", short(n) if rng.random() < 0.6 else menu(n), False, True)
+    if not table and rng.random() < 0.5:
+        put((pick("div ad", "div ads", "aside", "div advert", "div sponsor", "aside sidebar", "div promo"),), pick("p", "div"), take(1), False)
     step = pick("article", "main", "div content", "div article", "section post", "div entry-content", "div main", "article post", "div story")
     if rng.random() < 0.4:  # nothing around the text tells what it is
         step = pick("", "", "div", "td", f"div x{rng.integers(1000)}", f"section c{rng.integers(1000)} row")
-    put(step, "h1", [" ".join(main[0].split()[:12])], True)
+    if table:
+        step = "td"
+    put((step,), "h1", [" ".join(main[0].split()[:12])], True)
     for t in main:
-        put(step, pick("p", "p", "p", "li", "blockquote", "h2"), [t], True)
+        leaf = pick("p", "p", "p", "p", "li", "blockquote", "h2")
+        put((step, pick("ul", "ol") if leaf == "li" else ""), leaf, [t], True)
+        if rng.random() < 0.1:  # a list of short items
+            put((step, pick("ul", "ol")), "li", [" ".join(t.split()[k : k + int(rng.integers(1, 7))]) or t for k in range(0, int(rng.integers(2, 6)))], True)
         if rng.random() < 0.06:
-            blocks.append((("html", "body", *([body] if inside else []), step, pick("aside", "div ad", "div related", "form newsletter", "div share"), "p"), take(1)[0], 0))
-            labels.append(False)
+            put((step, pick("aside", "div ad", "div related", "form newsletter", "div share")), "p", take(1), False)
+    if step and not table and rng.random() < 0.3:  # readers' comments within the element that holds the text, as long as it
+        own = [main[k] for k in rng.integers(len(main), size=2)] if rng.random() < 0.5 else take(2)
+        put((step, pick("div comments", "section comments", "div comment-list", "ol comments", "div replies"), pick("", "div comment", "article", "li")), pick("p", "p", "div"), own, False)
     for kind in ("div comments", "section comments", "form", "div sidebar", "aside", "div related", "div notice", "footer"):
-        if rng.random() < (0.8 if kind == "footer" else 0.25):
-            put(kind, pick("p", "div", "li"), take(int(rng.integers(1, 4))) if kind != "footer" else short(1), False, kind == "div related")
+        if not table and rng.random() < (0.8 if kind == "footer" else 0.25):
+            put((kind,), pick("p", "div", "li"), take(int(rng.integers(1, 4))) if kind != "footer" else short(1) if rng.random() < 0.6 else [pick(*CLOSING)], False, kind == "div related")
+    if table and rng.random() < 0.9:
+        put(("td",), "", [pick(*CLOSING) for _ in range(int(rng.integers(1, 3)))], False, rng.random() < 0.3)
     return blocks, labels
 
 
@@ -355,12 +375,14 @@ def main_text(pages: DataFrame, sample_pages: int = PAGES, max_chars: int = MAX_
     """Main text of every row of pages(page_id, url, html), from its whole html.
 
     A null or empty html, or one without main text, gives ''. Repeated rows and null ids are kept. Other
-    columns are ignored. Training takes the `sample_pages` pages with the least hash among those of at most
-    `max_chars` characters. An empty table gives an empty table.
+    columns are ignored. Html of any length is read whole. Training takes the `sample_pages` different pages with
+    the least hash among those of at most `max_chars` characters. An empty table gives an empty table.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    sample = source.filter(F.length("html") <= max_chars).select("html", F.xxhash64("page_id", "html").alias("o")).orderBy("o", "html").limit(sample_pages)
-    model = train([r[0] for r in sample.select("html").collect()])
+    small = source.filter(F.length("html") <= max_chars).select("html", F.xxhash64("page_id", "html").alias("o"))
+    least = [r[0] for r in small.select("o").distinct().orderBy("o").limit(sample_pages).collect()]  # hashes first: html of the sample alone moves
+    sample = small.filter(F.col("o").isin(least)).dropDuplicates(["o"]).collect() if least else []
+    model = train([r.html for r in sorted(sample, key=lambda r: (r.o, r.html))])
     shared = pages.sparkSession.sparkContext.broadcast(model)  # some 20,000 float32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
