@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,7 @@ def test_induced_sorting(monkeypatch, held, base):
 PEAK = """
 import re, sys, threading, time
 import numpy as np
+import pyarrow as pa
 from trailmill.llm import induced
 induced.BATCH, induced.HELD = 1 << 14, 1 << 20
 n = int(sys.argv[1]) << 20
@@ -285,6 +287,60 @@ def test_toxicity_odd_rows(docs, labels):
     assert len(got) == len(TEXTS) + 1 and got.predicted.eq(0).all()
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_label_model(seed):
+    """On made votes the model finds each voter's rates, which voters copy each other, and the class better than
+    any voter does, without labels."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(4000) < 0.3
+    rates = np.array([(0.02, 0.7), (0.05, 0.6), (0.1, 0.8), (0.03, 0.5), (0.15, 0.6)])
+    alone = rng.random((4000, 5)) < np.where(y[:, None], rates[:, 1], rates[:, 0])
+    copies = np.where(rng.random((4000, 2)) < 0.03, ~alone[:, 4:], alone[:, 4:])  # two more voters that copy the last
+    votes = np.hstack([alone, copies]).astype(float)
+    post, found, related = toxicity.label_model(votes, 0.3, patterns=0)
+    assert np.abs(found.T[:4] - rates[:4]).max() < 0.06
+    assert related[4, 5] > 0.7 and related[5, 6] > 0.7 and related[:4, :4].max() < 0.2
+    right = ((post > 0.5) == y).mean()
+    assert right > 0.93 and right > max(((v > 0) == y).mean() for v in votes.T)
+
+
+def test_lexica_vote_on_rows_they_were_not_mined_from():
+    """A word that one fold alone has in class 1 votes nowhere in that fold; one of all folds votes in each."""
+    n = 400
+    y = np.arange(n) % 2.0
+    y[:] = (np.arange(n) // toxicity.FOLDS) % 2
+    fold = np.arange(n) % toxicity.FOLDS
+    text = pa.array([" ".join(["foul foul"] * bool(y[i]) + ["lone lone"] * bool(y[i] and fold[i] == 0) + [say(30)]) for i in range(n)])
+    units = toxicity._units(text)
+    votes = toxicity.voters(text, y, units, toxicity._features(*units))
+    assert np.array_equal(votes[:, 0], y)
+    only = pa.array([t.replace("foul", "fair") for t in text.to_pylist()])
+    units = toxicity._units(only)
+    assert not toxicity.voters(only, np.where(fold == 0, y, 0), units, toxicity._features(*units))[fold == 0, 0].any()
+
+
+def test_toxicity_held_out_recall(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    t = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
+    toxic = t.toxic == 1
+    assert (t.predicted[toxic] == 1).mean() > 0.85 and (t.predicted[~toxic] == 1).mean() < 0.005
+
+
+def test_toxicity_reads_accents_long_texts_and_odd_bytes(spark):
+    say_no = "RÉEUXAN idées"
+    a, b = (toxicity._units(pa.array([x])) for x in (say_no, say_no.lower()))
+    assert all(np.array_equal(x, z) for x, z in zip(a, b, strict=True))
+    foul = [(i, (say(20) + " vile vile") if i % 2 else say(20), i % 2) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in foul], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in foul] + [(900, " ".join([*(f"other{i}" for i in range(200_000)), "vile " * 4000])), (901, "x" * 2_000_000)], "doc_id long, text string")
+    odd = spark.sql("select 902L as doc_id, cast(unhex('FF76696C65FE') as string) as text")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(docs.unionAll(odd), labels).filter("doc_id >= 900").collect()}
+    assert got == {900: 1, 901: 0, 902: 0}
+    empty = toxicity.toxicity_scores(docs.limit(0), labels)
+    assert empty.count() == 0 and empty.columns == ["doc_id", "held_out", "score", "predicted"]
+
+
 def test_licences(spark):
     lines = ["Released under the MIT License.", say(20), None, "", "Intro words\nLicensed under the Apache License, Version 2.0."]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
