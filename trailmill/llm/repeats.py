@@ -25,9 +25,9 @@ from trailmill.llm import textkit as tk
 from trailmill.llm.induced import PAD, repeated
 
 DEPTH, ANCHOR = 400, 100
-#: Distinct snippets of one anchor beyond which its starts are dealt out one by one, rows beyond which its snippets
-#: are, and the share of all that either must exceed, too.
-HOT, HOT_ROWS, MOST = 20_000, 50_000, 10_000
+#: Distinct snippets of one anchor beyond which its starts are dealt out one by one, and rows beyond which its snippets
+#: are; the same at any size of the table.
+HOT, HOT_ROWS = 20_000, 50_000
 #: Parts that very many equal rows are dealt to.
 PARTS = 64
 #: Bytes of snippets that a shard takes before it is sorted; it takes whole anchors, so it may be larger.
@@ -290,10 +290,13 @@ def _text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def _most(rows: DataFrame, least: int) -> list[int]:
-    """Anchors that more than `least` rows and one in MOST of all have: less than MOST of them, whatever the size."""
-    least = max(least, rows.count() // MOST)
-    return [r.anchor for r in rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("anchor").collect()]
+def _parted(rows: DataFrame, most: int, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of anchors that at most `most` rows have, and the rest (None: there is no rest). The limit is the same
+    at any size, so the anchors over it grow with the table: they stay in a written table and are never collected."""
+    hot = written(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("anchor"), name)
+    if hot.isEmpty():
+        return rows, None
+    return rows.join(_few(hot), "anchor", "left_anti").select(rows.columns), rows.join(_few(hot), "anchor", "left_semi").select(rows.columns)
 
 
 def _equal(rows: DataFrame, name: str) -> DataFrame:
@@ -307,11 +310,10 @@ def _equal(rows: DataFrame, name: str) -> DataFrame:
 def _standing(rows: DataFrame) -> DataFrame:
     """What _shared() says of all rows. An anchor's meet in one task, sorted; those of an anchor that very many
     have meet by equal snippets alone, and all its distinct ones are taken to be several."""
-    hot = _most(rows, HOT_ROWS)
-    mild = rows.filter(~F.col("anchor").isin(hot)) if hot else rows
+    mild, hot = _parted(rows, HOT_ROWS, "repeat-hot-rows")
     out = mild.repartition("anchor").sortWithinPartitions("anchor", "whole", "k1", "k2", "lo").mapInArrow(tk.lean(_shared(False)), ROWS + ", lead boolean")
-    if hot:
-        out = out.unionAll(_equal(rows.filter(F.col("anchor").isin(hot)), "repeat-equal"))
+    if hot is not None:
+        out = out.unionAll(_equal(hot, "repeat-equal"))
     return written(out, "repeat-anchors")
 
 
@@ -330,11 +332,10 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) ->
     found = written(leads.groupBy(*keys).agg(F.collect_set(F.struct("anchor", "lo", "hi")).alias("found")), "repeat-leads")  # snippets of one text
     texts = long.select(*keys, "text").join(_few(found.select(*keys)), keys, "left_semi").dropDuplicates(keys).join(found, keys)
     pieces = written(texts.select(*keys, "text", "found").mapInArrow(tk.lean(_cut(depth)), "k1 long, k2 long, anchor long, lo int, bytes binary"), "repeat-snippets")
-    hot = _most(pieces, HOT)
-    mild = pieces.filter(~F.col("anchor").isin(hot)) if hot else pieces
+    mild, hot = _parted(pieces, HOT, "repeat-hot-snippets")
     ranges = mild.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tk.lean(_sorted(depth)), "k1 long, k2 long, lo int, hi int")
-    if hot:
-        starts = pieces.filter(F.col("anchor").isin(hot)).select(*keys, "lo", "bytes").mapInArrow(tk.lean(_starts(depth)), ROWS)
+    if hot is not None:
+        starts = hot.select(*keys, "lo", "bytes").mapInArrow(tk.lean(_starts(depth)), ROWS)
         ranges = ranges.unionAll(_equal(starts, "repeat-starts").filter("not lead").select(*keys, "lo", "hi"))
     ranges = ranges.unionAll(shared.filter("not lead").select(*keys, "lo", "hi")).unionAll(copies.select(*keys, F.lit(0).alias("lo"), (F.col("size") - depth).alias("hi")))
     grouped = ranges.groupBy(*keys).agg(F.collect_set(F.struct("lo", (F.col("hi") + depth).alias("hi"))).alias("r"))
