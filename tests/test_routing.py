@@ -223,3 +223,22 @@ def test_bearings_are_the_requests_own(spark):
     assert all(0 <= b - c * even < 0.3 for (_, c), b in got.items()) and len(got) == 40
     assert got == {(r.request_id, r.candidate): r.bearing for r in routing.start_bearings(one.repartition(3)).collect()} and got[1, 3] != got[2, 3]
     assert requests.validated(one.withColumn("activity", F.lit(""))).filter("error is null").count() == 2
+
+
+def test_trips_with_a_reach_shuffle_no_network_and_find_the_same(spark, monkeypatch):
+    """Zones of few trips, one across a tile's edge and one near a pole, against the search without zones; the arcs of a zone are those in its reach."""
+    nodes = {100 * r + c: (base + 0.004 * r, 179.99 + 0.004 * c if base < 80 else 0.01 * c) for base, rows in ((48.0, range(6)), (89.9, range(10, 14))) for r in rows for c in range(6)}
+    segments = [(i, j, 700 + (7 * i + 3 * j) % 60, i % 4, j % 200) for i in nodes for j in (i + 1, i + 100) if j in nodes]
+    nodes, edges = graph(spark, nodes, segments)
+    trips = [(k, a, b, 1.0, 3.0, 5_000.0) for k, (a, b) in enumerate([(0, 303), (303, 1), (505, 0), (1000, 1303), (1304, 1001), (2, 2), (4, 77777)])]
+    for name in ("ZONE_TRIPS", "HOPS", "COMPACT"):
+        monkeypatch.setattr(routing, name, 1)
+    near, path = routing.cheapest_paths(spark.createDataFrame(trips, TRIP), nodes, edges)
+    free = trips + [(99, 77777, 77778, 1.0, 3.0, None)]  # a trip without a reach: no zones
+    far, other = routing.cheapest_paths(spark.createDataFrame(free, TRIP), nodes, edges)
+    assert sorted(map(tuple, near.collect())) == sorted(tuple(r) for r in far.filter("trip_id <> 99").collect())
+    assert sorted(map(tuple, path.collect())) == sorted(map(tuple, other.collect()))
+    assert {r.status for r in near.filter("trip_id < 5").collect()} == {"ok"}
+    ends = spark.createDataFrame([(1, 0, 0.02, 0.02, 300.0)], "trip_id long, from_node long, from_lat double, from_lon double, reach_m double")
+    arcs = spark.createDataFrame([(0, 0.02, 0.02), (1, 0.051, 0.02), (2, 0.06, 0.02), (3, 0.02, -0.002), (4, 0.02, 359.999)], "edge_id long, lat double, lon double")
+    assert {r.edge_id for r in routing._zone_arcs(routing._zoned(ends), arcs).collect()} == {0, 1, 3, 4}
