@@ -113,3 +113,13 @@ def test_requests(spark):
 def test_bucket():
     assert _bucket(5.0, None, [0] * 6)[0] == [True] * 5 + [False]
     assert _bucket(5.0, None, [0] * 6 + [1_000_000, 1_000_001])[0][-2:] == [True, False]
+
+
+def test_candidates_of_a_request_are_compared_in_its_row(spark):
+    """No join of candidates by edges, whose sorts grew with the table; sets without a shared edge, empty ones and nulls are in no pair."""
+    from trailmill.operators import ranking
+
+    rows = [(1, 2, [1, 2, 3]), (1, 0, [2, 3, 4]), (1, 5, [9]), (1, 7, []), (1, 8, None), (2, 0, [1, 2, 3])]
+    out = ranking.similarity(spark.createDataFrame(rows, "request_id long, candidate int, edge_set array<long>"))
+    assert [tuple(r) for r in out.collect()] == [(1, 0, 2, 2, 0.5)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
