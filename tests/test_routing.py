@@ -242,3 +242,11 @@ def test_trips_with_a_reach_shuffle_no_network_and_find_the_same(spark, monkeypa
     ends = spark.createDataFrame([(1, 0, 0.02, 0.02, 300.0)], "trip_id long, from_node long, from_lat double, from_lon double, reach_m double")
     arcs = spark.createDataFrame([(0, 0.02, 0.02), (1, 0.051, 0.02), (2, 0.06, 0.02), (3, 0.02, -0.002), (4, 0.02, 359.999)], "edge_id long, lat double, lon double")
     assert {r.edge_id for r in routing._zone_arcs(routing._zoned(ends), arcs).collect()} == {0, 1, 3, 4}
+
+
+def test_leg_totals_shuffle_the_walks_once(spark):
+    """First legs come from a window and not from a join of the walks with themselves; keys that are null make no row vanish."""
+    _, edges = graph(spark, {0: (0.0, 0.0)}, [(0, 1, 700, 1, 51), (1, 2, 1500, 3, 0)])
+    legs = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, 1), (1, None, 0, 2), (1, None, 1, 3)], "request_id long, candidate int, leg int, edge_id long")
+    out = routing.leg_totals(legs, edges)
+    assert {(r.candidate, r.leg, r.retraced_m) for r in out.collect()} == {(0, 0, 0.0), (0, 1, 700.0), (None, 0, 0.0), (None, 1, 1500.0)}
