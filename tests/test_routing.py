@@ -225,7 +225,7 @@ def test_bearings_are_the_requests_own(spark):
     assert requests.validated(one.withColumn("activity", F.lit(""))).filter("error is null").count() == 2
 
 
-def test_trips_with_a_reach_shuffle_no_network_and_find_the_same(spark, monkeypatch):
+def test_zones_find_what_a_search_without_them_finds(spark, monkeypatch):
     """Zones of few trips, one across a tile's edge and one near a pole, against the search without zones; the arcs of a zone are those in its reach."""
     nodes = {100 * r + c: (base + 0.004 * r, 179.99 + 0.004 * c if base < 80 else 0.01 * c) for base, rows in ((48.0, range(6)), (89.9, range(10, 14))) for r in rows for c in range(6)}
     segments = [(i, j, 700 + (7 * i + 3 * j) % 60, i % 4, j % 200) for i in nodes for j in (i + 1, i + 100) if j in nodes]
