@@ -250,3 +250,27 @@ def test_leg_totals_shuffle_the_walks_once(spark):
     legs = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, 1), (1, None, 0, 2), (1, None, 1, 3)], "request_id long, candidate int, leg int, edge_id long")
     out = routing.leg_totals(legs, edges)
     assert {(r.candidate, r.leg, r.retraced_m) for r in out.collect()} == {(0, 0, 0.0), (0, 1, 700.0), (None, 0, 0.0), (None, 1, 1500.0)}
+
+
+def test_clipped_sizes_count_what_lies_within_reach(spark):
+    """Against brute force: at the equator, in the middle, about the pole and across a tile's edge; points and edges that repeat, ends that are null or unknown."""
+    rng = random.Random(3)
+    middles = [(0.0, 0.0), (48.1, -1.68), (89.2, 10.0), (89.99, -100.0), (-89.995, 0.0), (60.0, 179.5)]
+    at = {100 * k + i: (max(-90.0, min(90.3, lat + rng.uniform(-0.02, 0.02))), lon + rng.uniform(-0.03, 0.03) / max(0.001, math.cos(math.radians(lat)))) for k, (lat, lon) in enumerate(middles) for i in range(40)}
+    ends = [(a, rng.choice([b for b in at if b // 100 == a // 100])) for a in at for _ in range(3)] + [(0, 777), (None, 0), (1, None)]
+    ends += [(b, a) for a, b in ends] + ends[:9]
+    points = [(10 * k + i, lat, lon, m) for k, (lat, lon) in enumerate(middles) for i, m in enumerate((300.0, 1500.0, 4000.0))]
+    points += [points[1], (90, None, 0.0, 500.0), (91, 48.1, -1.68, None), (92, 48.1, -1.68, float("nan")), (93, 20.0, 20.0, 500.0)]
+    want = {}
+    for key, lat, lon, m in points[:19]:
+        near = {n for n, p in at.items() if metres((lat, lon), p) <= m}
+        copies = points.count((key, lat, lon, m))
+        if near:
+            want[key] = (copies * len(near), copies * copies * sum(a in near and b in near for a, b in ends))
+    nodes = spark.createDataFrame([(n, *p) for n, p in at.items()], "node_id long, lat double, lon double")
+    edges = spark.createDataFrame(ends, "from_node long, to_node long")
+    asked = spark.createDataFrame(points, "id long, lat double, lon double, m double")
+    got = {r.id: (r.nodes, r.edges) for r in routing.clipped_sizes(asked, nodes, edges, "id", "lat", "lon", "m").collect()}
+    assert got == want and len(want) >= 15
+    each = routing.clipped(asked, nodes, "id", "lat", "lon", "m").groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in each} == {k: n for k, (n, _) in want.items()}
