@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,34 @@ def test_candidates_of_a_request_are_compared_in_its_row(spark):
     out = ranking.similarity(spark.createDataFrame(rows, "request_id long, candidate int, edge_set array<long>"))
     assert [tuple(r) for r in out.collect()] == [(1, 0, 2, 2, 0.5)]
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [64, 300])
+def test_components_of_a_map_need_no_rounds(spark, monkeypatch, block):
+    """Where ids follow the map, pieces of ranges of ids are linked and no round of joins is run; shuffled ids may need rounds and give the same components."""
+    from trailmill.operators import components
+
+    rows, wide = 60, 20
+    at = lambda r, c: r * wide + c
+    edges = [(at(r, c), at(r, c + 1)) for r in range(rows) for c in range(wide - 1) if r % 7] + [(at(r, c), at(r + 1, c)) for r in range(rows - 1) for c in range(wide) if r % 20 != 19 and c % 3]
+    rng = random.Random(block)
+    ids = rng.sample(range(10**12), rows * wide)
+    mixed = [(ids[a], ids[b]) for a, b in rng.sample(edges, len(edges))]
+
+    def plain(pairs):
+        label = {n: n for p in pairs for n in p}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in pairs:
+                low = min(label[a], label[b])
+                changed |= label[a] != low or label[b] != low
+                label[a] = label[b] = low
+        return label
+
+    monkeypatch.setattr(components, "BLOCK", block)
+    find = lambda pairs: {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert find(mixed) == plain(mixed)
+    monkeypatch.setattr(components, "_settled", lambda *_: pytest.fail("rounds of joins"))
+    got = find(edges)
+    assert got == plain(edges) and len(set(got.values())) == 3
