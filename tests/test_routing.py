@@ -3,6 +3,7 @@
 import heapq
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,3 +275,16 @@ def test_clipped_sizes_count_what_lies_within_reach(spark):
     assert got == want and len(want) >= 15
     each = routing.clipped(asked, nodes, "id", "lat", "lon", "m").groupBy("id").count().collect()
     assert {r.id: r["count"] for r in each} == {k: n for k, (n, _) in want.items()}
+
+
+def test_loop_audit_shuffles_the_walks_by_request_alone(spark):
+    """After the edges are looked up a request's loops stay where they are; no table of loops is written between, and null requests are audited too."""
+    _, edges = graph(spark, SQUARE, SIDES)
+    walks = [(1, 0, [0, 2]), (1, 1, [0, 2]), (1, 2, [0, 4]), (None, 0, [0, 1]), (None, 1, [0, 1]), (None, 2, [0, 1])]
+    walks = spark.createDataFrame([(r, c, 0, k, e) for r, c, es in walks for k, e in enumerate(es)], "request_id long, candidate int, leg int, seq int, edge_id long")
+    asked = spark.createDataFrame([(1, 10.0, 0.5)], "request_id long, distance_m double, tolerance double")
+    out = routing.audit_loops(walks, edges, asked)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(request_id" in plan and "audited-loops" not in plan
+    assert not re.search(r"hashpartitioning\(request_id#\d+L, [a-z]", plan)  # by the request and more
+    assert {r["check"]: r.violations for r in out.collect()} == {"unknown": 0, "apart": 1, "open": 3, "tolerance": 3, "alike": 4}
