@@ -9,6 +9,7 @@ from trailmill.functions.shared import written
 from trailmill.llm.contamination import decontaminated
 from trailmill.llm.jaccard import one_of_each
 from trailmill.llm.packing import pack_documents
+from trailmill.llm.passages import without_passages
 from trailmill.llm.quality import kept_documents
 from trailmill.llm.repeats import without_repeats
 
@@ -24,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the long strings that documents still share."""
-    return without_repeats(docs)
+    """Texts without the long strings that documents still share, and then without the passages of 50 words and more."""
+    return without_passages(written(without_repeats(docs), "pipeline-repeats"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

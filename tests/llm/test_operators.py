@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trailmill.llm import contamination, extraction, induced, jaccard, licences, packing, quality, repeats, sharding, toxicity, warc
+from trailmill.llm import contamination, extraction, induced, jaccard, licences, packing, passages, quality, repeats, sharding, toxicity, warc
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
@@ -533,3 +533,31 @@ def test_pipeline_stages(spark):
         docs, n = docs_out, docs_out.count()
     packed = corpus_pipeline.packing(spark, docs, d)
     assert packed.select(F.countDistinct("doc_id")).first()[0] == n
+
+
+def test_passages_that_texts_share(spark):
+    """Against brute force: runs of words that another text has, with other white space too; one word short, in one text alone and in copies alone they stay."""
+    rng = random.Random(11)
+    tell = lambda n: [f"w{rng.randint(0, 10**6)}é" for _ in range(n)]
+    a, b, short, own = tell(50), tell(73), tell(49), tell(60)
+    texts = [" ".join(x) for x in (tell(30) + a + tell(5) + b, b + tell(80), tell(9) + a, tell(40) + short + tell(3), short + tell(70), own + tell(4) + own, a + b + tell(20))]
+    texts += ["\n\t".join(tell(3) + a + tell(60)), " ".join(tell(90)), None, "", " \n ", "x " * 200, " ".join(tell(10) + b[:55]) + "\n"]
+    texts.append(texts[8])
+    split = lambda t: [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+    owners = {}
+    for t in texts:
+        w = [x[2] for x in split(t)]
+        for k in range(len(w) - 49):
+            owners.setdefault(tuple(w[k : k + 50]), set()).add(t)
+    want = []
+    for i, t in enumerate(texts):
+        w, gone = split(t), set()
+        for k in range(len(w) - 49):
+            if len(owners[tuple(x[2] for x in w[k : k + 50])]) > 1:
+                gone |= set(range(w[k][0], w[k + 49][1]))
+        want.append((i, None if t is None else "".join(c for k, c in enumerate(t) if k not in gone)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text")).repartition(3)
+    got = passages.without_passages(docs).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text) for r in got] == want and all(r.text is None or r.n_chars == len(r.text) for r in got)
+    assert sum(x[1] != t for x, t in zip(want, texts, strict=True)) == 6
+    assert passages.without_passages(docs.limit(0)).count() == 0

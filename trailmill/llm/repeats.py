@@ -350,14 +350,19 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def with_spans(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> tuple[DataFrame, str]:
-    """Every row of `docs`, all its columns, with a column of spans (null without repeats), and that column's name."""
+def _attached(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
+    """Every row of `docs` with the spans of its text in found(k1, k2, spans), and that column's name."""
     one, two, spans = fresh(docs, "text_key_one"), fresh(docs, "text_key_two"), fresh(docs, "repeated_spans")
-    found = repeated_spans(docs.select("text"), depth, anchor).select(F.col("k1").alias(one), F.col("k2").alias(two), F.col("spans").alias(spans))
+    found = found.select(F.col("k1").alias(one), F.col("k2").alias(two), F.col("spans").alias(spans))
     k1, k2 = _text_keys(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.join(_few(found.select(one, two, spans)), (k1 == F.col(one)) & (k2 == F.col(two)), "left").drop(one, two), spans
 
 
+def with_spans(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> tuple[DataFrame, str]:
+    """Every row of `docs`, all its columns, with a column of spans (null without repeats), and that column's name."""
+    return _attached(docs, repeated_spans(docs.select("text"), depth, anchor))
+
+
 def _kept_parts(body: bytes, spans: list[dict] | None) -> bytes:
     parts, at = [], 0
     for s in spans or []:
@@ -394,7 +399,12 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     n_chars, where there is such a column, follows the text. A null text stays null.
     """
-    (rows, name), schema = with_spans(docs, depth), docs.schema
+    return cut_out(docs, repeated_spans(docs.select("text"), depth))
+
+
+def cut_out(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """`docs` without the bytes in found(k1, k2, spans), see without_repeats()."""
+    (rows, name), schema = _attached(docs, found), docs.schema
     at = schema.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
