@@ -561,3 +561,26 @@ def test_passages_that_texts_share(spark):
     assert [(r.doc_id, r.text) for r in got] == want and all(r.text is None or r.n_chars == len(r.text) for r in got)
     assert sum(x[1] != t for x, t in zip(want, texts, strict=True)) == 6
     assert passages.without_passages(docs.limit(0)).count() == 0
+
+
+def test_packing_leaves_no_memory_behind(spark, docs):
+    """Workers outlive their tasks: none keeps an encoder, plain texts load one vocabulary, and waiting pieces hold no ids but their own."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+
+    def held(batches):
+        import gc
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "UnitEncoder" for x in gc.get_objects())], pa.int64())], ["n"])
+
+    assert packing.pack_documents(docs, path).count()
+    assert spark.range(64, numPartitions=16).mapInArrow(held, "n long").agg(F.sum("n")).first()[0] == 0
+    own, data = packing.encoder(path), np.frombuffer(BASE.encode(), np.uint8)
+    ids, _ = own.encode(data, np.array([0, len(data)]))
+    assert "tokenizer" not in vars(own) and ids.tolist() == [*own.tokenizer.encode(BASE, add_special_tokens=False).ids, 0]
+    packer = packing.Packer(0, 1024, 512, 1024)
+    packer.add(1, np.zeros(1 << 16, np.int32)[5:25], np.ones(1 << 16, bool)[5:25])
+    assert [p[2].base is None and p[3].base is None for p in packer.waiting] == [True]

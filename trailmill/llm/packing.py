@@ -10,6 +10,8 @@ stretches of powers of two, which need no padding.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import re
 import zlib
@@ -27,7 +29,9 @@ CAPACITY, MAX_SEGMENTS = 1024, 512
 END_ID = 0
 #: Pieces among which an open sequence chooses; bounds a task's memory, not what is packed.
 POOL = 1024
-CACHE_UNITS, CACHE_TOKENS = 500_000, 2_500_000
+#: Bytes of texts that are encoded at once.
+PIECE = 1 << 18
+CACHE_UNITS, CACHE_TOKENS = 250_000, 1_250_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -40,25 +44,28 @@ class UnitEncoder:
     """
 
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        # a plain call finds these strings in a text before it splits the rest
+        self.added = [t["content"] for t in parts.get("added_tokens") or [] if t["content"]]
+        self.ranked = self._ranked(parts["model"])
+        self.forget()
+
+    @functools.cached_property
+    def tokenizer(self):
+        """The file's own tokenizer; most tasks need none beside the ranked form."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        # a plain call finds these strings in a text before it splits the rest
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.ranked = self._ranked(path)
-        self.forget()
+        return Tokenizer.from_file(self.path)
 
     @staticmethod
-    def _ranked(path: str):
+    def _ranked(model: dict):
         """The same vocabulary for the library that is faster on single words, if its merges are in the order of their ids."""
-        import json
-
         import public_tokenizers
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
         merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         if [model["vocab"].get(m) for m in merges] != list(range(256, 256 + len(merges))):
             return None
@@ -134,13 +141,9 @@ class UnitEncoder:
         return ids, bounds
 
 
-_encoders: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
+    """An encoder for one task: workers outlive their tasks, and one kept in them would weigh on every later stage."""
+    return UnitEncoder(path)
 
 
 class Packer:
@@ -180,8 +183,8 @@ class Packer:
             piece = [doc, at, ids[at : at + self.capacity], loss[at : at + self.capacity], total]
             if len(piece[2]) == self.capacity and piece[3].sum() <= self.limits[2]:
                 self.close([piece])
-            else:
-                self.waiting.append(piece)
+            else:  # a view would keep the ids of all texts around it as long as it waits
+                self.waiting.append([doc, at, piece[2].copy(), piece[3].copy(), total])
             at += self.capacity
         if len(self.waiting) >= 2 * POOL:
             self.pack(POOL)
@@ -243,7 +246,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "ids"][: len(arrays)])
 
         for batch in batches:
-            for part, data, offsets in tk.blocks(batch, "text"):
+            for part, data, offsets in tk.blocks(batch, "text", PIECE):
                 ids, bounds = enc.encode(data, offsets)
                 if prompt:
                     before = np.diff(enc.encode(*tk.buffers(part.column("prompt")))[1]) - 1

@@ -7,13 +7,14 @@ follows bytes, not rows. Words are maximal runs of bytes other than 0x20 and 0x0
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -78,6 +79,8 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(fed())
         finally:
+            _powers.clear()
+            gc.collect()
             pool.release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
             if trim:
