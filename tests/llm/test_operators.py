@@ -563,6 +563,44 @@ def test_passages_that_texts_share(spark):
     assert passages.without_passages(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_shows_passages(spark, tmp_path):
+    """op10's text against brute force: passages of 50 words and more of under 400 bytes are out of it, strings of 400 bytes too; the other columns follow the strings alone."""
+    from trailmill.llm import queries
+
+    rng = random.Random(12)
+    tell = lambda n: " ".join(str(rng.randint(0, 9999)) for _ in range(n))
+    a, b, long, body = tell(52), tell(49), tell(120), tell(100)
+    assert len(a) < 400 < len(long)
+    texts = [f"{tell(30)} {a} {tell(9)}", f"{a}\n{tell(80)} {b}", f"{b} {tell(4)} {a} {long}", f"{tell(20)} {long} {tell(70)}", "ü" + body + "é", "ļ" + body + "ö", tell(90), None, "", tell(60)]
+    texts += [texts[6], texts[9]]
+    depth, raw = 400, [(t or "").encode() for t in texts]
+    count = Counter(x[p : p + depth] for x in raw for p in range(len(x) - depth + 1))
+    found = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", x)] for x in raw]
+    owners = {}
+    for x, w in zip(raw, found, strict=True):
+        for k in range(len(w) - 49):
+            owners.setdefault(tuple(y[2] for y in w[k : k + 50]), set()).add(x)
+    want = []
+    for i, (x, w) in enumerate(zip(raw, found, strict=True)):
+        gone, shared = set(), set()
+        for p in range(len(x) - depth + 1):
+            if count[x[p : p + depth]] > 1:
+                gone |= set(range(p, p + depth))
+        for k in range(len(w) - 49):
+            if len(owners[tuple(y[2] for y in w[k : k + 50])]) > 1:
+                shared |= set(range(w[k][0], w[k + 49][1]))
+        parts = "".join(chr(c) if k not in gone | shared else "\n\n\n" for k, c in enumerate(x)).split("\n\n\n")
+        kept = bytes(c for k, c in enumerate(x) if k not in gone)
+        want.append((i, len(x), len(gone), hashlib.sha256(kept).hexdigest(), len(shared - gone), "".join(y.encode("latin-1").decode(errors="ignore") for y in parts)))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_suffix_dedup(spark, str(tmp_path)).orderBy("doc_id")
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "text"]
+    rows = got.collect()
+    assert [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256, r.n_passage_bytes, r.text) for r in rows] == want
+    assert all(a not in r.text for r in rows) and [b in r.text for r in rows[1:3]] == [True, True]
+    assert rows[0].n_removed == 0 < rows[0].n_passage_bytes and rows[4].text == rows[5].text == ""
+
+
 def test_packing_leaves_no_memory_behind(spark, docs):
     """Workers outlive their tasks: none keeps an encoder, plain texts load one vocabulary, and waiting pieces hold no ids but their own."""
     import public_tokenizers

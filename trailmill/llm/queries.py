@@ -68,9 +68,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmill.llm.passages import shared_passages
     from trailmill.llm.repeats import dedup_report
 
-    return dedup_report(table(spark, sf_dir, "documents")).drop("spans")
+    docs = table(spark, sf_dir, "documents")
+    return dedup_report(docs, passages=shared_passages(docs)).drop("spans")
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -363,35 +363,61 @@ def with_spans(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> tup
     return _attached(docs, repeated_spans(docs.select("text"), depth, anchor))
 
 
-def _kept_parts(body: bytes, spans: list[dict] | None) -> bytes:
+def _kept_parts(body: bytes, spans: list[dict] | None) -> list[bytes]:
     parts, at = [], 0
     for s in spans or []:
         parts.append(body[at : s["lo"]])
         at = s["hi"]
-    return b"".join((*parts, body[at:]))
+    return [*parts, body[at:]]
 
 
-def dedup_report(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _kept_text(body: bytes, spans: list[dict] | None) -> str:
+    """Each part by itself, so that bytes on both sides of a cut never make a character that wasn't there."""
+    return "".join(p.decode(errors="ignore") for p in _kept_parts(body, spans))
+
+
+def _united(spans: list[dict] | None, more: list[dict] | None) -> list[dict]:
+    """Disjoint, ascending spans of the bytes that either covers."""
+    out: list[dict] = []
+    for s in sorted((*(spans or []), *(more or [])), key=lambda s: s["lo"]):
+        if out and s["lo"] <= out[-1]["hi"]:
+            out[-1] = {"lo": out[-1]["lo"], "hi": max(out[-1]["hi"], s["hi"])}
+        else:
+            out.append(s)
+    return out
+
+
+def dedup_report(docs: DataFrame, depth: int = DEPTH, passages: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of docs(doc_id, text).
 
     Bytes are those of the UTF-8 text, null counting as empty. A byte is removed if a string of `depth` bytes
     that covers it starts anywhere else too, in the same text or another; copies remove each other. Null
     doc_ids and repeated rows are kept. Other columns are ignored. An empty table gives an empty table.
+
+    With passages(k1, k2, spans) of these texts, see passages.shared_passages(), two columns follow and the others
+    stay as they are: n_passage_bytes, the bytes of passages among those not removed, and text, without the removed
+    bytes and these (what a cut leaves of a character goes too).
     """
     rows, name = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), depth)
+    rows, more = _attached(rows, passages) if passages is not None else (rows, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column(name).to_pylist()
             bodies = [t.encode() for t in batch.column("text").to_pylist()]
             cut = [sum(s["hi"] - s["lo"] for s in x or []) for x in spans]
-            sha = [hashlib.sha256(_kept_parts(b, x)).hexdigest() for b, x in zip(bodies, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(b) for b in bodies], pa.int64()), pa.array(cut, pa.int64()), pa.array([len(x or []) for x in spans], pa.int64()), pa.array(sha, pa.string()),
-                 pa.array([[(s["lo"], s["hi"]) for s in x or []] for x in spans], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            sha = [hashlib.sha256(b"".join(_kept_parts(b, x))).hexdigest() for b, x in zip(bodies, spans, strict=True)]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+            columns = [batch.column("doc_id"), pa.array([len(b) for b in bodies], pa.int64()), pa.array(cut, pa.int64()), pa.array([len(x or []) for x in spans], pa.int64()), pa.array(sha, pa.string()),
+                       pa.array([[(s["lo"], s["hi"]) for s in x or []] for x in spans], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))]
+            if more:
+                both = [_united(x, y) for x, y in zip(spans, batch.column(more).to_pylist(), strict=True)]
+                names += ["n_passage_bytes", "text"]
+                columns += [pa.array([sum(s["hi"] - s["lo"] for s in x) - n for x, n in zip(both, cut, strict=True)], pa.int64()), pa.array([_kept_text(b, x) for b, x in zip(bodies, both, strict=True)], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(tk.lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:int,hi:int>>")
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:int,hi:int>>"
+    return rows.mapInArrow(tk.lean(run), kinds + ", n_passage_bytes long, text string" * bool(more))
 
 
 def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -409,7 +435,7 @@ def cut_out(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if not s else _kept_parts(t.encode(), s).decode(errors="ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True)]
+            texts = [t if not s else _kept_text(t.encode(), s) for t, s in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True)]
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(n) for k, n in enumerate(schema.fieldNames())]
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
