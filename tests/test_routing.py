@@ -2,13 +2,14 @@
 
 import heapq
 import math
+import pathlib
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from trailmill.functions import geo
+from trailmill.functions import geo, shared
 from trailmill.operators import export, network, requests, routing
 from trailmill.streaming import live
 
@@ -245,6 +246,30 @@ def test_zones_find_what_a_search_without_them_finds(spark, monkeypatch):
     assert {r.edge_id for r in routing._zone_arcs(routing._zoned(ends), arcs).collect()} == {0, 1, 3, 4}
 
 
+def test_trips_of_zones_go_without_rounds(spark, monkeypatch):
+    """A batch of near trips writes no frontiers, however long its paths; cut into parts, or by rounds where zones have too many arcs, its rows are the same."""
+    rng = random.Random(4)
+    nodes = {100 * r + c: (48.1 + 0.0018 * r, -1.68 + 0.0027 * c) for r in range(12) for c in range(9)}
+    segments = [(i, j, rng.choice([230, 230, 300]), rng.randrange(4), rng.choice([0, 0, 120])) for i in nodes for j in (i + 1, i + 100, i + 1) if j in nodes and rng.random() < 0.8]
+    nodes[9999] = (48.105, -1.67)  # a node without edges
+    ids = sorted(nodes)
+    trips = [(k, rng.choice(ids), rng.choice(ids), rng.choice([0.0, 3.0]), 2.0, rng.choice([400.0, 1500.0, 4000.0])) for k in range(60)] + [(60, 0, 9999, 0.0, 0.0, 900.0), (61, 5, 5, 0.0, 0.0, 900.0)]
+    nodes, edges = graph(spark, nodes, segments)
+    trips = spark.createDataFrame(trips, TRIP)
+    folder = pathlib.Path(shared.shared_dir(spark).removeprefix("file://"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    fronts = lambda: {f.name for f in folder.glob("trip-front-*")}
+    before = fronts()
+    found, path = routing.cheapest_paths(trips, nodes, edges, max_nodes=30)
+    found, path = rows(found), rows(path)
+    assert fronts() == before and {r[3] for r in found} == {"ok", "no_path", "budget_exceeded"}
+    for name in ("CELLS", "ZONE_ARCS"):
+        monkeypatch.setattr(routing, name, 1)
+        other, edge = routing.cheapest_paths(trips, nodes, edges, max_nodes=30)
+        assert (found, path) == (rows(other), rows(edge))
+    assert fronts() > before
+
+
 def test_leg_totals_shuffle_the_walks_once(spark):
     """First legs come from a window and not from a join of the walks with themselves; keys that are null make no row vanish."""
     _, edges = graph(spark, {0: (0.0, 0.0)}, [(0, 1, 700, 1, 51), (1, 2, 1500, 3, 0)])
